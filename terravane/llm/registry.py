@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bit_search, packing, token_store
+from terravane.llm import bit_search, exact_dedup, packing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.op2_token_store,
     "op3_packing": packing.op3_packing,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_bit_search": bit_search.op8_bit_search,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op8_bit_search": bit_search.OP8_SQL,
 }
