@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bit_search, exact_dedup, packing, token_store
+from terravane.llm import bit_search, exact_dedup, packing, pseudonyms, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": pseudonyms.op1_pseudonyms,
     "op2_token_store": token_store.op2_token_store,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
