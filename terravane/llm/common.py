@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +54,22 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Has Spark drop the shuffle files of an action as soon as it has ended; for actions whose result is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def stored(df: DataFrame, uri: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(uri)
+    with tidy(df.sparkSession):
+        df.write.mode("overwrite").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
