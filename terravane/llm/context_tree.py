@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import batches, common, perfect_hash
 
-DEPTH = 5
+DEPTH = 7
 #: Depth from which on a bucket holds whole subtrees.
 SPLIT = 2
 BUCKET_BYTES = 16 << 20
