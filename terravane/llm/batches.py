@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from terravane.llm import common
 
 BATCH_BYTES = 8 << 20
+#: What a row counts for besides its text, so that a batch of empty texts is bounded as well.
+ROW_BYTES = 16
 _ASK = "bucket int, batch long, body binary"
 
 
@@ -36,12 +38,12 @@ def _gather(most: int):
 
         for part in parts:
             for name, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if texts and size + len(text) > most:
+                if texts and size + len(text) + ROW_BYTES > most:
                     yield row()
                     number, names, texts, size = number + 1, [], [], 0
                 names.append(name)
                 texts.append(text)
-                size += len(text)
+                size += len(text) + ROW_BYTES
         if texts:
             yield row()
 

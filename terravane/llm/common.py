@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,19 @@ def stored(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column that names each row, the same each time the table is read.
+
+    Rows of files are named by file and place; rows of any other plan are numbered, which is as steady as the plan itself.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+        own = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    except AnalysisException:
+        own = F.monotonically_increasing_id()
+    return docs.withColumn(name, own)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -36,11 +36,12 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(common.text_of(text), WHITE_SPACE, "")
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", new: bool = True) -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", new: bool = True, row: Column | None = None) -> DataFrame:
     """(doc_id, n_points, digest, row, new) of every document, row telling rows of both deliveries apart."""
+    number = F.monotonically_increasing_id() * 2 + int(new) if row is None else row
     return docs.select(
         F.col(key).cast("long").alias("doc_id"), F.length(common.text_of(text)).cast("long").alias("n_points"),
-        F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256)).alias("digest"), (F.monotonically_increasing_id() * 2 + int(new)).alias("row"), F.lit(new).alias("new"),
+        F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256)).alias("digest"), number.alias("row"), F.lit(new).alias("new"),
     )
 
 
@@ -145,16 +146,17 @@ def merge(new: DataFrame, history: DataFrame, index: DigestIndex) -> DataFrame:
     return _groups(history.unionByName(updates), F.sum("group_size")).unionByName(nonmembers)
 
 
-def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id", text: str = "text", shard_digests: int = SHARD_DIGESTS) -> DataFrame:
+def dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id", text: str = "text", shard_digests: int = SHARD_DIGESTS, row: Column | None = None) -> DataFrame:
     """One row for every document of ``docs`` and ``history``: doc_id, row, digest, n_points, keep_id, keep_row, group_size, kept.
 
-    ``history`` are the documents of earlier deliveries; rows of both get the winner among both.
+    ``history`` are the documents of earlier deliveries; rows of both get the winner among both. ``row`` is a column that
+    numbers the rows of both, for callers who want to find them again; without it they are numbered here.
     """
     spark = docs.sparkSession
     home = common.shared_dir(spark, "exact-dedup")
-    slim = digests(docs, key, text)
+    slim = digests(docs, key, text, row=row)
     if history is not None:
-        slim = slim.unionByName(digests(history, key, text, new=False))
+        slim = slim.unionByName(digests(history, key, text, new=False, row=row))
     rows = common.stored(slim, f"{home}/digests")
     renamed = rows.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "new")
     entries = lambda flag: _groups(renamed.where(flag), F.count(F.lit(1)))

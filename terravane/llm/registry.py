@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bit_search, context_tree, exact_dedup, packing, pseudonyms, token_store, toxicity
+from terravane.llm import bit_search, context_tree, exact_dedup, near_dedup, packing, pseudonyms, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": pseudonyms.op1_pseudonyms,
     "op2_token_store": token_store.op2_token_store,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_context_tree": context_tree.op6_context_tree,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_bit_search": bit_search.op8_bit_search,
