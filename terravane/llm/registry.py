@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bit_search, context_tree, exact_dedup, near_dedup, packing, pseudonyms, token_store, toxicity
+from terravane.llm import bit_search, context_tree, exact_dedup, line_dedup, mixing, near_dedup, packing, pseudonyms, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": pseudonyms.op1_pseudonyms,
@@ -15,11 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_context_tree": context_tree.op6_context_tree,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_bit_search": bit_search.op8_bit_search,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_mixing": mixing.OP7_SQL,
     "op8_bit_search": bit_search.OP8_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
