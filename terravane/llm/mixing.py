@@ -92,14 +92,14 @@ def budgets(leaves: DataFrame, budget: float, weights: Mapping[str, Mapping[str,
     return given.select(*LEVELS, F.floor(F.col("share") + 1e-6).cast("long").alias("budget"))
 
 
-def select(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, key: str = "doc_id", text: str = "text", domain: Column | None = None, lang: str = "lang", source: str = "source", slices: int = SLICES) -> DataFrame:
-    """One row for every document: key, domain, lang, source, n_tokens, budget (of its leaf), epochs (how often it is taken).
+def select(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, key: str = "doc_id", text: str = "text", domain: Column | None = None, lang: str = "lang", source: str = "source", slices: int = SLICES, row: str | None = None) -> DataFrame:
+    """One row for every document: key, domain, lang, source, n_tokens, budget (of its leaf), epochs (how often it is taken), and the column ``row`` if named.
 
     Without a ``budget`` the tokens of all documents are to be given out.
     """
     spark = docs.sparkSession
     home = common.shared_dir(spark, "mixing")
-    slim = docs.select(F.col(key).alias("key"), (domain_of(source) if domain is None else domain).cast("string").alias("domain"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), n_tokens(text).alias("n_tokens"))
+    slim = docs.select(F.col(key).alias("key"), (domain_of(source) if domain is None else domain).cast("string").alias("domain"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), n_tokens(text).alias("n_tokens"), *([row] if row else []))
     rows = common.stored(slim, f"{home}/rows")
     leaves = common.stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), f"{home}/leaves")
     if budget is None:
@@ -120,9 +120,9 @@ def select(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], budget:
     inner = at.where(F.col("edge").isNull() | (F.col("slice") != F.col("edge")))
     inner = inner.withColumn("epochs", F.col("whole") + ((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("slice") < F.col("edge")))).cast("long"))
     rim = at.where(F.col("slice") == F.col("edge"))
-    running = F.sum("n_tokens").over(Window.partitionBy("leaf", "slice").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("n_tokens").over(Window.partitionBy("leaf", "slice").orderBy("draw", "key", *([row] if row else [])).rowsBetween(Window.unboundedPreceding, 0))
     rim = rim.withColumn("epochs", F.col("whole") + ((F.col("rest") > 0) & (F.col("before") + running <= F.col("rest"))).cast("long"))
-    names = ["key", *LEVELS, "n_tokens", "budget", "epochs"]
+    names = ["key", *LEVELS, "n_tokens", "budget", "epochs", *([row] if row else [])]
     return inner.select(*names).unionByName(rim.select(*names))
 
 
