@@ -179,7 +179,7 @@ def read_ranking_queries(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
                     at += n * n
                 yield pd.DataFrame(docs + pairs, columns=["query_id", "i", "j", "features", "v"])
 
-    rows = spark.read.option("wholetext", True).text(path).mapInPandas(parse, "query_id long, i long, j long, features array<double>, v double").cache()
+    rows = spark.read.text(path, wholetext=True).mapInPandas(parse, "query_id long, i long, j long, features array<double>, v double").cache()
     return rows.where("features is not null").select("query_id", F.col("i").alias("doc_id"), "features", F.col("v").alias("target")), rows.where("features is null").select("query_id", "i", "j", F.col("v").alias("w"))
 
 
