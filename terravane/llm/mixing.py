@@ -66,8 +66,8 @@ def shared_out(nodes: DataFrame, parent: list[str], budget: str = "budget", weig
     rows = rows.withColumn("left", F.col(budget) - F.coalesce(F.sum(most).over(before), F.lit(0.0)))
     rows = rows.withColumn("weight_left", F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(before), F.lit(0.0)))
     rows = rows.withColumn("full", F.col(most) / F.col(weight) <= F.col("left") / F.col("weight_left"))
-    rate = F.min(F.when(~F.col("full"), F.struct((F.col(most) / F.col(weight)).alias("o"), (F.col("left") / F.col("weight_left")).alias("r")))).over(whole)
-    return rows.withColumn("share", F.when(F.col("full"), F.col(most)).otherwise(F.greatest(F.lit(0.0), rate["r"] * F.col(weight)))).drop("left", "weight_left", "full")
+    rate = F.max(F.when(~F.col("full"), F.col("left") / F.col("weight_left"))).over(whole)  # that of the first one; it falls after it
+    return rows.withColumn("share", F.when(F.col("full"), F.col(most)).otherwise(F.greatest(F.lit(0.0), rate * F.col(weight)))).drop("left", "weight_left", "full")
 
 
 def budgets(leaves: DataFrame, budget: float, weights: Mapping[str, Mapping[str, float]], max_epochs: int = MAX_EPOCHS) -> DataFrame:
