@@ -2,7 +2,7 @@
 
 Several operators need, for every word, shingle or line of a document, a fact about all documents. Joining each occurrence with
 a table of facts would shuffle the corpus many times over. Here documents are put into batches of some megabytes, stored
-as one row each; a batch asks about its distinct keys once, so what is shuffled is counted within the batch already and a key
+as one row each, their texts in one compressed value; a batch asks about its distinct keys once, so what is shuffled is counted within the batch already and a key
 that is in every document sends one entry for each batch; the replies for a batch are laid down as files beside it,
 and the batch is read again together with them. Batches are rows of a stored table, so every attempt of a task sees
 the same batch.
@@ -20,40 +20,57 @@ from pyspark.sql import functions as F
 
 from terravane.llm import common
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: What a row counts for besides its text, so that a batch of empty texts is bounded as well.
 ROW_BYTES = 16
 _ASK = "bucket int, batch long, body binary"
 
 
+def _packed(number: int, names: list, texts: list[str], size: int) -> pa.RecordBatch:
+    body = pa.BufferOutputStream()
+    own = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.large_string())], ["key", "text"])
+    with pa.ipc.new_stream(body, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(own)
+    cols = [pa.array([number], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([size], pa.int64()), pa.array([body.getvalue().to_pybytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["batch", "documents", "size", "body"])
+
+
+def _unpacked(body: bytes) -> tuple[list, list[str]]:
+    with pa.ipc.open_stream(body) as r:
+        own = r.read_next_batch()
+    return own.column("key").to_pylist(), own.column("text").to_pylist()
+
+
 def _gather(most: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         names: list = []
         texts: list[str] = []
         size = 0
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], ["batch", "keys", "texts"])
-
         for part in parts:
             for name, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
                 if texts and size + len(text) + ROW_BYTES > most:
-                    yield row()
+                    yield _packed(number, names, texts, size)
                     number, names, texts, size = number + 1, [], [], 0
                 names.append(name)
                 texts.append(text)
                 size += len(text) + ROW_BYTES
         if texts:
-            yield row()
+            yield _packed(number, names, texts, size)
 
     return run
 
 
 def batched(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", most: int = BATCH_BYTES) -> DataFrame:
-    """Stores ``docs`` as rows (batch, keys, texts) under ``uri``; null texts become empty ones."""
+    """Stores ``docs`` as rows (batch, documents, size, body) under ``uri``; null texts become empty ones."""
     slim = docs.select(F.col(key).cast("long").alias("key"), common.text_of(text).alias("text"))
-    return common.stored(slim.mapInArrow(_gather(most), "batch long, keys array<long>, texts array<string>"), uri)
+    return common.stored(slim.mapInArrow(_gather(most), "batch long, documents long, size long, body binary"), uri)
+
+
+def totals(batches: DataFrame) -> tuple[int, int]:
+    """Documents, and characters with ``ROW_BYTES`` for each."""
+    row = batches.agg(F.sum("documents").alias("n"), F.sum("size").alias("s")).first()
+    return row["n"] or 0, row["s"] or 0
 
 
 def ask(batches: DataFrame, asks: Callable[[int, list, list[str]], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -62,11 +79,11 @@ def ask(batches: DataFrame, asks: Callable[[int, list, list[str]], Iterator[tupl
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):
-                batch, names, texts = (part.column(c)[k].as_py() for c in ("batch", "keys", "texts"))
-                sent = list(asks(batch, names, texts))
+                batch = part.column("batch")[k].as_py()
+                sent = list(asks(batch, *_unpacked(part.column("body")[k].as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sent], pa.int32()), pa.array([batch] * len(sent), pa.int64()), pa.array([s[1] for s in sent], pa.binary())], ["bucket", "batch", "body"])
 
-    return batches.mapInArrow(run, _ASK)
+    return batches.select("batch", "body").mapInArrow(run, _ASK)
 
 
 def answer(asked: DataFrame, answers: Callable[[int, list[int], list[bytes]], list[bytes]]) -> DataFrame:
@@ -108,7 +125,7 @@ def finish(batches: DataFrame, uri: str, work: Callable[[int, list, list[str], d
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):
-                batch, names, texts = (part.column(c)[k].as_py() for c in ("batch", "keys", "texts"))
-                yield from work(batch, names, texts, read_reply(uri, batch))
+                batch = part.column("batch")[k].as_py()
+                yield from work(batch, *_unpacked(part.column("body")[k].as_py()), read_reply(uri, batch))
 
-    return batches.mapInArrow(run, schema)
+    return batches.select("batch", "body").mapInArrow(run, schema)

@@ -4,15 +4,17 @@ A document is the set of its shingles, five words each, weighted by TF-IDF over
 weighted Jaccard similarity of these sets is 0.8 or more; a class is a connected component of links. Steps:
 
 * Shingle frequencies are counted over all documents, batch by batch (see ``batches``).
-* Each document draws ``BANDS * ROWS`` consistent weighted samples; equal samples of a band make documents candidates. Two
+* The weight of shingles that no other document has bounds a document's similarity with any other. Where these alone are more
+  than a fifth of the whole weight the document has no links, which is certain, and takes no further part.
+* Every other document draws ``BANDS * ROWS`` consistent weighted samples; equal samples of a band make documents candidates. Two
   documents at similarity s share a band with probability 1 - (1 - s**3)**10, 0.9992 at 0.8.
 * Documents with the same words are one node from here on, so copies cost no comparisons.
-* Within a bucket of a band, nodes are compared with leaders, not with each other: first with one leader for each bucket; then, in
-  buckets that still hold several components, with 16 times as many in each round, until a bucket is one component or all of
-  its nodes have led. So every pair of candidates is compared or known to be in one class, no bucket is ever gathered
-  in a task, and a group of thousands of near copies costs comparisons in proportion to its size.
-* A comparison computes the weighted Jaccard similarity from the full weights. Comparisons are dealt by blocks of members; a
-  leader's weights are sent once to each block that needs them.
+* Within a bucket of a band, nodes are first compared with one leader. That is a number of comparisons in proportion to the nodes, and
+  leaves most buckets, with the links of all bands together, in one component.
+* In a bucket that is left with several components, the nodes outside its largest one are compared with the whole bucket, so every pair
+  of candidates has been compared or is known to be in one class. The nodes are cut into chunks of bounded size, and a task
+  compares two chunks; pairs are made inside the task only, and what leaves it are links between components.
+* A comparison computes the weighted Jaccard similarity from the full weights.
 
 Shingles are told apart by a hash of 40 bits and the number of their bucket, which grows with the data: about two in a
 million share another's count, at every size.
@@ -40,8 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 16 << 20
-#: Leaders of a bucket in each round are so many times those of the round before.
-MORE_LEADERS = 16
+#: Shingles of a chunk of nodes, about.
+CHUNK = 1 << 16
 #: Random variates of the sampling come from this many places of a fixed table.
 VARIATES = 1 << 16
 _LOW = 40
@@ -54,7 +56,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
-            if len(self) > 600_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = value
         return value
@@ -167,11 +169,11 @@ def _answers(bucket: int, names: list[int], bodies: list[bytes]) -> list[bytes]:
     return out
 
 
-def weigh(own: Shingles, replies: dict[int, bytes], documents: int) -> np.ndarray:
-    """TF-IDF weights of a batch's shingles, from the frequencies over all documents."""
-    df = [_whole(np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b]), np.uint8), "<u4") for b in sorted(replies)]
-    df = np.concatenate(df) if df else np.zeros(0)
-    return own.tf * (1 + np.log((documents + 1) / (df + 1)))[own.of]
+def weigh(own: Shingles, replies: dict[int, bytes], documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF weights of a batch's shingles, and the frequencies over all documents they come from."""
+    of_each = [_whole(np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b]), np.uint8), "<u4") for b in sorted(replies)]
+    df = np.concatenate(of_each) if of_each else np.zeros(0)
+    return own.tf * (1 + np.log((documents + 1) / (df + 1)))[own.of], df[own.of]
 
 
 class Sampler:
@@ -243,48 +245,60 @@ def _node(batch: int, n: int) -> np.ndarray:
     return ((batch >> 32) << 43 | (batch & 0x1FFFFF) << 22) + np.arange(n, dtype=np.int64)
 
 
-def _sign(buckets: int, documents: int):
-    def run(batch: int, names: list, texts: list[str], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        own = Shingles(texts, buckets, digests=True)
-        w = weigh(own, replies, documents)
-        bands = bands_of(Sampler(BANDS * ROWS).sample(mixed(own.keys), w, own.starts, own.sizes))
-        total = np.bincount(np.repeat(np.arange(len(texts)), own.sizes), w, len(texts))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((own.sizes > 0) * BANDS)]), pa.int32()), pa.array(bands[own.sizes > 0].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(_node(batch, len(texts))), pa.array(names, pa.int64()), pa.array(own.digests, pa.binary()), pa.array(total), pa.array(own.sizes, pa.int64()), lists], ["node", "key", "digest", "total", "shingles", "bands"])
+def _lists(of: np.ndarray, width: int) -> pa.Array:
+    """Rows of ``of`` for the documents that have one (``width`` true), nulls for the others."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width * of.shape[1])]), pa.int32()), pa.array(of.ravel()), mask=pa.array(~width))
 
-    return run
 
+_SIGNED = "node long, key long, digest binary, total double, shared double, shingles long, bands array<long>, ids binary, weights binary"
 
-def _features(buckets: int, documents: int, wanted: str):
-    """Weights of the nodes named in a file beside the batch."""
+
+def _sign(buckets: int, documents: int):
+    """Every document with its weights' sums; those that can have links with their samples' bands and their weights, by shingle."""
 
     def run(batch: int, names: list, texts: list[str], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        try:
-            nodes = np.frombuffer(common.get_file(f"{wanted}/{batch}.nodes"), "<i8")
-        except FileNotFoundError:
-            return
-        own = Shingles(texts, buckets)
-        w, ids = weigh(own, replies, documents).astype("<f4"), mixed(own.keys)
-        bodies = []
-        for i in (nodes - _node(batch, 1)[0]).tolist():
-            at = slice(own.starts[i], own.starts[i] + own.sizes[i])
-            order = np.argsort(ids[at])
-            bodies.append((ids[at][order].astype("<u8").tobytes(), _planes(w[at][order], "<f4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([b[0] for b in bodies], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(b[1]) for b in bodies], pa.binary())], ["node", "ids", "weights"])
+        own = Shingles(texts, buckets, digests=True)
+        w, df = weigh(own, replies, documents)
+        doc = np.repeat(np.arange(len(texts)), own.sizes)
+        total = np.bincount(doc, w, len(texts)).astype(float)
+        shared = np.bincount(doc, w * (df > 1), len(texts)).astype(float)
+        linked = (own.sizes > 0) & (shared >= SIMILARITY * total * (1 - 1e-6))
+        keep = linked[doc]
+        ids, w, sizes = mixed(own.keys[keep]), w[keep], own.sizes[linked]
+        starts = np.cumsum(sizes) - sizes
+        bands = bands_of(Sampler(BANDS * ROWS).sample(ids, w, starts, sizes))
+        bodies: list = [None] * len(texts)
+        weights: list = [None] * len(texts)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for i, a, n in zip(np.flatnonzero(linked).tolist(), starts.tolist(), sizes.tolist(), strict=True):
+            order = np.argsort(ids[a : a + n])
+            bodies[i] = ids[a : a + n][order].astype("<u8").tobytes()
+            weights[i] = pack(_planes(w[a : a + n][order], "<f4").tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_node(batch, len(texts))), pa.array(names, pa.int64()), pa.array(own.digests, pa.binary()), pa.array(total), pa.array(shared), pa.array(own.sizes, pa.int64()), _lists(bands, linked), pa.array(bodies, pa.binary()), pa.array(weights, pa.binary())],
+            ["node", "key", "digest", "total", "shared", "shingles", "bands", "ids", "weights"],
+        )
 
     return run
 
 
-def _note(uri: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        common.put_file(f"{uri}/{key[0].as_py()}.nodes", np.sort(table.column("node").to_numpy()).astype("<i8").tobytes())
-        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+def _opened(ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    w = _whole(np.frombuffer(zstandard.ZstdDecompressor().decompress(weights), np.uint8), "<f4").astype(float)
+    return np.frombuffer(ids, "<u8"), w, float(w.sum())
 
-    return run
+
+def _similar(one: tuple[np.ndarray, np.ndarray, float], others: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one node with others."""
+    e, w, total = one
+    ids, weights = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
+    at = np.minimum(np.searchsorted(e, ids), len(e) - 1)
+    sizes = np.array([len(o[0]) for o in others])
+    both = np.add.reduceat(np.where(e[at] == ids, np.minimum(w[at], weights), 0.0), np.cumsum(sizes) - sizes)
+    return both / (total + np.array([o[2] for o in others]) - both)
 
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Rows are weights (a null, or b null) and pairs (no ids)."""
+    """Links of a block. Rows are weights (a null, or b null) and pairs (no ids)."""
     a, b, ids, weights = (table.column(c).to_pylist() for c in ("a", "b", "ids", "weights"))
     of: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
     asked: dict[int, list[int]] = {}
@@ -292,32 +306,81 @@ def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if i is None:
             asked.setdefault(x, []).append(y)
         else:
-            w = _whole(np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.uint8), "<f4").astype(float)
-            of[y if x is None else x] = (np.frombuffer(i, "<u8"), w, float(w.sum()))
-    left, right, found = [], [], []
+            of[y if x is None else x] = _opened(i, w)
+    left, right = [], []
     for x, others in asked.items():
-        e, w, total = of[x]
         for k in range(0, len(others), 512):
             part = others[k : k + 512]
-            ids2, w2 = np.concatenate([of[y][0] for y in part]), np.concatenate([of[y][1] for y in part])
-            at = np.minimum(np.searchsorted(e, ids2), len(e) - 1)
-            shared = np.where(e[at] == ids2, np.minimum(w[at], w2), 0.0)
-            sizes = np.array([len(of[y][0]) for y in part])
-            both = np.add.reduceat(shared, np.cumsum(sizes) - sizes)
-            left += [x] * len(part)
-            right += part
-            found.append(both / (total + np.array([of[y][2] for y in part]) - both))
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "similarity": pa.array(np.concatenate(found) if found else np.zeros(0))})
-
-
-def similarities(pairs: DataFrame, features: DataFrame, blocks: int) -> DataFrame:
-    """(a, b, similarity) of ``pairs`` (a, b) from ``features`` (node, ids, weights)."""
+            near = np.flatnonzero(_similar(of[x], [of[y] for y in part]) >= SIMILARITY)
+            left += [x] * len(near)
+            right += [part[i] for i in near.tolist()]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _tiles(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links between components in the tiles of a block. A tile has two sides, or one whose nodes are compared with each other."""
+    at: dict[tuple, list[int]] = {}
+    for i, t in enumerate(zip(*(table.column(c).to_pylist() for c in ("band", "first", "second", "big")), strict=True)):
+        at.setdefault(t, []).append(i)
+    node, component, side, total, shared = (table.column(c).to_pylist() for c in ("node", "component", "side", "total", "shared"))
+    ids, weights = table.column("ids"), table.column("weights")
+    left, right = [], []
+    for (_, first, second, big), rows in at.items():
+        alone = not big and first == second
+        a = [i for i in rows if alone or side[i] == 0]
+        b = a if alone else [i for i in rows if side[i] == 1]
+        of = {i: _opened(ids[i].as_py(), weights[i].as_py()) for i in {*a, *b}}
+        up = {component[i]: component[i] for i in of}
+
+        def root(c: int, up: dict[int, int] = up) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for k, x in enumerate(a):
+            mine = root(component[x])
+            others = [y for y in (b[k + 1 :] if alone else b) if root(component[y]) != mine and min(shared[x], shared[y]) >= SIMILARITY * (1 - 1e-6) * max(total[x], total[y])]
+            for y in [others[i] for i in np.flatnonzero(_similar(of[x], [of[y] for y in others]) >= SIMILARITY).tolist()] if others else []:
+                if root(component[y]) != root(component[x]):
+                    up[root(component[y])] = root(component[x])
+                    left.append(node[x])
+                    right.append(node[y])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def linked_pairs(pairs: DataFrame, features: DataFrame, blocks: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are links, from ``features`` (node, ids, weights).
+
+    Pairs are dealt by blocks of members b; the weights of a leader a go to each block that needs them once.
+    """
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)))
     body = features.select("node", "ids", "weights")
     leaders = dealt.select("block", "a").distinct().join(body, F.col("a") == F.col("node")).select("block", "a", F.lit(None).cast("long").alias("b"), "ids", "weights")
     members = dealt.select("block", "b").distinct().join(body, F.col("b") == F.col("node")).select("block", F.lit(None).cast("long").alias("a"), "b", "ids", "weights")
     asked = dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("weights"))
-    return leaders.unionByName(members).unionByName(asked).groupBy("block").applyInArrow(_compare, "a long, b long, similarity double")
+    return leaders.unionByName(members).unionByName(asked).groupBy("block").applyInArrow(_compare, "a long, b long")
+
+
+def linked_in_open(rows: DataFrame, sizes: DataFrame, features: DataFrame, blocks: int) -> DataFrame:
+    """Links between components of open buckets: ``rows`` (band, node, component, total, shared) with what ``sizes`` has of each band.
+
+    ``sizes``: band, largest (its largest component), n_rest and n_big, the chunks outside and inside that one.
+    """
+    own = rows.join(sizes, "band")
+    big = F.col("component") == F.col("largest")
+    chunk = F.when(big, F.pmod(F.xxhash64("node"), F.col("n_big"))).otherwise(F.pmod(F.xxhash64("node"), F.col("n_rest")))
+    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    tile = lambda a, b, c, side: F.struct(a.cast("long").alias("first"), b.cast("long").alias("second"), F.lit(c).alias("big"), side.cast("int").alias("side"))
+    mine = F.col("chunk")
+    of_rest = F.concat(
+        F.transform(numbers("n_rest"), lambda j: tile(F.least(mine, j), F.greatest(mine, j), False, mine > j)),
+        F.transform(numbers("n_big"), lambda k: tile(mine, k, True, F.lit(0))),
+    )
+    of_big = F.transform(numbers("n_rest"), lambda i: tile(i, mine, True, F.lit(1)))
+    placed = own.withColumn("chunk", chunk).withColumn("tile", F.explode(F.when(big, of_big).otherwise(of_rest))).select("band", "node", "component", "total", "shared", "tile.*")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("band", "first", "second", "big"), F.lit(blocks)))
+    return placed.join(features.select("node", "ids", "weights"), "node").groupBy("block").applyInArrow(_tiles, "a long, b long")
 
 
 def components(links: DataFrame, uri: str) -> DataFrame:
@@ -340,9 +403,9 @@ def components(links: DataFrame, uri: str) -> DataFrame:
         names = spark.read.schema(jumped.schema).parquet(f"{uri}/{step}b").drop("before")
 
 
-def _likely(a: str, b: str):
-    """The totals alone don't rule out enough similarity."""
-    return F.least(a, b) >= F.greatest(a, b) * (SIMILARITY - 1e-6)
+def _likely(shared_a: str, total_a: str, shared_b: str, total_b: str):
+    """What both can share, of what both hold, is enough for a link."""
+    return F.least(shared_a, shared_b) >= F.greatest(total_a, total_b) * (SIMILARITY * (1 - 1e-6))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,57 +413,43 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     home = common.shared_dir(spark, "near-dedup")
     rows = batches.batched(docs, f"{home}/batches", key, text)
-    counted = rows.agg(F.sum(F.size("keys")).alias("n"), F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t))).alias("b")).first()
-    documents, size = counted["n"] or 0, counted["b"] or 0
+    documents, size = batches.totals(rows)
     buckets = max(64, common.parts(size, BUCKET_BYTES, 8192))
     batches.deliver(batches.answer(batches.ask(rows, _asks(buckets)), _answers), f"{home}/replies")
-    signed = common.stored(batches.finish(rows, f"{home}/replies", _sign(buckets, documents), "node long, key long, digest binary, total double, shingles long, bands array<long>"), f"{home}/signed")
-
-    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node", "total", "bands")).alias("m")
-    alike = signed.where(F.col("shingles") > 0).groupBy("digest").agg(best, F.count(F.lit(1)).alias("copies"))
-    nodes = common.stored(alike.select("digest", "copies", F.col("m.key").alias("key"), F.col("m.node").alias("node"), F.col("m.total").alias("total"), F.col("m.bands").alias("bands")), f"{home}/nodes")
-
-    spread = nodes.select("node", "total", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "total")).alias("first")).where(F.col("n") > 1)
-    shared = common.stored(shared.select("band", F.col("first.node").alias("leader"), F.col("first.total").alias("leader_total")), f"{home}/shared")
-    entries = common.stored(spread.join(shared, "band").withColumn("led", F.col("node") == F.col("leader")), f"{home}/entries-0")
-
-    involved = entries.select("node", (F.col("node").bitwiseAND(~((1 << 22) - 1))).alias("at")).distinct()
-    batch = F.shiftleft(F.shiftright("at", 43), 32) + F.shiftright("at", 22).bitwiseAND((1 << 21) - 1)
-    with common.tidy(spark):
-        involved.select("node", batch.alias("batch")).groupBy("batch").applyInArrow(_note(f"{home}/wanted"), "n long").agg(F.sum("n")).collect()
-    features = common.stored(batches.finish(rows, f"{home}/replies", _features(buckets, documents, f"{home}/wanted"), "node long, ids binary, weights binary"), f"{home}/features")
+    signed = common.stored(batches.finish(rows, f"{home}/replies", _sign(buckets, documents), _SIGNED), f"{home}/signed")
+    can_link = F.col("bands").isNotNull()
+
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node", "total", "shared", "shingles", "bands")).alias("m")
+    alike = signed.where(can_link).groupBy("digest").agg(best, F.count(F.lit(1)).alias("copies"))
+    nodes = common.stored(alike.select("digest", "copies", *[F.col(f"m.{c}").alias(c) for c in ("key", "node", "total", "shared", "shingles", "bands")]), f"{home}/nodes")
+    features = signed.where(can_link).select("node", "ids", "weights")
     weight = features.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     blocks = max(common.parts(weight, BLOCK_BYTES), min(64, spark.sparkContext.defaultParallelism))
 
-    links, named, turn, leaders = None, None, 0, 1
-    pairs = entries.where((F.col("node") != F.col("leader")) & _likely("total", "leader_total")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    while True:
-        found = similarities(common.stored(pairs, f"{home}/pairs-{turn}"), features, blocks)
-        new = common.stored(found.where(F.col("similarity") >= SIMILARITY), f"{home}/links-{turn}")
-        links = new if links is None else links.unionByName(new)
-        named = components(links, f"{home}/components-{turn}")
-        turn, leaders = turn + 1, leaders * MORE_LEADERS
-        now = entries.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = common.stored(now.select("band", "node", "total", "led", "component"), f"{home}/now-{turn}")
-        open_ = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(~F.col("led")).alias("rest")).where((F.col("x") < F.col("y")) & (F.col("rest") > 1))
-        left = common.stored(now.join(common.stored(open_.select("band"), f"{home}/open-{turn}"), "band"), f"{home}/left-{turn}")
-        if not left.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-        chosen = left.where(~F.col("led")).groupBy("band", slot.alias("slot")).agg(F.min(F.struct("node", "total", "component")).alias("m"))
-        chosen = common.stored(chosen.select("band", F.col("m.node").alias("leader"), F.col("m.total").alias("leader_total"), F.col("m.component").alias("leader_component")), f"{home}/leaders-{turn}")
-        against = left.where(~F.col("led")).join(chosen, "band").where((F.col("component") != F.col("leader_component")) & _likely("total", "leader_total"))
-        pairs = against.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        leading = chosen.select("band", F.col("leader").alias("node"), F.lit(True).alias("now"))
-        entries = common.stored(left.join(leading, ["band", "node"], "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now"), f"{home}/entries-{turn}")
+    spread = nodes.select("node", "total", "shared", "shingles", F.explode("bands").alias("band"))
+    buckets_ = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "total", "shared")).alias("first")).where(F.col("n") > 1)
+    led = common.stored(buckets_.select("band", F.col("first.node").alias("leader"), F.col("first.total").alias("leader_total"), F.col("first.shared").alias("leader_shared")), f"{home}/leaders")
+    entries = common.stored(spread.join(led, "band"), f"{home}/entries")
+    pairs = entries.where((F.col("node") != F.col("leader")) & _likely("shared", "total", "leader_shared", "leader_total")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    links = common.stored(linked_pairs(common.stored(pairs, f"{home}/pairs"), features, blocks), f"{home}/links")
+
+    named = components(links, f"{home}/first")
+    now = entries.join(named, "node", "left").select("band", "node", "total", "shared", "shingles", F.coalesce("component", "node").alias("component"))
+    now = common.stored(now, f"{home}/now")
+    by_component = now.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
+    open_ = by_component.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("m")).where((F.col("components") > 1) & (F.col("n") > 2))
+    chunks = lambda x: F.ceil(x / CHUNK)
+    open_ = common.stored(open_.select("band", F.col("m.component").alias("largest"), chunks(F.col("s") - F.col("m.s")).alias("n_rest"), chunks(F.col("m.s")).alias("n_big")), f"{home}/open")
+    more = linked_in_open(now.select("band", "node", "component", "total", "shared"), open_, features, blocks)
+    links = links.unionByName(common.stored(more, f"{home}/more"))
+    named = components(links, f"{home}/second")
 
     of_node = common.stored(nodes.join(named, "node", "left").select("digest", "copies", "key", "node", F.coalesce("component", "node").alias("component")), f"{home}/of-node")
     winner = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node")).alias("w")
     groups = common.stored(of_node.groupBy("component").agg(winner, F.sum("copies").alias("class_size")), f"{home}/classes")
     of_digest = common.stored(of_node.join(groups, "component").select("digest", F.col("w.key").alias("class_id"), F.col("w.node").alias("winner"), "class_size"), f"{home}/of-digest")
-    some = signed.where(F.col("shingles") > 0).join(of_digest, "digest").select("key", "class_id", "class_size", (F.col("node") == F.col("winner")).alias("kept"), "shingles", "digest")
-    none = signed.where(F.col("shingles") == 0).select("key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "shingles", "digest")
+    some = signed.where(can_link).select("node", "key", "shingles", "digest").join(of_digest, "digest").select("key", "class_id", "class_size", (F.col("node") == F.col("winner")).alias("kept"), "shingles", "digest")
+    none = signed.where(~can_link).select("key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "shingles", "digest")
     return some.unionByName(none)
 
 
