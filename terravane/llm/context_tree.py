@@ -7,10 +7,11 @@ how much each counts for the next decision. A context never seen has no node: th
 seen stands.
 
 The counts of all (context, byte) strings of the training texts are a sufficient statistic of all trees. Batches of documents
-count their own strings (see ``batches``); buckets, dealt by the last two bytes of the context, add them up and build the
-trees from depth 2 down. What depth 2 passes on to the 65 280 nodes above it, at most, goes through the driver: the
-number is fixed by the alphabet, not by the data. Then the buckets answer each batch with the log-probability of each of
-its strings, and the batch adds them up by document. The word counts of the base score go the same way.
+count their own strings (see ``batches``); buckets, dealt by the last two bytes of the context, add them up, grow the
+trees from depth 2 down and keep both, with what was asked, in a file. What depth 2 passes on to the 65 280 nodes above it, at
+most, goes through the driver: the number is fixed by the alphabet, not by the data. Then the buckets answer each batch with
+the log-probability of each of its strings (to 2**-20), and the batch adds them up by document. The word counts of the base
+score go the same way. Texts are read in pieces of 256 kB, so a task's memory does not depend on them.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
 each; texts of any length are read whole; without any training text every decision is even and the base is
@@ -19,23 +20,23 @@ undefined-free (N = V = 0); an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-import functools
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import batches, common, perfect_hash
+from terravane.llm import batches, common
 
-DEPTH = 7
+DEPTH = 6
 #: Depth from which on a bucket holds whole subtrees.
 SPLIT = 2
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Ends texts and precedes their first byte; no byte of UTF-8.
 END = 0xFF
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -53,32 +54,64 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, byte) strings of texts one after another, eight bytes with the byte lowest, and where each text begins."""
+def strings(texts: list[bytes], step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (context, byte) strings of texts, the byte lowest, and the place of each one's text; in pieces.
+
+    Before a text its context is end marks, and one end mark follows it.
+    """
     pad, end = bytes([END]) * DEPTH, bytes([END])
-    raw = np.frombuffer(b"".join([x for t in texts for x in (pad, t, end)]), np.uint8)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    if not len(texts):
-        return np.zeros(0, np.uint64), lengths
-    keys = np.zeros(len(raw) - DEPTH, np.uint64)
-    for j in range(DEPTH + 1):
-        keys <<= np.uint64(8)
-        keys |= raw[j : j + len(keys)]
-    keep = np.ones(len(keys), bool)
-    ends = np.cumsum(lengths + DEPTH)[:-1]  # windows that begin in a text and end in the next one
-    keep[(ends[:, None] - DEPTH + np.arange(DEPTH)).ravel()] = False
-    return keys[keep], np.cumsum(lengths) - lengths
+    raw = b"".join([b"\0" * (8 - DEPTH - 1), *(x for t in texts for x in (pad, t, end))])
+    after = np.cumsum([len(t) + 1 + DEPTH for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
+    n = int(after[-1]) if len(after) else 0
+    for i in range(0, max(n - DEPTH, 0), step):
+        m = min(step, n - DEPTH - i)
+        windows = np.ndarray((m,), ">u8", raw, i, (1,)).astype(np.uint64) & np.uint64(256 ** (DEPTH + 1) - 1)
+        at = np.arange(i + DEPTH, i + DEPTH + m)  # of the byte, among texts with their contexts
+        of = np.searchsorted(after, at, side="right") if m < 64 else _runs(after, i + DEPTH, m)
+        keep = at - (after[of] - np.diff(after, prepend=0)[of]) >= DEPTH
+        yield windows[keep], of[keep]
+
+
+def _runs(after: np.ndarray, begin: int, m: int) -> np.ndarray:
+    """The text of each of m places from ``begin`` on."""
+    first, last = np.searchsorted(after, [begin, begin + m - 1], side="right")
+    ends = np.minimum(after[first : last + 1], begin + m)
+    return np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(ends, prepend=begin))
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, counts, len(distinct))
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def counted_strings(texts: list[bytes], away: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of a batch, with their counts in the texts that are not ``away``."""
+    flag = np.array(away, np.uint64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k << np.uint64(1) | flag[of] for k, of in strings(texts))])
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    keys.sort()
+    train = (keys & np.uint64(1) == 0).astype(np.int32)
+    keys >>= np.uint64(1)
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat(train, first).astype(np.int64)
 
 
 def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -100,9 +133,18 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+def _of_counts(n: np.ndarray, more: float) -> np.ndarray:
+    """``log_gamma(n + more)`` of whole numbers, most of which are small."""
+    table = log_gamma(np.arange(1 << 12) + more)
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(table))
+    out[large] = log_gamma(n[large] + more)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Krichevsky-Trofimov probability of a zeros and b ones, as a natural logarithm."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    return _of_counts(a, 0.5) + _of_counts(b, 0.5) - _of_counts(a + b, 1.0) - np.log(np.pi)
 
 
 def decisions(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,18 +172,19 @@ class Level:
             self.own = 1 / (1 + np.exp(np.minimum(below - own, 700)))
 
     def parents(self, depth: int):
-        """Nodes one level up, at ``depth``, with the counts and the products of what is here."""
+        """Nodes one level up, at ``depth``, with the counts and the products of what is here; ``up`` leads there."""
         nodes, at = np.unique(at_depth(self.nodes, depth), return_inverse=True)
+        self.up = at
         return nodes, *(np.bincount(at, x, len(nodes)) for x in (self.zeros, self.ones, self.log_weighted))
 
 
 def grow(keys: np.ndarray, counts: np.ndarray, down_to: int = SPLIT) -> list[Level]:
-    """Levels from DEPTH to ``down_to``."""
-    seen = counts > 0
-    keys, counts = keys[seen], counts[seen].astype(float)
+    """Levels from DEPTH to ``down_to``. The first one's ``places`` has the nodes of each string's eight decisions."""
+    counts = counts.astype(float)
     both = [(n, counts * (b == 0), counts * (b == 1)) for n, b in decisions(keys)]
     nodes, at = np.unique(np.concatenate([x[0] for x in both]), return_inverse=True)
     levels = [Level(nodes, *(np.bincount(at, np.concatenate([x[i] for x in both]), len(nodes)) for i in (1, 2)))]
+    levels[0].places = at.reshape(8, -1)
     for depth in range(DEPTH - 1, down_to - 1, -1):
         levels.append(Level(*levels[-1].parents(depth)))
     return levels
@@ -155,8 +198,26 @@ def upper(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, products: np.n
     return levels
 
 
+def log10_of_seen(keys: np.ndarray, levels: list[Level], shallow: list[Level]) -> np.ndarray:
+    """Of the byte of each string that ``levels`` have grown from."""
+    if not len(keys):
+        return np.zeros(0)
+    path, chance = np.arange(len(levels[0].nodes)), None
+    for i, level in enumerate(levels + shallow):
+        one = (level.ones + 0.5) / (level.zeros + level.ones + 1)
+        chance = one[path] if chance is None else level.own[path] * one[path] + (1 - level.own[path]) * chance
+        if i == len(levels) - 1:
+            path = np.searchsorted(shallow[0].nodes, at_depth(level.nodes, SPLIT - 1))[path]
+        elif i < len(levels) + len(shallow) - 1:
+            path = level.up[path]
+    out = np.zeros(len(keys))
+    for (_, bit), at in zip(decisions(keys), levels[0].places, strict=True):
+        out += np.log10(np.where(bit == 1, chance[at], 1 - chance[at]))
+    return out
+
+
 def log10_probabilities(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Of the byte of each string after its context; levels from DEPTH to 0."""
+    """Of the byte of any string after its context; levels from DEPTH to 0."""
     out = np.zeros(len(keys))
     for nodes, bit in decisions(keys):
         p, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
@@ -175,13 +236,25 @@ def log10_probabilities(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
+def squeezed(x: np.ndarray, kind: str) -> bytes:
+    """Bytes of equal significance together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes())
+
+
+def unsqueezed(body: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return np.array([len(keys)], "<i8").tobytes() + keys.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
+    """Ascending keys with counts."""
+    return squeezed(np.concatenate([np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys, counts.astype(np.uint64)]), "<u8")
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(body, "<i8", 1)[0])
-    return np.frombuffer(body, "<u8", n, 8), np.frombuffer(body, "<u4", n, 8 + 8 * n)
+    both = unsqueezed(body, "<u8")
+    n = len(both) // 2
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
 
 
 def word_key(word: bytes) -> int:
@@ -205,18 +278,14 @@ def _asks(buckets: int):
         order = np.argsort(keys)
         yield from _dealt(keys[order], counts[order], _mix(keys[order], buckets), buckets, 0)
 
-        seen, n = counted(strings([t for t, away in zip(low, out, strict=True) if not away])[0])
-        other, _ = counted(strings([t for t, away in zip(low, out, strict=True) if away])[0])
-        keys = np.union1d(seen, other)
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, seen)] = n
+        keys, counts = counted_strings(low, out)
         yield from _dealt(keys, counts, bucket_of(keys, buckets), buckets, buckets)
 
     return run
 
 
 def _dealt(keys, counts, bucket, buckets: int, first: int) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         mine = order[ends[b] : ends[b + 1]]
@@ -228,16 +297,19 @@ def _sums(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return added(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]))
 
 
-def _top(buckets: int):
-    """Sums of a bucket for all: tokens and distinct tokens, or what its subtrees pass on. Keys and counts stay in a file."""
+def _top(buckets: int, uri: str):
+    """Sums of a bucket for all: tokens and distinct tokens, or what its subtrees pass on. What was asked stays in a file."""
 
-    def run(uri: str, bucket: int, bodies: list[bytes]) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket, table = key[0].as_py(), table.sort_by("batch")
+        bodies = table.column("body").to_pylist()
         keys, counts = _sums(bodies)
-        common.put_file(f"{uri}/{bucket}.sums", perfect_hash.dump(keys=keys, counts=counts))
+        common.put_file(f"{uri}/{bucket}.asked", pickle.dumps((table.column("batch").to_pylist(), bodies, squeezed(keys, "<u8"), squeezed(counts, "<u8"))))
+        seen = counts > 0
         if bucket < buckets:
-            node, zeros, ones, product = [-1], [counts.sum()], [float((counts > 0).sum())], [0.0]
-        elif (counts > 0).any():
-            node, zeros, ones, product = grow(keys, counts)[-1].parents(SPLIT - 1)
+            node, zeros, ones, product = [-1], [counts.sum()], [float(seen.sum())], [0.0]
+        elif seen.any():
+            node, zeros, ones, product = grow(keys[seen], counts[seen])[-1].parents(SPLIT - 1)
         else:
             node = zeros = ones = product = np.zeros(0)
         return pa.table({"node": pa.array(np.asarray(node).astype(np.int64)), "zeros": pa.array(np.asarray(zeros, float)), "ones": pa.array(np.asarray(ones, float)), "product": pa.array(np.asarray(product, float))})
@@ -245,44 +317,74 @@ def _top(buckets: int):
     return run
 
 
+#: Log-probabilities are sent as whole multiples of this.
+UNIT = 2.0**-20
+
+
 def _answers(uri: str, buckets: int, shallow: list[Level]):
-    def run(bucket: int, names: list[int], bodies: list[bytes]) -> list[bytes]:
-        z = perfect_hash.load(common.get_file(f"{uri}/{bucket}.sums"))
-        keys, counts = z["keys"], z["counts"]
-        if bucket < buckets:
-            value, kind = counts, "<i8"
-        else:
-            levels = grow(keys, counts) if (counts > 0).any() else [Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(SPLIT, DEPTH + 1)]
-            value, kind = log10_probabilities(keys, levels + shallow), "<f4"
-        return [value[np.searchsorted(keys, _unpack(b)[0])].astype(kind).tobytes() for b in bodies]
+    """The replies of the buckets named in the rows."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for bucket in part.column("bucket").to_pylist():
+                try:
+                    names, bodies, keys, counts = pickle.loads(common.get_file(f"{uri}/{bucket}.asked"))
+                except FileNotFoundError:  # there was no batch to ask
+                    continue
+                keys, counts = unsqueezed(keys, "<u8"), unsqueezed(counts, "<u8").astype(np.int64)
+                if bucket < buckets:
+                    value = counts
+                else:
+                    seen, value = counts > 0, np.zeros(len(keys))
+                    levels = grow(keys[seen], counts[seen]) if seen.any() else [Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(SPLIT, DEPTH + 1)]
+                    value[seen] = log10_of_seen(keys[seen], levels, shallow)
+                    value[~seen] = log10_probabilities(keys[~seen], levels + shallow)
+                    value = np.rint(-value / UNIT).astype(np.int64)
+                for name, body in zip(names, bodies, strict=True):
+                    reply = squeezed(value[np.searchsorted(keys, _unpack(body)[0])], "<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([reply], pa.binary())], ["bucket", "batch", "body"])
 
     return run
 
 
+class _Numbers(dict):
+    """Words in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return len(self) - 1
+
+
 def _scores(buckets: int, tokens: int, distinct: int):
     def run(batch: int, names: list, texts: list[str], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         low = [lowered(t) for t in texts]
-        words = list({w for t in low for w in t.split()})
-        keys = np.fromiter((word_key(w) for w in words), np.uint64, len(words))
+        number = _Numbers()
+        each = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t in low]
+        keys = np.fromiter((word_key(w) for w in number), np.uint64, len(number))
         keys = np.append(keys, np.uint64(_END_WORD))
         order = np.argsort(keys)
-        at = order[np.argsort(_mix(keys[order], buckets), kind="stable")]
+        at = order[np.argsort(_mix(keys[order], buckets).astype(np.uint16), kind="stable")]
         count = np.zeros(len(keys), np.int64)
-        count[at] = np.frombuffer(b"".join([replies[b] for b in range(buckets)]), "<i8")
-        of, end = dict(zip(words, count[:-1].tolist(), strict=True)), int(count[-1])
-        n_tokens, n_known, base = [], [], []
-        for t in low:
-            own = np.array([of[w] for w in t.split()] + [end], float)
-            n_tokens.append(len(own))
-            n_known.append(int((own > 0).sum()))
-            base.append(float(np.log10((own + 1) / (tokens + distinct + 1)).sum()))
-
-        every, starts = strings(low)
-        distinct_keys = np.unique(every)
-        at = np.argsort(bucket_of(distinct_keys, buckets), kind="stable")
+        count[at] = np.concatenate([unsqueezed(replies[b], "<u4") for b in range(buckets)])
+        logs = np.log10((count + 1.0) / (tokens + distinct + 1))
+        n_tokens = [len(e) + 1 for e in each]
+        n_known = [int((count[e] > 0).sum()) + int(count[-1] > 0) for e in each]
+        base = [float(logs[e].sum() + logs[-1]) for e in each]
+
+        pieces = []
+        for own, of in strings(low):
+            order = np.argsort(own)
+            own = own[order]
+            first = _firsts(own)
+            pieces.append((own[first], np.diff(np.append(first, len(own))).astype(np.int32), of[order].astype(np.int32)))
+        distinct_keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in pieces)]))
+        distinct_keys = distinct_keys[_firsts(distinct_keys)]
+        at = np.argsort(bucket_of(distinct_keys, buckets).astype(np.uint16), kind="stable")
         value = np.zeros(len(distinct_keys))
-        value[at] = np.frombuffer(b"".join([replies[buckets + b] for b in range(buckets)]), "<f4")
-        score = np.add.reduceat(value[pd.Index(distinct_keys).get_indexer(every)], starts)
+        value[at] = np.concatenate([unsqueezed(replies[buckets + b], "<u4") for b in range(buckets)]) * -UNIT
+        score = np.zeros(len(low))
+        for own, runs, of in pieces:
+            score += np.bincount(of, np.repeat(value[np.searchsorted(distinct_keys, own)], runs), len(low))
         size = np.array([len(t) for t in low])
         yield pa.RecordBatch.from_arrays(
             [
@@ -300,24 +402,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     home = common.shared_dir(spark, "context-tree")
     rows = batches.batched(docs, f"{home}/batches", key, text)
-    buckets = common.parts(common.text_bytes(docs, text), BUCKET_BYTES, 4096)
-    buckets = max(buckets, 64)
-    asked = common.stored(batches.ask(rows, _asks(buckets)), f"{home}/asked")
-
-    sums = functools.partial(_top(buckets), home)
-
-    def top(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return sums(key[0].as_py(), table.column("body").to_pylist())
-
+    buckets = max(64, common.parts(batches.totals(rows)[1], BUCKET_BYTES, 4096))
+    asked = batches.ask(rows, _asks(buckets))
     with common.tidy(spark):
-        made = asked.groupBy("bucket").applyInArrow(top, "node long, zeros double, ones double, product double")
+        made = asked.groupBy("bucket").applyInArrow(_top(buckets, home), "node long, zeros double, ones double, product double")
         nodes = made.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).toPandas().sort_values("node")
     words, nodes = nodes[nodes["node"] < 0], nodes[nodes["node"] >= 0]
     tokens, distinct = (int(words[c].sum()) for c in ("zeros", "ones"))
     shallow = upper(nodes["node"].to_numpy().astype(np.uint64), *(nodes[c].to_numpy() for c in ("zeros", "ones", "product"))) if len(nodes) else []
     if not shallow:
         shallow = [Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(SPLIT)]
-    batches.deliver(batches.answer(asked, _answers(home, buckets, shallow)), f"{home}/replies")
+    numbers = spark.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).repartition(2 * buckets, "bucket")
+    batches.deliver(numbers.mapInArrow(_answers(home, buckets, shallow), "bucket int, batch long, body binary"), f"{home}/replies")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return batches.finish(rows, f"{home}/replies", _scores(buckets, tokens, distinct), shape)
 
