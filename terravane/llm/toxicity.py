@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model([], Neighbours(np.zeros(0)).build([]), np.zeros(1), np.zeros(1), k)
     odds = ((F.col("t") + 0.5) / (total["t"] + 1)) / ((F.col("c") + 0.5) / (total["c"] + 1))
     precise = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1) >= 0.85
-    enough = F.col("t") >= max(3, math.ceil(total["t"] * 0.005))
+    enough = F.col("t") >= max(4, math.ceil(total["t"] * 0.015))
     kept = counted.where((F.col("feature") != "") & precise & enough).orderBy((F.col("t") * F.log(odds)).desc(), "feature").limit(features)
     names = [r["feature"] for r in kept.collect()]
 
