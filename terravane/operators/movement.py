@@ -38,10 +38,18 @@ MINUTES = EdgeRule(5 * MINUTE_MS, 3 * HOUR_MS, _whole_minutes)
 
 
 def consecutive_edges(posts: DataFrame, rule: EdgeRule = PASSAGES, user: str = "user_id", ts: str = "ts", cell: str = "cell", tie: str = "id") -> DataFrame:
-    """(user, src, dst, ms, weight): one row for each passage. One shuffle, by user."""
-    order = Window.partitionBy(user).orderBy(ts, tie)
-    slim = posts.select(user, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"), F.col(ts), F.col(cell).alias("dst"), F.col(tie)).where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-    rows = slim.withColumn("src", F.lag("dst").over(order)).withColumn("ms", F.col("_ms") - F.lag("_ms").over(order))
+    """(user, src, dst, ms, weight): one row for each passage.
+
+    Time is cut into spans as long as the rule's upper bound. A passage begins in the span in which it ends or in the one before, so
+    each post also stands at the front of the next span, and the one shuffle is by user and span: a user with very many
+    posts is spread over time.
+    """
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    slim = posts.select(user, ms.alias("_ms"), F.col(ts), F.col(cell).alias("dst"), F.col(tie)).where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+    span = F.floor(F.col("_ms") / rule.less_than)
+    rows = slim.withColumn("_at", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))))).select("*", "_at.*")
+    order = Window.partitionBy(user, "span").orderBy(ts, tie)
+    rows = rows.withColumn("src", F.lag("dst").over(order)).withColumn("ms", F.col("_ms") - F.lag("_ms").over(order)).where("own")
     return rows.where((F.col("src") != F.col("dst")) & (F.col("ms") > rule.more_than) & (F.col("ms") < rule.less_than)).select(user, "src", "dst", "ms", rule.weight(F.col("ms")).alias("weight"))
 
 
