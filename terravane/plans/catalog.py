@@ -324,6 +324,26 @@ def parse_shell_json(spark, d):
     return rows.select(F.from_json("line", "_id long, created_at long").alias("r")).select(F.col("r._id").alias("id"), "r.created_at")
 
 
+@query("select distinct user_id as id from events")
+def distinct_ids(spark, d):
+    return views.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+
+
+@query("select s_suppkey as id, case when s_suppkey % 3 = 0 then 0.75e0 else 0.5e0 end as radius, s_suppkey + 0.5e0 as qlat from supplier where s_suppkey % 4 <> 0")
+def point_lines(spark, d):
+    k = F.col("s_suppkey")
+    line = F.when(k % 4 == 0, F.lit("bad\tline")).otherwise(F.concat_ws("\t", (k + 0.5).cast("string"), k.cast("string"), F.when(k % 3 == 0, "0.75")))
+    points = readers.points_of(views.table(spark, d, "supplier").select(line.alias("value")))
+    return points.select(F.col("qlon").cast("long").alias("id"), "radius", "qlat")
+
+
+@query("select event_id as id, event_id % 90 + 0.5e0 as lat, event_id % 180 + 0.25e0 as lon, event_id * 1000 as ms from events")
+def reversed_posts(spark, d):
+    k = F.col("event_id")
+    old = views.table(spark, d, "events").select(k.alias("_id"), F.struct(F.lit("Point").alias("type"), F.array(k % 90 + 0.5, k % 180 + 0.25).alias("coordinates")).alias("geo"), k.alias("created_at"))
+    return readers.reversed_posts(old).select(F.col("_id").alias("id"), F.col("geo.coordinates")[1].alias("lat"), F.col("geo.coordinates")[0].alias("lon"), F.unix_millis("created_at").alias("ms"))
+
+
 # Map places
 
 _KEYS = ("amenity", "highway", "railway", "tourism", "shop", "charge", "emergency", "office")
@@ -483,6 +503,24 @@ def position_means(spark, d):
     return ranking.position_means(views.order_rankings(spark, d), "features").withColumn("mean", F.round("mean", 9))
 
 
+@query("select l_orderkey as query_id, l_linenumber as doc_id, round((l_quantity + l_discount + l_tax) / 3, 9) as mean from lineitem")
+def row_means(spark, d):
+    o = views.order_rankings(spark, d)
+    return o.select("query_id", "doc_id", F.round(ranking.row_means(o, "features"), 9).alias("mean"))
+
+
+@query("select 0 as position, round(avg(l_quantity), 9) as mean from lineitem")
+def best_position(spark, d):
+    best = ranking.best_position(ranking.position_means(views.order_rankings(spark, d), "features"))
+    return best.withColumn("mean", F.round("mean", 9))
+
+
+@query("select query_id, l_orderkey, l_linenumber, position from (select l_suppkey as query_id, l_orderkey, l_linenumber, cast(row_number() over (partition by l_suppkey order by l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as int) as position from lineitem) x where position <= 10")
+def top_by_prediction(spark, d):
+    order = ["prediction", "l_orderkey", "l_linenumber", "l_partkey", "target"]
+    return ranking.positions(views.supplier_rankings(spark, d), order).where(F.col("position") <= 10).select("query_id", "l_orderkey", "l_linenumber", "position")
+
+
 MODEL = Ensemble((ObliviousTree((0, 1), (25.0, 0.05), (1.0, 2.0, -1.0, 0.5)), ObliviousTree((2, 0), (0.04, 10.0), (0.25, -0.5, 0.125, 3.0))), 0.5)
 _LEAF1, _LEAF2 = "(cast(l_quantity > 25 as int) + 2 * cast(l_discount > 0.05e0 as int))", "(cast(l_tax > 0.04e0 as int) + 2 * cast(l_quantity > 10 as int))"
 

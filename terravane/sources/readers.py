@@ -100,9 +100,14 @@ def _whole_point() -> Column:
     return F.col("qlat").isNotNull() & F.col("qlon").isNotNull() & F.col("radius").isNotNull()
 
 
+def points_of(lines: DataFrame) -> DataFrame:
+    """Query points from a column ``value`` of lines."""
+    return _point_columns(lines).where(_whole_point()).select("query_idx", "qlat", "qlon", "radius")
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """(query_idx, qlat, qlon, radius) from lines of latitude, longitude and, if there is one, radius in km."""
-    return _point_columns(spark.read.text(path)).where(_whole_point()).select("query_idx", "qlat", "qlon", "radius")
+    return points_of(spark.read.text(path))
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
