@@ -65,14 +65,17 @@ def places_of(nodes: DataFrame) -> DataFrame:
     return rows.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "name", "url", F.col("phone").alias("contact_phone"), "operator", osm.categories().alias("categories_names"))
 
 
-def with_category_ids(places: DataFrame, ids: DataFrame) -> DataFrame:
+def with_category_ids(places: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """``places`` with categories_ids from ``ids`` (name, fullCategory), null where a name is missing; quotes in names are dropped.
 
-    The table of categories is a few hundred rows; it becomes one map that each task reads.
+    A place has a few dozen categories at most, so its list is bounded; the lookup is a join, which Spark broadcasts if the
+    table is small.
     """
-    table = ids.select(F.translate("name", '"', "").alias("name"), "fullCategory").groupBy("name").agg(F.min("fullCategory").alias("id"))
-    whole = table.agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))
-    return places.join(F.broadcast(whole)).withColumn("categories_ids", F.transform("categories_names", lambda n: F.try_element_at("_ids", n))).drop("_ids")
+    table = ids.select(F.translate("name", '"', "").alias("_name"), "fullCategory").groupBy("_name").agg(F.min("fullCategory").alias("_id"))
+    each = places.select(F.col(key).alias("_key"), F.col("categories_names").alias("_names"), F.posexplode("categories_names").alias("_pos", "_name")).distinct()
+    found = each.join(table, "_name", "left").groupBy("_key", "_names").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda x: x["_id"]).alias("_ids"))
+    joined = places.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("categories_names") == F.col("_names")), "left")
+    return joined.withColumn("categories_ids", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_key", "_names", "_ids")
 
 
 def coordinates_of(table: DataFrame) -> DataFrame:
