@@ -73,15 +73,17 @@ def totals(batches: DataFrame) -> tuple[int, int]:
     return row["n"] or 0, row["s"] or 0
 
 
-def ask(batches: DataFrame, asks: Callable[[int, list, list[str]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """(bucket, batch, body): what each batch asks the buckets."""
+def ask(owner: str, batches: DataFrame, asks: Callable[[int, list, list[str]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """(bucket, batch, body): what each batch asks the buckets. ``owner`` names the operator for ``common.claim``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):
                 batch = part.column("batch")[k].as_py()
+                common.claim(owner)
                 sent = list(asks(batch, *_unpacked(part.column("body")[k].as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sent], pa.int32()), pa.array([batch] * len(sent), pa.int64()), pa.array([s[1] for s in sent], pa.binary())], ["bucket", "batch", "body"])
+                common.give_back()
 
     return batches.select("batch", "body").mapInArrow(run, _ASK)
 
@@ -119,13 +121,15 @@ def read_reply(uri: str, batch: int) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
 
 
-def finish(batches: DataFrame, uri: str, work: Callable[[int, list, list[str], dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def finish(owner: str, batches: DataFrame, uri: str, work: Callable[[int, list, list[str], dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Each batch with the replies to it."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):
                 batch = part.column("batch")[k].as_py()
+                common.claim(owner)
                 yield from work(batch, *_unpacked(part.column("body")[k].as_py()), read_reply(uri, batch))
+                common.give_back()
 
     return batches.select("batch", "body").mapInArrow(run, schema)

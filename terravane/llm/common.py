@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +89,28 @@ def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, own)
 
 
+#: What operators keep from task to task, by owner, as functions that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = [""]
+
+
+def claim(owner: str) -> None:
+    """Called by a task before it works: a worker that served another operator drops what that one had kept."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for name, drop in KEPT.items():
+            if name != owner:
+                drop()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the machine, as idle workers share it with busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -403,7 +403,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     home = common.shared_dir(spark, "context-tree")
     rows = batches.batched(docs, f"{home}/batches", key, text)
     buckets = max(64, common.parts(batches.totals(rows)[1], BUCKET_BYTES, 4096))
-    asked = batches.ask(rows, _asks(buckets))
+    asked = batches.ask("contexts", rows, _asks(buckets))
     with common.tidy(spark):
         made = asked.groupBy("bucket").applyInArrow(_top(buckets, home), "node long, zeros double, ones double, product double")
         nodes = made.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).toPandas().sort_values("node")
@@ -415,7 +415,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     numbers = spark.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).repartition(2 * buckets, "bucket")
     batches.deliver(numbers.mapInArrow(_answers(home, buckets, shallow), "bucket int, batch long, body binary"), f"{home}/replies")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return batches.finish(rows, f"{home}/replies", _scores(buckets, tokens, distinct), shape)
+    return batches.finish("contexts", rows, f"{home}/replies", _scores(buckets, tokens, distinct), shape)
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

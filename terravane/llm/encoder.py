@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 
+from terravane.llm import common
+
 #: Python, but not the tokenizer, takes these for white space.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The pre-tokenizer's pattern, for printable lower-case ASCII.
@@ -89,10 +91,12 @@ class WordEncoder:
 
 
 _OPEN: dict[str, WordEncoder] = {}
+common.KEPT["tokens"] = _OPEN.clear
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, kept warm from task to task."""
+    common.claim("tokens")
     if path not in _OPEN:
         _OPEN[path] = WordEncoder(path)
     return _OPEN[path]

@@ -94,6 +94,7 @@ def _lookup(index: DigestIndex, carried: pa.Schema):
     schema = pa.schema([*carried, pa.field("member", pa.bool_()), *[pa.field(f"seen_{c}", pa.int64()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("digests")
         at, shard = -1, None
         for batch in batches:
             raw, h1, h2 = _keys(batch.column("digest"))

@@ -151,8 +151,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     home = common.shared_dir(spark, "line-dedup")
     rows = batches.batched(docs, f"{home}/batches", key, text)
     buckets = max(64, common.parts(batches.totals(rows)[1], BUCKET_BYTES, 4096))
-    batches.deliver(batches.answer(batches.ask(rows, _asks(buckets)), _answers), f"{home}/replies")
-    return batches.finish(rows, f"{home}/replies", _clean(buckets), _RESULT)
+    batches.deliver(batches.answer(batches.ask("lines", rows, _asks(buckets)), _answers), f"{home}/replies")
+    return batches.finish("lines", rows, f"{home}/replies", _clean(buckets), _RESULT)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+common.KEPT["shingles"] = _WORDS.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -415,8 +416,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = batches.batched(docs, f"{home}/batches", key, text)
     documents, size = batches.totals(rows)
     buckets = max(64, common.parts(size, BUCKET_BYTES, 8192))
-    batches.deliver(batches.answer(batches.ask(rows, _asks(buckets)), _answers), f"{home}/replies")
-    signed = common.stored(batches.finish(rows, f"{home}/replies", _sign(buckets, documents), _SIGNED), f"{home}/signed")
+    batches.deliver(batches.answer(batches.ask("shingles", rows, _asks(buckets)), _answers), f"{home}/replies")
+    signed = common.stored(batches.finish("shingles", rows, f"{home}/replies", _sign(buckets, documents), _SIGNED), f"{home}/signed")
     can_link = F.col("bands").isNotNull()
 
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node", "total", "shared", "shingles", "bands")).alias("m")

@@ -76,12 +76,13 @@ class Reader:
     """Feature counts of whole texts; chunks seen before are looked up."""
 
     def __init__(self, names: list[str]):
+        common.claim("features")
         self.number, self.memo = {f: i for i, f in enumerate(names)}, {}
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         found = tuple(self.number[f] for f in features_of(chunk) if f in self.number)
         if len(chunk) <= 100:
-            if len(self.memo) >= 500_000:
+            if len(self.memo) >= 300_000:
                 self.memo.clear()
             self.memo[chunk] = found
         return found
