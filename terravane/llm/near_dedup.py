@@ -1,6 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling (operator 5).
 
-A document is the set of its shingles, five words each, weighted by TF-IDF over all documents. Documents are linked if the
+A document is the set of its shingles, five words each, weighted by TF-IDF over all documents; the inverse document frequency
+is scaled to lie between 1 and 2, so that near copies are alike whether there are two of them or thousands. Documents are linked if the
 weighted Jaccard similarity of these sets is 0.8 or more; a class is a connected component of links. Steps:
 
 * Shingle frequencies are counted over all documents, batch by batch (see ``batches``).
@@ -174,7 +175,7 @@ def weigh(own: Shingles, replies: dict[int, bytes], documents: int) -> tuple[np.
     """TF-IDF weights of a batch's shingles, and the frequencies over all documents they come from."""
     of_each = [_whole(np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b]), np.uint8), "<u4") for b in sorted(replies)]
     df = np.concatenate(of_each) if of_each else np.zeros(0)
-    return own.tf * (1 + np.log((documents + 1) / (df + 1)))[own.of], df[own.of]
+    return own.tf * (1 + np.log((documents + 1) / (df + 1)) / np.log(documents + 1))[own.of], df[own.of]
 
 
 class Sampler:

@@ -21,7 +21,7 @@ def brute(texts):
     """Class of every text: components of all pairs at 0.8 or more."""
     sets = [shingles(t) for t in texts]
     df = collections.Counter(k for s in sets for k in s)
-    weights = [{k: n * (1 + math.log((len(texts) + 1) / (df[k] + 1))) for k, n in s.items()} for s in sets]
+    weights = [{k: n * (1 + math.log((len(texts) + 1) / (df[k] + 1)) / math.log(len(texts) + 1)) for k, n in s.items()} for s in sets]
     up = list(range(len(texts)))
 
     def root(i):
