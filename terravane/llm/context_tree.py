@@ -10,7 +10,7 @@ The counts of all (context, byte) strings of the training texts are a sufficient
 count their own strings (see ``batches``); buckets, dealt by the last two bytes of the context, add them up, grow the
 trees from depth 2 down and keep both, with what was asked, in a file. What depth 2 passes on to the 65 280 nodes above it, at
 most, goes through the driver: the number is fixed by the alphabet, not by the data. Then the buckets answer each batch with
-the log-probability of each of its strings (to 2**-20), and the batch adds them up by document. The word counts of the base
+the log-probability of each of its strings (to 2**-14), and the batch adds them up by document. The word counts of the base
 score go the same way. Texts are read in pieces of 256 kB, so a task's memory does not depend on them.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
@@ -318,7 +318,7 @@ def _top(buckets: int, uri: str):
 
 
 #: Log-probabilities are sent as whole multiples of this.
-UNIT = 2.0**-20
+UNIT = 2.0**-14
 
 
 def _answers(uri: str, buckets: int, shallow: list[Level]):

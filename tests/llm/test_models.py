@@ -83,7 +83,7 @@ def test_context_trees_equal_their_definition(docs_of, monkeypatch):
     for i, t in enumerate(texts):
         r = rows[i]
         tokens = [*re.findall(rb"[^\x20\x09-\x0d]+", lower(t)), None]
-        assert r["score"] == pytest.approx(model.score(lower(t)), abs=2e-4), t
+        assert r["score"] == pytest.approx(model.score(lower(t)), abs=1e-3), t
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
 
