@@ -10,7 +10,7 @@ The counts of all (context, byte) strings of the training texts are a sufficient
 count their own strings (see ``batches``); buckets, dealt by the last two bytes of the context, add them up, grow the
 trees from depth 2 down and keep both, with what was asked, in a file. What depth 2 passes on to the 65 280 nodes above it, at
 most, goes through the driver: the number is fixed by the alphabet, not by the data. Then the buckets answer each batch with
-the log-probability of each of its strings (to 2**-14), and the batch adds them up by document. The word counts of the base
+the log-probability of each of its strings (to 2**-20), and the batch adds them up by document. The word counts of the base
 score go the same way. Texts are read in pieces of 256 kB, so a task's memory does not depend on them.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import batches, common
 
-DEPTH = 6
+DEPTH = 7
 #: Depth from which on a bucket holds whole subtrees.
 SPLIT = 2
 BUCKET_BYTES = 8 << 20
@@ -103,15 +103,19 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def counted_strings(texts: list[bytes], away: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of a batch, with their counts in the texts that are not ``away``."""
-    flag = np.array(away, np.uint64)
-    keys = np.concatenate([np.zeros(0, np.uint64), *(k << np.uint64(1) | flag[of] for k, of in strings(texts))])
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    keys.sort()
-    train = (keys & np.uint64(1) == 0).astype(np.int32)
-    keys >>= np.uint64(1)
-    first = _firsts(keys)
-    return keys[first], np.add.reduceat(train, first).astype(np.int64)
+    flag, parts = np.array(away, bool), ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    for k, of in strings(texts):
+        gone = flag[of]
+        parts[0].append(k[~gone])
+        parts[1].append(k[gone])
+    train = np.concatenate(parts[0])
+    train.sort()
+    first = _firsts(train)
+    other = np.concatenate(parts[1])
+    other.sort()
+    other = other[_firsts(other)]
+    counts = np.diff(np.append(first, len(train)))
+    return added(np.concatenate([train[first], other]), np.concatenate([counts, np.zeros(len(other), np.int64)]))
 
 
 def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -318,7 +322,7 @@ def _top(buckets: int, uri: str):
 
 
 #: Log-probabilities are sent as whole multiples of this.
-UNIT = 2.0**-14
+UNIT = 2.0**-20
 
 
 def _answers(uri: str, buckets: int, shallow: list[Level]):

@@ -83,7 +83,7 @@ def test_context_trees_equal_their_definition(docs_of, monkeypatch):
     for i, t in enumerate(texts):
         r = rows[i]
         tokens = [*re.findall(rb"[^\x20\x09-\x0d]+", lower(t)), None]
-        assert r["score"] == pytest.approx(model.score(lower(t)), abs=1e-3), t
+        assert r["score"] == pytest.approx(model.score(lower(t)), abs=2e-4), t
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
 
@@ -118,10 +118,10 @@ def auc(scored):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    path = "/root/testdata/sf0.01"
+    path = "/root/testdata/sf0.1"  # the smaller tables hold out a handful of toxic rows
     rows = toxicity.op10_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").collect()
     scored = [(r["score"], r["toxic"]) for r in rows]
-    assert auc(scored) > 0.8 and np.mean([(r["predicted"] == r["toxic"]) for r in rows]) > 0.9
+    assert auc(scored) > 0.9 and np.mean([(r["predicted"] == r["toxic"]) for r in rows]) > 0.9
 
 
 def test_toxicity_neighbours_are_exact():
