@@ -14,7 +14,7 @@ POINTS, QUERIES = "id long, lat double, lon double", "query_idx long, qlat doubl
 def frames(spark, seed, lat, lon, radius, n=400, m=40):
     draw = random.Random(seed)
     points = [(i, draw.uniform(*lat), draw.uniform(*lon)) for i in range(n)] + [(n, None, 1.0), (n + 1, 1.0, None)]
-    queries = [(i, draw.uniform(*lat), draw.uniform(*lon), radius * draw.choice([0.3, 1, 1])) for i in range(m)] + [(m, None, 1.0, 1.0), (m + 1, *points[0][1:], 0.0), (m + 2, *points[1][1:], radius)]
+    queries = [(i, draw.uniform(*lat), draw.uniform(*lon), float(radius * draw.choice([0.3, 1, 1]))) for i in range(m)] + [(m, None, 1.0, 1.0), (m + 1, *points[0][1:], 0.0), (m + 2, *points[1][1:], float(radius))]
     return spark.createDataFrame(points, POINTS), spark.createDataFrame(queries, QUERIES)
 
 
