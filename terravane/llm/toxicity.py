@@ -1,15 +1,15 @@
 """Toxicity scores from the nearest labelled examples (operator 10).
 
 Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, chosen by a hash of the id (a bounded sample, so what is
-fitted can be held on the driver and sent to every task). Features are words and word beginnings of 3 to 7 letters whose
-presence speaks for the label in the sample; counts of each come from a distributed pass over the sample. Their document
-frequencies come from a pass over all documents. One half of the sample are the examples; the other half calibrates.
+fitted can be held by every task; the driver holds the features' names and frequencies only). One half of the sample are the examples; the other half calibrates.
+Features are words and word beginnings of 3 to 7 letters: all that any example has, whatever its label and however rare.
+Their document frequencies come from a pass over all documents.
 
-The examples' TF-IDF vectors are kept in inverted lists, cut into blocks of 64 examples; each list keeps the largest weight in
-each block. For a document, block sums of these bound the cosines of all examples of a block, blocks are scored from the
-largest bound downward, and the search ends when no bound can reach the k-th best cosine: the neighbours are exact. They
-vote with their cosines as weights; a monotone step function, fitted on the calibrating half, turns the vote into the
-share of toxic rows. Neighbours are returned as evidence.
+Each example is kept with its whole TF-IDF vector. The features that most examples have are columns of a dense matrix, the others
+are inverted lists; both together give all cosines of a document in single precision. Those that can be among the k
+largest are computed again in double precision, so the neighbours are exact. They vote with their cosines as weights; a
+monotone step function, fitted on the calibrating half, turns the vote into the share of toxic rows. Neighbours are
+returned as evidence. Features that no example has are in no cosine: they are not counted in a document's length.
 
 Defined cases: null and empty texts have no features, no neighbours and the share of toxic rows among such texts; texts are
 read whole; a null id is in no label row and counts as held out only by its crc (it isn't); rows with equal ids are
@@ -19,23 +19,27 @@ label of 1 every score is 0; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-import math
+import io
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import common
 
 FIT_ROWS = 20_000
-FEATURES = 512
 NEIGHBOURS = 15
-BLOCK = 64
+#: Working sizes, without effect on results: columns of the dense matrix, documents multiplied at once, chunks remembered.
+DENSE = 2048
+TOGETHER = 128
+MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,80 +57,120 @@ def features_of(chunk: str) -> list[str]:
     return out
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: set[str] = set()
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update({f for chunk in set(text.split()) for f in features_of(chunk)} | {""})
-            if len(counts[0]) + len(counts[1]) > 400_000:
-                yield from _dump(counts)
-    yield from _dump(counts)
-
-
-def _dump(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-    names = list(counts[0] | counts[1])
-    for k in range(0, len(names), 50_000):
-        part = names[k : k + 50_000]
-        yield pa.RecordBatch.from_pydict({"feature": part, "clean": pa.array([counts[0][f] for f in part], pa.int64()), "toxic": pa.array([counts[1][f] for f in part], pa.int64())})
-    for c in counts:
-        c.clear()
+        for text in batch.column("text").to_pylist():
+            found.update(f for chunk in set(text.split()) for f in features_of(chunk))
+            if len(found) > 400_000:
+                yield pa.RecordBatch.from_pydict({"feature": list(found)})
+                found.clear()
+    yield pa.RecordBatch.from_pydict({"feature": pa.array(list(found), pa.string())})
 
 
 class Reader:
     """Feature counts of whole texts; chunks seen before are looked up."""
 
     def __init__(self, names: list[str]):
-        common.claim("features")
         self.number, self.memo = {f: i for i, f in enumerate(names)}, {}
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         found = tuple(self.number[f] for f in features_of(chunk) if f in self.number)
         if len(chunk) <= 100:
-            if len(self.memo) >= 300_000:
+            if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[chunk] = found
         return found
 
-    def counts(self, text: str) -> dict[int, int]:
-        get, out = self.memo.get, {}
-        chunks = text.split()
-        for chunk, found in zip(chunks, map(get, chunks), strict=True):
-            if found is None:
-                found = self._chunk(chunk)
-            for f in found:
-                out[f] = out.get(f, 0) + 1
-        return out
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a text, ascending, and how often each occurs."""
+        get, found, times = self.memo.get, [], []
+        for chunk, n in Counter(text.split()).items():
+            own = get(chunk)
+            if own is None:
+                own = self._chunk(chunk)
+            found += own
+            times += [n] * len(own)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.array(found, np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return at[new], np.add.reduceat(np.array(times, np.int64)[order], new)
+
+
+#: What a worker has read from the shared folder, by URI: the last reader and the last index.
+_LOADED: dict[str, object] = {}
+common.KEPT["features"] = _LOADED.clear
+
+
+def _kept(kind: str, uri: str, load: Callable[[bytes], object]):
+    common.claim("features")
+    name = f"{uri}/{kind}"
+    if name not in _LOADED:
+        for old in [x for x in _LOADED if x.endswith(f"/{kind}")]:
+            del _LOADED[old]
+        _LOADED[name] = load(common.get_file(name))
+        common.give_back()
+    return _LOADED[name]
 
 
-def _frequencies(names: list[str]):
+def reader_of(uri: str) -> Reader:
+    return _kept("names", uri, lambda body: Reader(zlib.decompress(body).decode().split("\n")))
+
+
+def index_of(uri: str) -> Neighbours:
+    return _kept("index", uri, lambda body: Neighbours.loads(uri, body))
+
+
+def _frequencies(uri: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, df, n = Reader(names), np.zeros(len(names) + 1, np.int64), 0
+        reader, df = reader_of(uri), np.zeros(size + 1, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                df[list(reader.counts(text))] += 1
-                n += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(range(len(df)), pa.int32()), "n": pa.array(df)})
+                df[reader.counts(text)[0]] += 1
+                df[-1] += 1
+        some = np.flatnonzero(df)
+        for k in range(0, len(some), 50_000):
+            part = some[k : k + 50_000]
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(part, pa.int32()), "n": pa.array(df[part])})
 
     return run
 
 
-def _vectors(names: list[str]):
+def _vectors(uri: str):
+    """Puts the vectors of a part of the examples into one file and gives its number; the driver does not hold them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(names)
+        reader, part, made = reader_of(uri), TaskContext.get().partitionId(), []
         for batch in batches:
-            found = [reader.counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "feature", "n"],
-            )
+            for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
+                f, n = reader.counts(text)
+                if len(f):
+                    made.append((i, y, f.astype(np.int32), n.astype(np.int32)))
+        if made:
+            common.put_file(f"{uri}/part-{part}", _bytes(ids=np.array([m[0] for m in made], np.int64), labels=np.array([m[1] for m in made], np.int8), ends=np.cumsum([0, *(len(m[2]) for m in made)]), feature=np.concatenate([m[2] for m in made]), count=np.concatenate([m[3] for m in made])))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
     return run
 
 
+def _bytes(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Neighbours:
-    """A block-max inverted index over example vectors."""
+    """Whole vectors of examples, and all cosines with them."""
 
     idf: np.ndarray
     ids: list[int] = field(default_factory=list)
@@ -138,39 +182,86 @@ class Neighbours:
 
     def build(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbours:
         """rows: id, label, features, counts, none of them without features."""
-        made = [(i, y, f, self.weigh(f, n)) for i, y, f, n in rows]
-        made.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[1], r[0]))  # like examples share blocks
-        self.ids, self.labels = [r[0] for r in made], np.array([r[1] for r in made], np.int8)
-        term = np.concatenate([r[2] for r in made]) if made else np.zeros(0, np.int64)
-        example = np.repeat(np.arange(len(made)), [len(r[2]) for r in made])
-        weight = np.concatenate([r[3] for r in made]) if made else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.blocks = max(1, -(-len(made) // BLOCK))
-        cell = term[order] * self.blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(self.idf) * self.blocks + 1))
-        self.most = np.zeros((len(self.idf), self.blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
+        none = np.zeros(0, np.int32)
+        rows = sorted(rows, key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+        self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
+        self.ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+        self.feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
+        self.count = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)
+        return self._ready()
+
+    @classmethod
+    def loads(cls, uri: str, body: bytes) -> Neighbours:
+        """From the frequencies and the files of vectors that ``body`` numbers."""
+        with np.load(io.BytesIO(body)) as f:
+            idf, parts = f["idf"], f["parts"].tolist()
+        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for part in parts:
+            with np.load(io.BytesIO(common.get_file(f"{uri}/part-{part}"))) as f:
+                ids, labels, ends, feature, count = (f[x] for x in ("ids", "labels", "ends", "feature", "count"))
+            rows += [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return cls(idf).build(rows)
+
+    def _ready(self) -> Neighbours:
+        """Norms, the dense columns and the inverted lists, from the vectors."""
+        n = len(self.ids)
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
+        weight = (1 + np.log(self.count)) * self.idf[self.feature]
+        self.norm = np.sqrt(np.bincount(example, weight * weight, minlength=n))
+        weight = (weight / self.norm[example]).astype(np.float32)
+        df = np.bincount(self.feature, minlength=len(self.idf))
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[df[often] * 200 > n]
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((n, len(often)), np.float32)
+        column = self.column[self.feature]
+        some = column >= 0
+        self.dense[example[some], column[some]] = weight[some]
+        rest = np.flatnonzero(~some)
+        rest = rest[np.argsort(self.feature[rest], kind="stable")]
+        self.length = np.where(self.column < 0, df, 0)
+        self.start = np.cumsum(self.length) - self.length
+        self.example, self.weight = example[rest], weight[rest]
+        self.query = np.zeros(len(self.idf))
         return self
 
     def nearest(self, features: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest cosines over 0 with their examples, ties to the smaller id."""
+        return self.nearest_of([(features, counts)], k)[0]
+
+    def nearest_of(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each document."""
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(docs), TOGETHER):
+            part = docs[at : at + TOGETHER]
+            queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in part]
+            wide = np.zeros((len(part), self.dense.shape[1]), np.float32)
+            for row, (f, _), q in zip(wide, part, queries, strict=True):
+                column = self.column[f]
+                row[column[column >= 0]] = q[column >= 0]
+            sums = wide @ self.dense.T
+            out += [self._best(f, q, own, k) for (f, _), q, own in zip(part, queries, sums, strict=True)]
+        return out
+
+    def _best(self, features: np.ndarray, q: np.ndarray, sums: np.ndarray, k: int) -> list[tuple[float, int]]:
         if not len(features) or not len(self.ids):
             return []
-        q = self.weigh(features, counts)
-        bounds, best = q @ self.most[features], []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[k - 1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for f, w in zip(features.tolist(), q.tolist(), strict=True):
-                cell = f * self.blocks + b
-                at = slice(self.start[cell], self.start[cell + 1])
-                sums[self.example[at] - b * BLOCK] += w * self.weight[at]
-            best += [(round(float(sums[i]), 12), b * BLOCK + i) for i in np.flatnonzero(sums > 0).tolist()]
-            best.sort(key=lambda x: (-x[0], self.ids[x[1]], x[1]))
-            del best[k:]
-        return best
+        length = self.length[features]
+        places = _ranges(self.start[features], length)
+        sums = sums + np.bincount(self.example[places], np.repeat(q.astype(np.float32), length) * self.weight[places], minlength=len(sums))
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-4 if len(sums) > k else 0.0
+        near = np.flatnonzero((sums > 0) & (sums >= least))  # a sum is over 0 where any feature is shared, as no weight is under 0
+        length = np.diff(self.ends)[near]
+        places = _ranges(self.ends[near], length)
+        own = self.feature[places]
+        self.query[features] = q
+        w = self.query[own] * (1 + np.log(self.count[places])) * self.idf[own]
+        self.query[features] = 0
+        cosines = np.bincount(np.repeat(np.arange(len(near)), length), w, minlength=len(near)) / self.norm[near]
+        best = [(round(c, 12), i) for c, i in zip(cosines.tolist(), near.tolist(), strict=True)]
+        best.sort(key=lambda x: (-x[0], self.ids[x[1]], x[1]))
+        return best[:k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, by cosine; a little weight speaks for label 0, so far neighbours count for less."""
@@ -192,19 +283,40 @@ def step_function(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass
 class Model:
-    names: list[str]
-    index: Neighbours
+    """Names and index lie under ``uri``; without one every score is 0."""
+
+    uri: str | None
     ends: np.ndarray
     shares: np.ndarray
     k: int
 
-    def score(self, features: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(features, counts, self.k)
-        at = np.searchsorted(self.ends, self.index.vote(near), side="right") - 1
-        return float(self.shares[max(at, 0)]), near
+    def share(self, vote: float) -> float:
+        return float(self.shares[max(np.searchsorted(self.ends, vote, side="right") - 1, 0)])
+
+    def score(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and neighbours of each text; called in tasks."""
+        if self.uri is None:
+            yield from [(0.0, [])] * len(texts)
+            return
+        reader, index = reader_of(self.uri), index_of(self.uri)
+        for at in range(0, len(texts), TOGETHER):
+            for near in index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], self.k):
+                yield self.share(index.vote(near)), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, features: int = FEATURES, k: int = NEIGHBOURS) -> Model:
+def _votes(uri: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, index = reader_of(uri), index_of(uri)
+        for batch in batches:
+            texts, votes = batch.column("text").to_pylist(), []
+            for at in range(0, len(texts), TOGETHER):
+                votes += map(index.vote, index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], k))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, k: int = NEIGHBOURS) -> Model:
     """Learns from the labels of training rows and from the texts of all documents."""
     spark = docs.sparkSession
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -212,30 +324,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = min(1.0, rows / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
-    chosen = common.stored(slim.join(F.broadcast(sample), "doc_id"), f"{common.shared_dir(spark, 'toxicity')}/sample")
+    home = common.shared_dir(spark, "toxicity")
+    chosen = common.stored(slim.join(F.broadcast(sample), "doc_id"), f"{home}/sample")
     chosen = chosen.repartition(min(64, max(1, spark.sparkContext.defaultParallelism)), "doc_id")
-
-    counted = chosen.mapInArrow(_count_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    total = counted.where("feature = ''").first() or {"c": 0, "t": 0}
-    if not total["t"]:
-        return Model([], Neighbours(np.zeros(0)).build([]), np.zeros(1), np.zeros(1), k)
-    odds = ((F.col("t") + 0.5) / (total["t"] + 1)) / ((F.col("c") + 0.5) / (total["c"] + 1))
-    precise = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1) >= 0.85
-    enough = F.col("t") >= max(4, math.ceil(total["t"] * 0.015))
-    kept = counted.where((F.col("feature") != "") & precise & enough).orderBy((F.col("t") * F.log(odds)).desc(), "feature").limit(features)
-    names = [r["feature"] for r in kept.collect()]
-
-    seen = {r["feature"]: r["n"] for r in slim.select("text").mapInArrow(_frequencies(names), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    n = seen.get(len(names), 0)
-    idf = np.array([1 + math.log((n + 1) / (seen.get(i, 0) + 1)) for i in range(len(names))])
-    made = chosen.mapInArrow(_vectors(names), "doc_id long, toxic int, feature array<int>, n array<int>").withColumn("half", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2)))
-    vectors = [(r["doc_id"], r["toxic"], np.array(r["feature"], np.int64), np.array(r["n"], np.int64), r["half"]) for r in made.collect()]
-    vectors.sort(key=lambda v: (v[0], v[2].tolist()))
-    index = Neighbours(idf).build([v[:4] for v in vectors if v[4] == 0 and len(v[2])])
-    rest = [v for v in vectors if v[4] == 1] or vectors
-    votes = np.array([index.vote(index.nearest(v[2], v[3], k)) for v in rest])
-    ends, shares = step_function(np.round(votes, 6), np.array([v[1] for v in rest]))
-    return Model(names, index, ends, shares, k)
+    if chosen.where("toxic = 1").isEmpty():
+        return Model(None, np.zeros(1), np.zeros(1), k)
+    half = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))
+    examples, rest = chosen.where(half == 0), chosen.where(half == 1)
+
+    names = sorted(examples.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist())
+    common.put_file(f"{home}/names", zlib.compress("\n".join(names).encode(), 1))
+    counted = slim.select("text").mapInArrow(_frequencies(home, len(names)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1, np.int64)
+    df[counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
+    idf = 1 + np.log((df[-1] + 1) / (df[:-1] + 1))
+    del names, counted
+    parts = [r["part"] for r in examples.mapInArrow(_vectors(home), "part int").collect()]
+    common.put_file(f"{home}/index", _bytes(idf=idf, parts=np.array(sorted(parts), np.int64)))
+
+    if rest.isEmpty():
+        rest = chosen
+    votes = rest.mapInArrow(_votes(home, k), "toxic int, vote double").toArrow()
+    ends, shares = step_function(np.round(votes.column("vote").to_numpy(), 6), votes.column("toxic").to_numpy())
+    return Model(home, ends, shares, k)
 
 
 _RESULT = "key {}, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
@@ -250,15 +361,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     schema = to_arrow_schema(spark_schema(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, empty = Reader(model.names), np.zeros(0, np.int64)
-        nothing = model.score(empty, empty)
         for batch in batches:
             scores, evidence = [], []
-            for t in batch.column("text").to_pylist():
-                found = reader.counts(t)
-                s, near = model.score(np.fromiter(found, np.int64), np.fromiter(found.values(), np.int64)) if found else nothing
+            for s, near in model.score(batch.column("text").to_pylist()):
+                index = index_of(model.uri) if near else None
                 scores.append(s)
-                evidence.append([{"doc_id": model.index.ids[i], "toxic": int(model.index.labels[i]), "cosine": c} for c, i in near])
+                evidence.append([{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "cosine": c} for c, i in near])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, schema.field("evidence").type)], schema=schema)
 
     return slim.mapInArrow(run, shape)
@@ -268,14 +376,8 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, empty = Reader(model.names), np.zeros(0, np.int64)
-        nothing = model.score(empty, empty)[0]
         for batch in batches:
-            clean = []
-            for t in batch.column(text).to_pylist():
-                found = reader.counts(t or "")
-                s = model.score(np.fromiter(found, np.int64), np.fromiter(found.values(), np.int64))[0] if found else nothing
-                clean.append(s < 0.5)
+            clean = [s < 0.5 for s, _ in model.score([t or "" for t in batch.column(text).to_pylist()])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

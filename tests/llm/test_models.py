@@ -146,6 +146,14 @@ def test_toxicity_neighbours_are_exact():
         assert [c for c, _ in got] == pytest.approx([-c for c, _ in want]) and len(got) == len(want)
 
 
+def test_clean_examples_are_neighbours_with_whole_vectors(spark, docs_of):
+    texts = [f"river stone {'meadow' if i % 2 else 'harbour'} word{chr(97 + i % 26)} {'vile' if i % 5 == 0 else 'calm'}" for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)], "doc_id long, toxic int")
+    docs = docs_of([*texts, "calm meadow by a river"])
+    evidence = toxicity.score(docs, toxicity.fit(docs, labels)).where("key = 120").first()["evidence"]
+    assert len(evidence) == toxicity.NEIGHBOURS and {e["toxic"] for e in evidence} == {0}
+
+
 def test_monotone_steps():
     ends, shares = toxicity.step_function(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
     assert (np.diff(shares) > 0).all() and ends[0] == 0.1
