@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,24 +63,76 @@ def median_borders(values: np.ndarray, levels: int) -> list[float]:
     return [float(ordered[c]) for c in cuts[1:-1]]
 
 
-def split_candidates(rows: DataFrame, n_features: int, levels: int, exact_rows: int = 100_000) -> list[list[float]]:
-    """Thresholds of each feature.
+class _Groups:
+    """Groups of equal values of each feature with their ranks: (feature, v, first, n), each feature's values in order.
 
-    Up to ``exact_rows`` rows the values of one feature after the other are sorted whole, in a task for each feature. Above that the
-    thresholds are Spark's approximate quantiles at even steps, over all rows.
+    Values are counted, dealt by ranges of (feature, v) and summed up within each part; what came before a part is added from the
+    parts' totals, which the driver holds.
     """
-    if rows.count() <= exact_rows:
-        flat = rows.select(F.posexplode("features").alias("feature", "v"))
-
-        def borders(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"feature": part["feature"].iloc[:1], "borders": [median_borders(part["v"].to_numpy(), levels)]})
-
-        found = {r["feature"]: list(r["borders"]) for r in flat.groupBy("feature").applyInPandas(borders, "feature int, borders array<double>").collect()}
-        return [found.get(f, []) for f in range(n_features)]
-    names = [f"_f{i}" for i in range(n_features)]
-    wide = rows.select(*[F.col("features")[i].alias(n) for i, n in enumerate(names)])
-    quantiles = wide.approxQuantile(names, [i / (levels + 1) for i in range(1, levels + 1)], 1e-3)
-    return [sorted(set(q)) for q in quantiles]
+
+    def __init__(self, rows: DataFrame):
+        flat = rows.select(F.posexplode("features").alias("feature", "v")).select("feature", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))
+        counts = flat.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+        dealt = counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()).persist()
+        totals = dealt.groupBy("feature", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).orderBy("feature", "part").collect()
+        self.rows: dict[int, int] = {}
+        self.values: dict[int, int] = {}
+        before = []
+        for r in totals:
+            before.append((r["feature"], r["part"], self.rows.get(r["feature"], 0)))
+            self.rows[r["feature"]] = self.rows.get(r["feature"], 0) + r["n"]
+            self.values[r["feature"]] = self.values.get(r["feature"], 0) + r["values"]
+        offsets = rows.sparkSession.createDataFrame(before, "feature int, part int, before long")
+        own = Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        summed = dealt.withColumn("upto", F.sum("n").over(own)).join(F.broadcast(offsets), ["feature", "part"])
+        self.table = summed.select("feature", "v", (F.col("before") + F.col("upto") - F.col("n")).alias("first"), "n").persist()
+        self.dealt = dealt
+
+    def at(self, ranks: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """The value at each (feature, rank), with the first rank of its group and the one after its last."""
+        if not ranks:
+            return {}
+        asked = self.table.sparkSession.createDataFrame(sorted(ranks), "f int, rank long")
+        hit = (F.col("f") == F.col("feature")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+        return {(r["f"], r["rank"]): (r["v"], r["first"], r["first"] + r["n"]) for r in self.table.join(F.broadcast(asked), hit).collect()}
+
+    def close(self) -> None:
+        self.table.unpersist()
+        self.dealt.unpersist()
+
+
+def split_candidates(rows: DataFrame, n_features: int, levels: int) -> list[list[float]]:
+    """Thresholds of each feature: its ``median_borders`` at every size, from counts of equal values.
+
+    One job looks up the middles of all parts that the last cuts of all features have made.
+    """
+    groups = _Groups(rows)
+    few = [f for f, n in groups.values.items() if n < levels]
+    out: list[list[float]] = [[] for _ in range(n_features)]
+    if few:
+        for r in groups.table.where(F.col("feature").isin(few)).groupBy("feature").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
+            out[r["feature"]] = list(r["v"])[:-1]
+    cuts = {f: [0, n] for f, n in groups.rows.items() if f not in few}
+    open_, known = set(cuts), {}
+    while open_:
+        parts = {f: list(zip(cuts[f][:-1], cuts[f][1:], strict=True)) for f in open_}
+        known |= groups.at({(f, s + (e - s) // 2) for f, own in parts.items() for s, e in own} - known.keys())
+        for f, own in parts.items():
+            best = (0.0, -1)
+            for start, end in own:
+                for cut in known[f, start + (end - start) // 2][1:]:
+                    if start < cut < end:
+                        best = max(best, (float(np.log(end - cut) + np.log(cut - start)), cut), key=lambda x: x[0])
+            if best[1] >= 0:
+                cuts[f] = sorted([*cuts[f], best[1]])
+            if best[1] < 0 or len(cuts[f]) >= levels + 2:
+                open_.discard(f)
+    ends = {(f, c) for f, own in cuts.items() for c in own[1:-1]}
+    known |= groups.at(ends - known.keys())
+    for f, own in cuts.items():
+        out[f] = [float(known[f, c][0]) for c in own[1:-1]]
+    groups.close()
+    return out
 
 
 @dataclass

@@ -240,6 +240,13 @@ def test_a_grown_tree_equals_the_one_from_whole_matrices(spark):
     assert list(tree.features) == features and list(tree.thresholds) == pytest.approx(thresholds) and list(tree.leaves) == pytest.approx(leaves.tolist(), abs=1e-6)
 
 
+def test_borders_of_many_rows_are_the_exact_ones(spark):
+    skewed = spark.range(100_001).select(F.array((F.col("id") % 10 > 0).cast("double"), (F.col("id") * 7919 % 1000).cast("double")).alias("features"))
+    values = [[float(i % 10 > 0) for i in range(100_001)], [float(i * 7919 % 1000) for i in range(100_001)]]
+    borders = boosting.split_candidates(skewed, 2, 4)
+    assert borders[0] == [0.0] and borders == [boosting.median_borders(np.array(v), 4) for v in values]
+
+
 def test_boosting_learns_and_validates(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(40, 3))
