@@ -41,6 +41,10 @@ def _unpacked(body: bytes) -> tuple[list, list[str]]:
     return own.column("key").to_pylist(), own.column("text").to_pylist()
 
 
+def texts_of(body: bytes) -> list[str]:
+    return _unpacked(body)[1]
+
+
 def _gather(most: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32

@@ -7,11 +7,14 @@ how much each counts for the next decision. A context never seen has no node: th
 seen stands.
 
 The counts of all (context, byte) strings of the training texts are a sufficient statistic of all trees. Batches of documents
-count their own strings (see ``batches``); buckets, dealt by the last two bytes of the context, add them up, grow the
-trees from depth 2 down and keep both, with what was asked, in a file. What depth 2 passes on to the 65 280 nodes above it, at
-most, goes through the driver: the number is fixed by the alphabet, not by the data. Then the buckets answer each batch with
-the log-probability of each of its strings (to 2**-20), and the batch adds them up by document. The word counts of the base
-score go the same way. Texts are read in pieces of 256 kB, so a task's memory does not depend on them.
+count their own strings (see ``batches``); buckets add them up, grow the subtrees whose roots they hold and keep, in a file,
+the sums and what was asked. Strings are dealt to buckets by the last two bytes of their contexts; a context that more than
+half a bucket's share of all bytes follows is no root but is split by the byte before it, as often as it takes (``Deal``), so
+no bucket holds a fixed share of the data. What the roots pass on to the nodes above them goes through the driver: these are
+the nodes of split contexts, whose number follows the number of buckets and not the data. Then the buckets answer each batch
+with the log-probability of each of its strings (to 2**-24), and the batch adds them up by document. The word counts of the
+base score go the same way. Batches are as large as a task's memory allows, as a string that is frequent in a batch is sent
+once; texts are read in pieces of a megabyte.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
 each; texts of any length are read whole; without any training text every decision is even and the base is
@@ -34,9 +37,12 @@ from pyspark.sql import functions as F
 from terravane.llm import batches, common
 
 DEPTH = 7
-#: Depth from which on a bucket holds whole subtrees.
+#: Least depth of a root, a context whose whole subtree is in one bucket.
 SPLIT = 2
-BUCKET_BYTES = 8 << 20
+#: Text for each batch and each bucket; both grow with the data beyond ``MOST`` of them, so that asks stay under ``MOST`` squared.
+BATCH_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
+MOST = 1 << 15
 #: Ends texts and precedes their first byte; no byte of UTF-8.
 END = 0xFF
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -54,7 +60,7 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def strings(texts: list[bytes], step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def strings(texts: list[bytes], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The (context, byte) strings of texts, the byte lowest, and the place of each one's text; in pieces.
 
     Before a text its context is end marks, and one end mark follows it.
@@ -86,36 +92,52 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = _firsts(keys)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys with the sums of their counts; quick where ``keys`` is made of ascending runs."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = _firsts(keys)
     return keys[first], np.add.reduceat(counts, first)
 
 
+class Sums:
+    """Adds up ascending keys with counts; sets of like size are merged, so each key is moved a few times only."""
+
+    def __init__(self):
+        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.sets.append((keys, counts))
+        while len(self.sets) > 1 and 2 * len(self.sets[-1][0]) >= len(self.sets[-2][0]):
+            self._merge()
+
+    def _merge(self) -> None:
+        one, two = self.sets.pop(), self.sets.pop()
+        self.sets.append(added(*(np.concatenate(x) for x in zip(two, one, strict=True))))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.sets) > 1:
+            self._merge()
+        return self.sets[0] if self.sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def counted_strings(texts: list[bytes], away: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of a batch, with their counts in the texts that are not ``away``."""
-    flag, parts = np.array(away, bool), ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    flag, sums = np.array(away, bool), Sums()
     for k, of in strings(texts):
         gone = flag[of]
-        parts[0].append(k[~gone])
-        parts[1].append(k[gone])
-    train = np.concatenate(parts[0])
-    train.sort()
-    first = _firsts(train)
-    other = np.concatenate(parts[1])
-    other.sort()
-    other = other[_firsts(other)]
-    counts = np.diff(np.append(first, len(train)))
-    return added(np.concatenate([train[first], other]), np.concatenate([counts, np.zeros(len(other), np.int64)]))
+        for part, learned in ((k[~gone], True), (k[gone], False)):
+            if len(part):
+                part.sort()
+                first = _firsts(part)
+                sums.add(part[first], np.diff(np.append(first, len(part))) if learned else np.zeros(len(first), np.int64))
+    return sums.all()
+
+
+def distinct_strings(texts: list[bytes]) -> np.ndarray:
+    return counted_strings(texts, [True] * len(texts))[0]
 
 
 def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -124,8 +146,67 @@ def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return _mix(keys >> np.uint64(8) & np.uint64(256**SPLIT - 1), buckets)
+def suffixes(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The last ``depth`` bytes of the contexts."""
+    return keys >> np.uint64(8) & np.uint64(256**depth - 1)
+
+
+class Deal:
+    """Which bucket a string belongs to. ``split`` has, by depth, the contexts that are no roots, in ascending order."""
+
+    def __init__(self, buckets: int, split: dict[int, np.ndarray]):
+        self.buckets, self.split = buckets, split
+
+    def roots(self, keys: np.ndarray) -> np.ndarray:
+        """The depth of the root of each string."""
+        out, left = np.full(len(keys), SPLIT, np.int8), np.arange(len(keys))
+        for depth in range(SPLIT, DEPTH):
+            split = self.split.get(depth)
+            if split is None or not len(left):
+                break
+            own = suffixes(keys[left], depth)
+            left = left[split[np.minimum(np.searchsorted(split, own), len(split) - 1)] == own]
+            out[left] = depth + 1
+        return out
+
+    def bucket_of(self, keys: np.ndarray) -> np.ndarray:
+        roots, out = self.roots(keys), np.zeros(len(keys), np.int64)
+        for depth in range(SPLIT, DEPTH + 1):
+            at = np.flatnonzero(roots == depth)
+            out[at] = _mix(suffixes(keys[at], depth) * np.uint64(8) + np.uint64(depth), self.buckets)
+        return out
+
+
+def _common(texts: list[bytes], share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Depth, contexts and how many bytes follow each, of those that at least ``share`` of a piece follow."""
+    for keys, _ in strings(texts):
+        nearest_first = np.sort((keys >> np.uint64(8) << np.uint64(8)).byteswap())  # the byte next to the decision leads
+        for depth in range(SPLIT, DEPTH):
+            runs = nearest_first & np.uint64(256**depth - 1 << 8 * (7 - depth))
+            first = _firsts(runs)
+            n = np.diff(np.append(first, len(runs)))
+            often = n >= share * len(runs)
+            if not often.any():
+                break
+            yield depth, suffixes(runs[first[often]].byteswap(), depth), n[often]
+
+
+def _report(share: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for body in part.column("body"):
+                common.claim("contexts")
+                for depth, context, n in _common([lowered(t) for t in batches.texts_of(body.as_py())], share):
+                    yield pa.RecordBatch.from_arrays([pa.array([depth] * len(n), pa.int32()), pa.array(context.astype(np.int64)), pa.array(n.astype(np.int64))], ["depth", "context", "n"])
+
+    return run
+
+
+def deal(rows: DataFrame, total: int, buckets: int) -> Deal:
+    """Splits contexts that more than half a bucket's share of all bytes follows. What a piece reports is a quarter of that at least, so its sum may miss a little; results do not depend on it."""
+    found = rows.select("body").mapInArrow(_report(1 / (8 * buckets)), "depth int, context long, n long").groupBy("depth", "context").agg(F.sum("n").alias("n"))
+    often = found.where(F.col("n") > total / (2 * buckets)).toPandas()
+    return Deal(buckets, {int(d): np.sort(own["context"].to_numpy().astype(np.uint64)) for d, own in often.groupby("depth")})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -194,26 +275,30 @@ def grow(keys: np.ndarray, counts: np.ndarray, down_to: int = SPLIT) -> list[Lev
     return levels
 
 
-def upper(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, products: np.ndarray) -> list[Level]:
-    """Levels from SPLIT - 1 to 0, from the sums over buckets at SPLIT - 1."""
-    levels = [Level(nodes, zeros, ones, products)]
-    for depth in range(SPLIT - 2, -1, -1):
-        levels.append(Level(*levels[-1].parents(depth)))
+def upper(sums: dict[int, tuple[np.ndarray, ...]]) -> dict[int, Level]:
+    """The levels of split contexts and of all above them, by depth, from what the roots one level down pass on: nodes, zeros, ones, products."""
+    levels: dict[int, Level] = {}
+    for depth in range(max(sums, default=SPLIT - 1), -1, -1):
+        from_roots = sums.get(depth, (np.zeros(0, np.uint64), *[np.zeros(0)] * 3))
+        from_below = levels[depth + 1].parents(depth) if depth + 1 in levels else (np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
+        nodes, at = np.unique(np.concatenate([from_roots[0], from_below[0]]), return_inverse=True)
+        levels[depth] = Level(nodes, *(np.bincount(at, np.concatenate(x), len(nodes)) for x in zip(from_roots[1:], from_below[1:], strict=True)))
     return levels
 
 
-def log10_of_seen(keys: np.ndarray, levels: list[Level], shallow: list[Level]) -> np.ndarray:
-    """Of the byte of each string that ``levels`` have grown from."""
+def log10_of_seen(keys: np.ndarray, levels: list[Level], above: list[Level]) -> np.ndarray:
+    """Of the byte of each string that ``levels`` have grown from; ``above`` has the levels from their roots' parents up to depth 0."""
     if not len(keys):
         return np.zeros(0)
     path, chance = np.arange(len(levels[0].nodes)), None
-    for i, level in enumerate(levels + shallow):
+    every = levels + above
+    for i, level in enumerate(every):
         one = (level.ones + 0.5) / (level.zeros + level.ones + 1)
         chance = one[path] if chance is None else level.own[path] * one[path] + (1 - level.own[path]) * chance
-        if i == len(levels) - 1:
-            path = np.searchsorted(shallow[0].nodes, at_depth(level.nodes, SPLIT - 1))[path]
-        elif i < len(levels) + len(shallow) - 1:
+        if i < len(levels) - 1:
             path = level.up[path]
+        elif i < len(every) - 1:
+            path = np.searchsorted(every[i + 1].nodes, at_depth(level.nodes, DEPTH - i - 1))[path]
     out = np.zeros(len(keys))
     for (_, bit), at in zip(decisions(keys), levels[0].places, strict=True):
         out += np.log10(np.where(bit == 1, chance[at], 1 - chance[at]))
@@ -265,12 +350,13 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _asks(buckets: int):
+def _asks(of_words: int, of: Deal):
     """Word keys go to buckets 0.., strings to buckets after them."""
 
     def run(batch: int, names: list, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         out = [held_out(i) for i in names]
         low = [lowered(t) for t in texts]
+        texts.clear()
         train, words = Counter(), set()
         for t, away in zip(low, out, strict=True):
             words.update(t.split()) if away else train.update(t.split())
@@ -278,72 +364,95 @@ def _asks(buckets: int):
             train.setdefault(w, 0)
         keys = np.fromiter((word_key(w) for w in train), np.uint64, len(train))
         counts = np.fromiter(train.values(), np.int64, len(train))
+        del train, words
         keys, counts = np.append(keys, np.uint64(_END_WORD)), np.append(counts, len(out) - sum(out))
         order = np.argsort(keys)
-        yield from _dealt(keys[order], counts[order], _mix(keys[order], buckets), buckets, 0)
+        yield from _dealt(keys[order], counts[order], _mix(keys[order], of_words), of_words, 0)
 
         keys, counts = counted_strings(low, out)
-        yield from _dealt(keys, counts, bucket_of(keys, buckets), buckets, buckets)
+        del low
+        yield from _dealt(keys, counts, of.bucket_of(keys), of.buckets, of_words)
 
     return run
 
 
-def _dealt(keys, counts, bucket, buckets: int, first: int) -> Iterator[tuple[int, bytes]]:
+def _order(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by bucket, and where each bucket begins."""
     order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _dealt(keys, counts, bucket, buckets: int, first: int) -> Iterator[tuple[int, bytes]]:
+    order, ends = _order(bucket, buckets)
+    for b in np.flatnonzero(np.diff(ends)).tolist():
         mine = order[ends[b] : ends[b + 1]]
         yield first + b, _pack(keys[mine], counts[mine])
 
 
+def _replied(replies: dict[int, bytes], bucket: np.ndarray, buckets: int, first: int) -> np.ndarray:
+    """What the buckets have replied to ``_dealt``, in its order of keys."""
+    order, ends = _order(bucket, buckets)
+    out = np.zeros(len(bucket), np.uint32)
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        out[order[ends[b] : ends[b + 1]]] = unsqueezed(replies[first + b], "<u4")
+    return out
+
+
 def _sums(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = [_unpack(b) for b in bodies]
-    return added(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]))
+    sums = Sums()
+    for b in bodies:
+        sums.add(*_unpack(b))
+    return sums.all()
+
 
+def _by_root(keys: np.ndarray, of: Deal) -> Iterator[tuple[int, np.ndarray]]:
+    roots = of.roots(keys)
+    for depth in range(SPLIT, DEPTH + 1):
+        at = np.flatnonzero(roots == depth)
+        if len(at):
+            yield depth, at
 
-def _top(buckets: int, uri: str):
-    """Sums of a bucket for all: tokens and distinct tokens, or what its subtrees pass on. What was asked stays in a file."""
+
+def _top(of_words: int, of: Deal, uri: str):
+    """Sums of a bucket for all: its number (depth -2), and tokens and distinct tokens (depth -1) or what its roots pass on. What was asked stays in a file."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, table = key[0].as_py(), table.sort_by("batch")
         bodies = table.column("body").to_pylist()
         keys, counts = _sums(bodies)
-        common.put_file(f"{uri}/{bucket}.asked", pickle.dumps((table.column("batch").to_pylist(), bodies, squeezed(keys, "<u8"), squeezed(counts, "<u8"))))
+        common.put_file(f"{uri}/{bucket}.asked", pickle.dumps((table.column("batch").to_pylist(), bodies, _pack(keys, counts))))
+        del bodies, table
         seen = counts > 0
-        if bucket < buckets:
-            node, zeros, ones, product = [-1], [counts.sum()], [float(seen.sum())], [0.0]
-        elif seen.any():
-            node, zeros, ones, product = grow(keys[seen], counts[seen])[-1].parents(SPLIT - 1)
+        out = [(-2, [bucket], [0], [0], [0])]
+        if bucket < of_words:
+            out.append((-1, [-1], [counts.sum()], [seen.sum()], [0]))
         else:
-            node = zeros = ones = product = np.zeros(0)
-        return pa.table({"node": pa.array(np.asarray(node).astype(np.int64)), "zeros": pa.array(np.asarray(zeros, float)), "ones": pa.array(np.asarray(ones, float)), "product": pa.array(np.asarray(product, float))})
+            keys, counts = keys[seen], counts[seen]
+            out += [(depth - 1, *grow(keys[at], counts[at], depth)[-1].parents(depth - 1)) for depth, at in _by_root(keys, of)]
+        depths, nodes = (np.concatenate([np.asarray(y).astype(np.int64) for y in x]) for x in ([np.full(len(x[1]), x[0]) for x in out], [x[1] for x in out]))
+        zeros, ones, products = (np.concatenate([np.asarray(x[i], float) for x in out]) for i in (2, 3, 4))
+        return pa.table({"depth": pa.array(depths, pa.int32()), "node": pa.array(nodes), "zeros": pa.array(zeros), "ones": pa.array(ones), "product": pa.array(products)})
 
     return run
 
 
 #: Log-probabilities are sent as whole multiples of this.
-UNIT = 2.0**-20
+UNIT = 2.0**-24
 
 
-def _answers(uri: str, buckets: int, shallow: list[Level]):
+def _answers(uri: str, of_words: int, of: Deal):
     """The replies of the buckets named in the rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = None
         for part in parts:
             for bucket in part.column("bucket").to_pylist():
-                try:
-                    names, bodies, keys, counts = pickle.loads(common.get_file(f"{uri}/{bucket}.asked"))
-                except FileNotFoundError:  # there was no batch to ask
-                    continue
-                keys, counts = unsqueezed(keys, "<u8"), unsqueezed(counts, "<u8").astype(np.int64)
-                if bucket < buckets:
-                    value = counts
-                else:
-                    seen, value = counts > 0, np.zeros(len(keys))
-                    levels = grow(keys[seen], counts[seen]) if seen.any() else [Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(SPLIT, DEPTH + 1)]
-                    value[seen] = log10_of_seen(keys[seen], levels, shallow)
-                    value[~seen] = log10_probabilities(keys[~seen], levels + shallow)
-                    value = np.rint(-value / UNIT).astype(np.int64)
+                common.claim("contexts")
+                names, bodies, sums = pickle.loads(common.get_file(f"{uri}/{bucket}.asked"))
+                keys, value = _unpack(sums)
+                if bucket >= of_words:
+                    above = above or pickle.loads(common.get_file(f"{uri}/above"))
+                    value = _values(keys, value, of, above)
                 for name, body in zip(names, bodies, strict=True):
                     reply = squeezed(value[np.searchsorted(keys, _unpack(body)[0])], "<u4")
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([reply], pa.binary())], ["bucket", "batch", "body"])
@@ -351,6 +460,22 @@ def _answers(uri: str, buckets: int, shallow: list[Level]):
     return run
 
 
+def _values(keys: np.ndarray, counts: np.ndarray, of: Deal, above: dict[int, Level]) -> np.ndarray:
+    """Log-probabilities of a bucket's strings, in units."""
+    out = np.zeros(len(keys))
+    for depth, at in _by_root(keys, of):
+        own, n = keys[at], counts[at]
+        seen, upward = n > 0, [above.get(d) or _nothing() for d in range(depth - 1, -1, -1)]
+        levels = grow(own[seen], n[seen], depth) if seen.any() else [_nothing() for _ in range(depth, DEPTH + 1)]
+        out[at[seen]] = log10_of_seen(own[seen], levels, upward)
+        out[at[~seen]] = log10_probabilities(own[~seen], levels + upward)
+    return np.rint(-out / UNIT).astype(np.int64)
+
+
+def _nothing() -> Level:
+    return Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+
+
 class _Numbers(dict):
     """Words in the order of their first occurrence."""
 
@@ -359,36 +484,33 @@ class _Numbers(dict):
         return len(self) - 1
 
 
-def _scores(buckets: int, tokens: int, distinct: int):
+def _scores(of_words: int, of: Deal, tokens: int, distinct: int):
     def run(batch: int, names: list, texts: list[str], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         low = [lowered(t) for t in texts]
+        texts.clear()
         number = _Numbers()
-        each = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t in low]
-        keys = np.fromiter((word_key(w) for w in number), np.uint64, len(number))
-        keys = np.append(keys, np.uint64(_END_WORD))
+        each = [np.fromiter(map(number.__getitem__, t.split()), np.int32) for t in low]
+        keys = np.append(np.fromiter((word_key(w) for w in number), np.uint64, len(number)), np.uint64(_END_WORD))
+        del number
         order = np.argsort(keys)
-        at = order[np.argsort(_mix(keys[order], buckets).astype(np.uint16), kind="stable")]
         count = np.zeros(len(keys), np.int64)
-        count[at] = np.concatenate([unsqueezed(replies[b], "<u4") for b in range(buckets)])
+        count[order] = _replied(replies, _mix(keys[order], of_words), of_words, 0)
         logs = np.log10((count + 1.0) / (tokens + distinct + 1))
         n_tokens = [len(e) + 1 for e in each]
         n_known = [int((count[e] > 0).sum()) + int(count[-1] > 0) for e in each]
         base = [float(logs[e].sum() + logs[-1]) for e in each]
+        del each
 
-        pieces = []
-        for own, of in strings(low):
+        keys = distinct_strings(low)
+        value = _replied(replies, of.bucket_of(keys), of.buckets, of_words)
+        replies.clear()
+        score = np.zeros(len(low))
+        for own, at in strings(low, 1 << 18):
             order = np.argsort(own)
             own = own[order]
             first = _firsts(own)
-            pieces.append((own[first], np.diff(np.append(first, len(own))).astype(np.int32), of[order].astype(np.int32)))
-        distinct_keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in pieces)]))
-        distinct_keys = distinct_keys[_firsts(distinct_keys)]
-        at = np.argsort(bucket_of(distinct_keys, buckets).astype(np.uint16), kind="stable")
-        value = np.zeros(len(distinct_keys))
-        value[at] = np.concatenate([unsqueezed(replies[buckets + b], "<u4") for b in range(buckets)]) * -UNIT
-        score = np.zeros(len(low))
-        for own, runs, of in pieces:
-            score += np.bincount(of, np.repeat(value[np.searchsorted(distinct_keys, own)], runs), len(low))
+            score += np.bincount(at[order], np.repeat(value[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own)))), len(low))
+        score *= -UNIT
         size = np.array([len(t) for t in low])
         yield pa.RecordBatch.from_arrays(
             [
@@ -405,21 +527,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """Trains on the rows that are not held out and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     home = common.shared_dir(spark, "context-tree")
-    rows = batches.batched(docs, f"{home}/batches", key, text)
-    buckets = max(64, common.parts(batches.totals(rows)[1], BUCKET_BYTES, 4096))
-    asked = batches.ask("contexts", rows, _asks(buckets))
+    total = common.text_bytes(docs, text)
+    rows = batches.batched(docs, f"{home}/batches", key, text, max(BATCH_BYTES, total // MOST))
+    buckets = max(64, common.parts(total, BUCKET_BYTES, MOST))
+    of_words = max(8, buckets // 8)
+    of = deal(rows, total, buckets)
+    asked = batches.ask("contexts", rows, _asks(of_words, of))
     with common.tidy(spark):
-        made = asked.groupBy("bucket").applyInArrow(_top(buckets, home), "node long, zeros double, ones double, product double")
-        nodes = made.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).toPandas().sort_values("node")
-    words, nodes = nodes[nodes["node"] < 0], nodes[nodes["node"] >= 0]
+        made = asked.groupBy("bucket").applyInArrow(_top(of_words, of, home), "depth int, node long, zeros double, ones double, product double")
+        found = made.groupBy("depth", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product"))).toPandas().sort_values("node")
+    words = found[found["depth"] == -1]
     tokens, distinct = (int(words[c].sum()) for c in ("zeros", "ones"))
-    shallow = upper(nodes["node"].to_numpy().astype(np.uint64), *(nodes[c].to_numpy() for c in ("zeros", "ones", "product"))) if len(nodes) else []
-    if not shallow:
-        shallow = [Level(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(SPLIT)]
-    numbers = spark.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).repartition(2 * buckets, "bucket")
-    batches.deliver(numbers.mapInArrow(_answers(home, buckets, shallow), "bucket int, batch long, body binary"), f"{home}/replies")
+    sums = {int(d): (own["node"].to_numpy().astype(np.uint64), *(own[c].to_numpy() for c in ("zeros", "ones", "product"))) for d, own in found[found["depth"] >= 0].groupby("depth")}
+    common.put_file(f"{home}/above", pickle.dumps(upper(sums)))
+    names = [(int(n),) for n in found[found["depth"] == -2]["node"]]
+    numbers = spark.createDataFrame(names, "bucket int").repartition(max(1, min(len(names), 4096)))
+    batches.deliver(numbers.mapInArrow(_answers(home, of_words, of), "bucket int, batch long, body binary"), f"{home}/replies")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return batches.finish("contexts", rows, f"{home}/replies", _scores(buckets, tokens, distinct), shape)
+    return batches.finish("contexts", rows, f"{home}/replies", _scores(of_words, of, tokens, distinct), shape)
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
