@@ -125,15 +125,26 @@ def read_reply(uri: str, batch: int) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
 
 
-def finish(owner: str, batches: DataFrame, uri: str, work: Callable[[int, list, list[str], dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Each batch with the replies to it."""
+def finish(owner: str, batches: DataFrame, uris: str | list[str], work: Callable[[int, list, list[str], dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Each batch with the replies to it. They may lie in several folders, in some of which a batch may have none."""
+    folders = [uris] if isinstance(uris, str) else uris
+
+    def read(batch: int) -> dict[int, bytes]:
+        out: dict[int, bytes] = {}
+        for uri in folders:
+            try:
+                out |= read_reply(uri, batch)
+            except FileNotFoundError:  # ``work`` fails if it misses a reply
+                if isinstance(uris, str):
+                    raise
+        return out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):
                 batch = part.column("batch")[k].as_py()
                 common.claim(owner)
-                yield from work(batch, *_unpacked(part.column("body")[k].as_py()), read_reply(uri, batch))
+                yield from work(batch, *_unpacked(part.column("body")[k].as_py()), read(batch))
                 common.give_back()
 
     return batches.select("batch", "body").mapInArrow(run, schema)

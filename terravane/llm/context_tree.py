@@ -6,15 +6,16 @@ of its children's weighted probabilities, are mixed half and half; so all depths
 how much each counts for the next decision. A context never seen has no node: there the estimate of the longest one
 seen stands.
 
-The counts of all (context, byte) strings of the training texts are a sufficient statistic of all trees. Batches of documents
-count their own strings (see ``batches``); buckets add them up, grow the subtrees whose roots they hold and keep, in a file,
-the sums and what was asked. Strings are dealt to buckets by the last two bytes of their contexts; a context that more than
-half a bucket's share of all bytes follows is no root but is split by the byte before it, as often as it takes (``Deal``), so
-no bucket holds a fixed share of the data. What the roots pass on to the nodes above them goes through the driver: these are
-the nodes of split contexts, whose number follows the number of buckets and not the data. Then the buckets answer each batch
-with the log-probability of each of its strings (to 2**-24), and the batch adds them up by document. The word counts of the
-base score go the same way. Batches are as large as a task's memory allows, as a string that is frequent in a batch is sent
-once; texts are read in pieces of a megabyte.
+The counts of all (context, byte) strings of the training texts are a sufficient statistic of all trees. Strings are ordered by
+the byte next to the decision, then the one before it, and so on, so the strings below any node stand together, and buckets
+are ranges of this order with like numbers of bytes (``Ranges``). Batches of documents count their own strings (see
+``batches``) and cut them at the bounds of the buckets; a bucket adds them up, grows the subtrees that lie in it whole and keeps,
+in a file, the sums and what was asked. Nodes above a bound lie in more than one bucket; what their children pass on
+goes through the driver, as their number follows the number of buckets and not the data. Then the buckets, a part of them
+at a time, answer each batch with the log-probability of each of its strings (to 2**-24), and the batch adds them up
+by document. A bucket's trees are grown a second time for the answers, as their nodes would take several times the room of the
+sums. The word counts of the base score go the same way. A string that is frequent in a batch is sent once, so batches are as
+large as a task's memory allows; texts are read in pieces of a megabyte.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
 each; texts of any length are read whole; without any training text every decision is even and the base is
@@ -38,11 +39,13 @@ from terravane.llm import batches, common
 
 DEPTH = 7
 #: Least depth of a root, a context whose whole subtree is in one bucket.
-SPLIT = 2
+SPLIT = 1
 #: Text for each batch and each bucket; both grow with the data beyond ``MOST`` of them, so that asks stay under ``MOST`` squared.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 32 << 20
 BUCKET_BYTES = 6 << 20
 MOST = 1 << 15
+#: Parts of the buckets that answer one after the other; it bounds what is shuffled at a time.
+TURNS = 4
 #: Ends texts and precedes their first byte; no byte of UTF-8.
 END = 0xFF
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -61,23 +64,29 @@ def lowered(text: str) -> bytes:
 
 
 def strings(texts: list[bytes], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The (context, byte) strings of texts, the byte lowest, and the place of each one's text; in pieces.
+    """The (context, byte) strings of texts, and the place of each one's text; in pieces.
 
-    Before a text its context is end marks, and one end mark follows it.
+    The highest byte of a string is the last one of the context, the lowest is the byte that follows the context. Before a
+    text its context is end marks, and one end mark follows it.
     """
     pad, end = bytes([END]) * DEPTH, bytes([END])
-    raw = b"".join([b"\0" * (8 - DEPTH - 1), *(x for t in texts for x in (pad, t, end))])
+    raw = b"".join([b"\0" * (8 - DEPTH), *(x for t in texts for x in (pad, t, end))])
     after = np.cumsum([len(t) + 1 + DEPTH for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-    n = int(after[-1]) if len(after) else 0
+    n, last = int(after[-1]) if len(after) else 0, np.frombuffer(raw, np.uint8)
     for i in range(0, max(n - DEPTH, 0), step):
         m = min(step, n - DEPTH - i)
-        windows = np.ndarray((m,), ">u8", raw, i, (1,)).astype(np.uint64) & np.uint64(256 ** (DEPTH + 1) - 1)
+        windows = np.ndarray((m,), "<u8", raw, i, (1,)) & _bytes_kept(DEPTH) | last[i + 8 : i + 8 + m]
         at = np.arange(i + DEPTH, i + DEPTH + m)  # of the byte, among texts with their contexts
         of = np.searchsorted(after, at, side="right") if m < 64 else _runs(after, i + DEPTH, m)
         keep = at - (after[of] - np.diff(after, prepend=0)[of]) >= DEPTH
         yield windows[keep], of[keep]
 
 
+def _bytes_kept(depth: int) -> np.uint64:
+    """Mask of the ``depth`` highest bytes."""
+    return np.uint64((256**depth - 1) << 8 * (8 - depth))
+
+
 def _runs(after: np.ndarray, begin: int, m: int) -> np.ndarray:
     """The text of each of m places from ``begin`` on."""
     first, last = np.searchsorted(after, [begin, begin + m - 1], side="right")
@@ -132,12 +141,27 @@ def counted_strings(texts: list[bytes], away: list[bool]) -> tuple[np.ndarray, n
             if len(part):
                 part.sort()
                 first = _firsts(part)
-                sums.add(part[first], np.diff(np.append(first, len(part))) if learned else np.zeros(len(first), np.int64))
+                sums.add(part[first], np.diff(np.append(first, len(part))).astype(np.int32) if learned else np.zeros(len(first), np.int32))
     return sums.all()
 
 
 def distinct_strings(texts: list[bytes]) -> np.ndarray:
-    return counted_strings(texts, [True] * len(texts))[0]
+    """``counted_strings`` without the counts, in less memory."""
+    sets: list[np.ndarray] = []
+
+    def merge(own: np.ndarray) -> None:
+        own.sort(kind="stable")
+        sets.append(own[_firsts(own)])
+
+    for k, _ in strings(texts):
+        k.sort()
+        sets.append(k[_firsts(k)])
+        while len(sets) > 1 and 2 * len(sets[-1]) >= len(sets[-2]):
+            merge(np.concatenate([sets.pop(), sets.pop()]))
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sets.clear()
+    merge(every)
+    return sets[0]
 
 
 def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -146,67 +170,56 @@ def _mix(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def suffixes(keys: np.ndarray, depth: int) -> np.ndarray:
-    """The last ``depth`` bytes of the contexts."""
-    return keys >> np.uint64(8) & np.uint64(256**depth - 1)
+class Ranges:
+    """Which bucket a string belongs to: ``bounds`` has the least strings of all buckets but the first.
 
+    A context that is the beginning of a bound is in more than one bucket, or might be. The longest context of a string that
+    is none, but has no shorter one that is none, is the string's root.
+    """
 
-class Deal:
-    """Which bucket a string belongs to. ``split`` has, by depth, the contexts that are no roots, in ascending order."""
-
-    def __init__(self, buckets: int, split: dict[int, np.ndarray]):
-        self.buckets, self.split = buckets, split
+    def __init__(self, bounds: np.ndarray):
+        self.bounds = np.unique(bounds & _bytes_kept(DEPTH))
+        self.buckets = len(self.bounds) + 1
+        self.split = {d: np.unique(self.bounds & _bytes_kept(d)) for d in range(SPLIT, DEPTH)}
 
     def roots(self, keys: np.ndarray) -> np.ndarray:
         """The depth of the root of each string."""
         out, left = np.full(len(keys), SPLIT, np.int8), np.arange(len(keys))
-        for depth in range(SPLIT, DEPTH):
-            split = self.split.get(depth)
-            if split is None or not len(left):
+        for depth, split in self.split.items():
+            if not len(left) or not len(split):
                 break
-            own = suffixes(keys[left], depth)
+            own = keys[left] & _bytes_kept(depth)
             left = left[split[np.minimum(np.searchsorted(split, own), len(split) - 1)] == own]
             out[left] = depth + 1
         return out
 
-    def bucket_of(self, keys: np.ndarray) -> np.ndarray:
-        roots, out = self.roots(keys), np.zeros(len(keys), np.int64)
-        for depth in range(SPLIT, DEPTH + 1):
-            at = np.flatnonzero(roots == depth)
-            out[at] = _mix(suffixes(keys[at], depth) * np.uint64(8) + np.uint64(depth), self.buckets)
-        return out
-
+    def ends(self, keys: np.ndarray) -> np.ndarray:
+        """Where each bucket begins among ascending keys, and their number."""
+        return np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
 
-def _common(texts: list[bytes], share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Depth, contexts and how many bytes follow each, of those that at least ``share`` of a piece follow."""
-    for keys, _ in strings(texts):
-        nearest_first = np.sort((keys >> np.uint64(8) << np.uint64(8)).byteswap())  # the byte next to the decision leads
-        for depth in range(SPLIT, DEPTH):
-            runs = nearest_first & np.uint64(256**depth - 1 << 8 * (7 - depth))
-            first = _firsts(runs)
-            n = np.diff(np.append(first, len(runs)))
-            often = n >= share * len(runs)
-            if not often.any():
-                break
-            yield depth, suffixes(runs[first[often]].byteswap(), depth), n[often]
 
+def _points(each: int):
+    """Every so manyth string of each piece in order: places at which buckets might be cut."""
 
-def _report(share: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for body in part.column("body"):
                 common.claim("contexts")
-                for depth, context, n in _common([lowered(t) for t in batches.texts_of(body.as_py())], share):
-                    yield pa.RecordBatch.from_arrays([pa.array([depth] * len(n), pa.int32()), pa.array(context.astype(np.int64)), pa.array(n.astype(np.int64))], ["depth", "context", "n"])
+                for keys, _ in strings([lowered(t) for t in batches.texts_of(body.as_py())]):
+                    keys.sort()
+                    step = max(1, min(each, len(keys)))
+                    own = keys[step // 2 :: step] & _bytes_kept(DEPTH)
+                    yield pa.RecordBatch.from_arrays([pa.array((own ^ np.uint64(1 << 63)).view(np.int64))], ["point"])  # the sign keeps the order
 
     return run
 
 
-def deal(rows: DataFrame, total: int, buckets: int) -> Deal:
-    """Splits contexts that more than half a bucket's share of all bytes follows. What a piece reports is a quarter of that at least, so its sum may miss a little; results do not depend on it."""
-    found = rows.select("body").mapInArrow(_report(1 / (8 * buckets)), "depth int, context long, n long").groupBy("depth", "context").agg(F.sum("n").alias("n"))
-    often = found.where(F.col("n") > total / (2 * buckets)).toPandas()
-    return Deal(buckets, {int(d): np.sort(own["context"].to_numpy().astype(np.uint64)) for d, own in often.groupby("depth")})
+def ranges(rows: DataFrame, total: int, buckets: int) -> Ranges:
+    """Bounds with like numbers of bytes between them. Pieces are at most a megabyte, so few of them are one point; results do not depend on the bounds."""
+    each = max(1, min(total // buckets // 8, 1 << 17))
+    at = F.percentile_approx("point", [k / buckets for k in range(1, buckets)], 8 * buckets)
+    found = rows.select("body").mapInArrow(_points(each), "point long").agg(at.alias("at")).first()["at"] if buckets > 1 else None
+    return Ranges(np.array(found or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -232,15 +245,14 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _of_counts(a, 0.5) + _of_counts(b, 0.5) - _of_counts(a + b, 1.0) - np.log(np.pi)
 
 
-def decisions(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each of the eight decisions: node keys (context, then the bits of the byte before it with a leading one) and the bit."""
-    context, byte = keys >> np.uint64(8) << np.uint64(8), keys & np.uint64(255)
-    for t in range(8):
-        yield context | np.uint64(1 << t) | byte >> np.uint64(8 - t), byte >> np.uint64(7 - t) & np.uint64(1)
+def decision(keys: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of decision t of 8 (context, then the bits of the byte before it with a leading one), and its bit. Ascending if ``keys`` are."""
+    byte = keys & np.uint64(255)
+    return keys & _bytes_kept(DEPTH) | np.uint64(1 << t) | byte >> np.uint64(8 - t), byte >> np.uint64(7 - t) & np.uint64(1)
 
 
 def at_depth(nodes: np.ndarray, depth: int) -> np.ndarray:
-    return nodes & np.uint64(256 ** (depth + 1) - 1)
+    return nodes & (_bytes_kept(depth) | np.uint64(255))
 
 
 class Level:
@@ -258,18 +270,22 @@ class Level:
 
     def parents(self, depth: int):
         """Nodes one level up, at ``depth``, with the counts and the products of what is here; ``up`` leads there."""
-        nodes, at = np.unique(at_depth(self.nodes, depth), return_inverse=True)
-        self.up = at
-        return nodes, *(np.bincount(at, x, len(nodes)) for x in (self.zeros, self.ones, self.log_weighted))
-
-
-def grow(keys: np.ndarray, counts: np.ndarray, down_to: int = SPLIT) -> list[Level]:
-    """Levels from DEPTH to ``down_to``. The first one's ``places`` has the nodes of each string's eight decisions."""
-    counts = counts.astype(float)
-    both = [(n, counts * (b == 0), counts * (b == 1)) for n, b in decisions(keys)]
-    nodes, at = np.unique(np.concatenate([x[0] for x in both]), return_inverse=True)
-    levels = [Level(nodes, *(np.bincount(at, np.concatenate([x[i] for x in both]), len(nodes)) for i in (1, 2)))]
-    levels[0].places = at.reshape(8, -1)
+        nodes = at_depth(self.nodes, depth)
+        order = np.argsort(nodes, kind="stable")
+        nodes = nodes[order]
+        first = _firsts(nodes)
+        self.up = np.empty(len(nodes), np.int64)
+        self.up[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(nodes))))
+        return nodes[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (self.zeros, self.ones, self.log_weighted))
+
+
+def grow(keys: np.ndarray, counts: np.ndarray, t: int, down_to: int) -> list[Level]:
+    """The levels of decision t from DEPTH to ``down_to``, from ascending strings, one at least. The first one's ``places`` has the node of each string."""
+    nodes, bit = decision(keys, t)
+    first, ones = _firsts(nodes), np.where(bit == 1, counts, 0).astype(float)
+    zeros, ones = np.add.reduceat(counts - ones, first), np.add.reduceat(ones, first)
+    levels = [Level(nodes[first], zeros, ones)]
+    levels[0].places = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(nodes))))
     for depth in range(DEPTH - 1, down_to - 1, -1):
         levels.append(Level(*levels[-1].parents(depth)))
     return levels
@@ -286,10 +302,8 @@ def upper(sums: dict[int, tuple[np.ndarray, ...]]) -> dict[int, Level]:
     return levels
 
 
-def log10_of_seen(keys: np.ndarray, levels: list[Level], above: list[Level]) -> np.ndarray:
-    """Of the byte of each string that ``levels`` have grown from; ``above`` has the levels from their roots' parents up to depth 0."""
-    if not len(keys):
-        return np.zeros(0)
+def chance_of_seen(levels: list[Level], above: list[Level]) -> np.ndarray:
+    """Of a one at the decision of each string that ``levels`` have grown from; ``above`` has the levels from their roots' parents up to depth 0."""
     path, chance = np.arange(len(levels[0].nodes)), None
     every = levels + above
     for i, level in enumerate(every):
@@ -299,30 +313,23 @@ def log10_of_seen(keys: np.ndarray, levels: list[Level], above: list[Level]) ->
             path = level.up[path]
         elif i < len(every) - 1:
             path = np.searchsorted(every[i + 1].nodes, at_depth(level.nodes, DEPTH - i - 1))[path]
-    out = np.zeros(len(keys))
-    for (_, bit), at in zip(decisions(keys), levels[0].places, strict=True):
-        out += np.log10(np.where(bit == 1, chance[at], 1 - chance[at]))
-    return out
+    return chance[levels[0].places]
 
 
-def log10_probabilities(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Of the byte of any string after its context; levels from DEPTH to 0."""
-    out = np.zeros(len(keys))
-    for nodes, bit in decisions(keys):
-        p, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-        for i, level in enumerate(levels):
-            own = at_depth(nodes, DEPTH - i)
-            if not len(level.nodes):
-                continue
-            at = np.minimum(np.searchsorted(level.nodes, own), len(level.nodes) - 1)
-            here = level.nodes[at] == own
-            a, b = level.zeros[at], level.ones[at]
-            estimate = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
-            w = np.where(known, level.own[at], 1.0)
-            p = np.where(here, w * estimate + (1 - w) * p, p)
-            known |= here
-        out += np.log10(p)
-    return out
+def chance_of_any(nodes: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Of a one at any nodes of depth DEPTH, seen or not; levels from DEPTH to 0."""
+    p, known = np.full(len(nodes), 0.5), np.zeros(len(nodes), bool)
+    for i, level in enumerate(levels):
+        if not len(level.nodes):
+            continue
+        own = at_depth(nodes, DEPTH - i)
+        at = np.minimum(np.searchsorted(level.nodes, own), len(level.nodes) - 1)
+        here = level.nodes[at] == own
+        estimate = (level.ones[at] + 0.5) / (level.zeros[at] + level.ones[at] + 1)
+        w = np.where(known, level.own[at], 1.0)
+        p = np.where(here, w * estimate + (1 - w) * p, p)
+        known |= here
+    return p
 
 
 def squeezed(x: np.ndarray, kind: str) -> bytes:
@@ -350,7 +357,7 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _asks(of_words: int, of: Deal):
+def _asks(of_words: int, of: Ranges):
     """Word keys go to buckets 0.., strings to buckets after them."""
 
     def run(batch: int, names: list, texts: list[str]) -> Iterator[tuple[int, bytes]]:
@@ -366,35 +373,34 @@ def _asks(of_words: int, of: Deal):
         counts = np.fromiter(train.values(), np.int64, len(train))
         del train, words
         keys, counts = np.append(keys, np.uint64(_END_WORD)), np.append(counts, len(out) - sum(out))
-        order = np.argsort(keys)
-        yield from _dealt(keys[order], counts[order], _mix(keys[order], of_words), of_words, 0)
+        order, ends = _by_hash(keys, of_words)
+        yield from _cut(keys[order], counts[order], ends, 0)
 
         keys, counts = counted_strings(low, out)
         del low
-        yield from _dealt(keys, counts, of.bucket_of(keys), of.buckets, of_words)
+        yield from _cut(keys, counts, of.ends(keys), of_words)
 
     return run
 
 
-def _order(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places by bucket, and where each bucket begins."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _by_hash(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by bucket, ascending within it, and where each bucket begins."""
+    order = np.argsort(keys)
+    bucket = _mix(keys[order], buckets).astype(np.uint16)
+    by = np.argsort(bucket, kind="stable")
+    return order[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
-def _dealt(keys, counts, bucket, buckets: int, first: int) -> Iterator[tuple[int, bytes]]:
-    order, ends = _order(bucket, buckets)
+def _cut(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray, first: int) -> Iterator[tuple[int, bytes]]:
     for b in np.flatnonzero(np.diff(ends)).tolist():
-        mine = order[ends[b] : ends[b + 1]]
-        yield first + b, _pack(keys[mine], counts[mine])
+        yield first + b, _pack(keys[ends[b] : ends[b + 1]], counts[ends[b] : ends[b + 1]])
 
 
-def _replied(replies: dict[int, bytes], bucket: np.ndarray, buckets: int, first: int) -> np.ndarray:
-    """What the buckets have replied to ``_dealt``, in its order of keys."""
-    order, ends = _order(bucket, buckets)
-    out = np.zeros(len(bucket), np.uint32)
+def _replied(replies: dict[int, bytes], ends: np.ndarray, first: int) -> np.ndarray:
+    """What the buckets have replied to ``_cut``."""
+    out = np.zeros(ends[-1], np.uint32)
     for b in np.flatnonzero(np.diff(ends)).tolist():
-        out[order[ends[b] : ends[b + 1]]] = unsqueezed(replies[first + b], "<u4")
+        out[ends[b] : ends[b + 1]] = unsqueezed(replies.pop(first + b), "<u4")
     return out
 
 
@@ -405,7 +411,7 @@ def _sums(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sums.all()
 
 
-def _by_root(keys: np.ndarray, of: Deal) -> Iterator[tuple[int, np.ndarray]]:
+def _by_root(keys: np.ndarray, of: Ranges) -> Iterator[tuple[int, np.ndarray]]:
     roots = of.roots(keys)
     for depth in range(SPLIT, DEPTH + 1):
         at = np.flatnonzero(roots == depth)
@@ -413,7 +419,7 @@ def _by_root(keys: np.ndarray, of: Deal) -> Iterator[tuple[int, np.ndarray]]:
             yield depth, at
 
 
-def _top(of_words: int, of: Deal, uri: str):
+def _top(of_words: int, of: Ranges, uri: str):
     """Sums of a bucket for all: its number (depth -2), and tokens and distinct tokens (depth -1) or what its roots pass on. What was asked stays in a file."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -428,7 +434,7 @@ def _top(of_words: int, of: Deal, uri: str):
             out.append((-1, [-1], [counts.sum()], [seen.sum()], [0]))
         else:
             keys, counts = keys[seen], counts[seen]
-            out += [(depth - 1, *grow(keys[at], counts[at], depth)[-1].parents(depth - 1)) for depth, at in _by_root(keys, of)]
+            out += [(depth - 1, *grow(keys[at], counts[at], t, depth)[-1].parents(depth - 1)) for depth, at in _by_root(keys, of) for t in range(8)]
         depths, nodes = (np.concatenate([np.asarray(y).astype(np.int64) for y in x]) for x in ([np.full(len(x[1]), x[0]) for x in out], [x[1] for x in out]))
         zeros, ones, products = (np.concatenate([np.asarray(x[i], float) for x in out]) for i in (2, 3, 4))
         return pa.table({"depth": pa.array(depths, pa.int32()), "node": pa.array(nodes), "zeros": pa.array(zeros), "ones": pa.array(ones), "product": pa.array(products)})
@@ -440,7 +446,7 @@ def _top(of_words: int, of: Deal, uri: str):
 UNIT = 2.0**-24
 
 
-def _answers(uri: str, of_words: int, of: Deal):
+def _answers(uri: str, of_words: int, of: Ranges):
     """The replies of the buckets named in the rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,15 +466,20 @@ def _answers(uri: str, of_words: int, of: Deal):
     return run
 
 
-def _values(keys: np.ndarray, counts: np.ndarray, of: Deal, above: dict[int, Level]) -> np.ndarray:
+def _values(keys: np.ndarray, counts: np.ndarray, of: Ranges, above: dict[int, Level]) -> np.ndarray:
     """Log-probabilities of a bucket's strings, in units."""
     out = np.zeros(len(keys))
     for depth, at in _by_root(keys, of):
         own, n = keys[at], counts[at]
         seen, upward = n > 0, [above.get(d) or _nothing() for d in range(depth - 1, -1, -1)]
-        levels = grow(own[seen], n[seen], depth) if seen.any() else [_nothing() for _ in range(depth, DEPTH + 1)]
-        out[at[seen]] = log10_of_seen(own[seen], levels, upward)
-        out[at[~seen]] = log10_probabilities(own[~seen], levels + upward)
+        for t in range(8):
+            levels = grow(own[seen], n[seen], t, depth) if seen.any() else [_nothing() for _ in range(depth, DEPTH + 1)]
+            nodes, bit = decision(own, t)
+            one = np.zeros(len(own))
+            if seen.any():
+                one[seen] = chance_of_seen(levels, upward)
+            one[~seen] = chance_of_any(nodes[~seen], levels + upward)
+            out[at] += np.log10(np.where(bit == 1, one, 1 - one))
     return np.rint(-out / UNIT).astype(np.int64)
 
 
@@ -484,7 +495,7 @@ class _Numbers(dict):
         return len(self) - 1
 
 
-def _scores(of_words: int, of: Deal, tokens: int, distinct: int):
+def _scores(of_words: int, of: Ranges, tokens: int, distinct: int):
     def run(batch: int, names: list, texts: list[str], replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         low = [lowered(t) for t in texts]
         texts.clear()
@@ -492,9 +503,9 @@ def _scores(of_words: int, of: Deal, tokens: int, distinct: int):
         each = [np.fromiter(map(number.__getitem__, t.split()), np.int32) for t in low]
         keys = np.append(np.fromiter((word_key(w) for w in number), np.uint64, len(number)), np.uint64(_END_WORD))
         del number
-        order = np.argsort(keys)
+        order, ends = _by_hash(keys, of_words)
         count = np.zeros(len(keys), np.int64)
-        count[order] = _replied(replies, _mix(keys[order], of_words), of_words, 0)
+        count[order] = _replied(replies, ends, 0)
         logs = np.log10((count + 1.0) / (tokens + distinct + 1))
         n_tokens = [len(e) + 1 for e in each]
         n_known = [int((count[e] > 0).sum()) + int(count[-1] > 0) for e in each]
@@ -502,8 +513,7 @@ def _scores(of_words: int, of: Deal, tokens: int, distinct: int):
         del each
 
         keys = distinct_strings(low)
-        value = _replied(replies, of.bucket_of(keys), of.buckets, of_words)
-        replies.clear()
+        value = _replied(replies, of.ends(keys), of_words)
         score = np.zeros(len(low))
         for own, at in strings(low, 1 << 18):
             order = np.argsort(own)
@@ -529,9 +539,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     home = common.shared_dir(spark, "context-tree")
     total = common.text_bytes(docs, text)
     rows = batches.batched(docs, f"{home}/batches", key, text, max(BATCH_BYTES, total // MOST))
-    buckets = max(64, common.parts(total, BUCKET_BYTES, MOST))
-    of_words = max(8, buckets // 8)
-    of = deal(rows, total, buckets)
+    of = ranges(rows, total, common.parts(total, BUCKET_BYTES, MOST))
+    of_words = common.parts(total, 8 * BUCKET_BYTES, MOST)
     asked = batches.ask("contexts", rows, _asks(of_words, of))
     with common.tidy(spark):
         made = asked.groupBy("bucket").applyInArrow(_top(of_words, of, home), "depth int, node long, zeros double, ones double, product double")
@@ -540,11 +549,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     tokens, distinct = (int(words[c].sum()) for c in ("zeros", "ones"))
     sums = {int(d): (own["node"].to_numpy().astype(np.uint64), *(own[c].to_numpy() for c in ("zeros", "ones", "product"))) for d, own in found[found["depth"] >= 0].groupby("depth")}
     common.put_file(f"{home}/above", pickle.dumps(upper(sums)))
-    names = [(int(n),) for n in found[found["depth"] == -2]["node"]]
-    numbers = spark.createDataFrame(names, "bucket int").repartition(max(1, min(len(names), 4096)))
-    batches.deliver(numbers.mapInArrow(_answers(home, of_words, of), "bucket int, batch long, body binary"), f"{home}/replies")
+    names = sorted(int(n) for n in found[found["depth"] == -2]["node"])
+    for turn in range(TURNS):
+        own = [(n,) for n in names[turn::TURNS]]
+        numbers = spark.createDataFrame(own, "bucket int").repartition(max(1, min(len(own), 4096)))
+        batches.deliver(numbers.mapInArrow(_answers(home, of_words, of), "bucket int, batch long, body binary"), f"{home}/replies/{turn}")
+    replies = [f"{home}/replies/{turn}" for turn in range(min(TURNS, len(names)))]
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return batches.finish("contexts", rows, f"{home}/replies", _scores(of_words, of, tokens, distinct), shape)
+    return batches.finish("contexts", rows, replies, _scores(of_words, of, tokens, distinct), shape)
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

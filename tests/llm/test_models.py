@@ -71,7 +71,9 @@ def lower(t):
     return (t or "").encode().lower()
 
 
-def test_context_trees_equal_their_definition(docs_of, monkeypatch):
+@pytest.mark.parametrize("bucket", [8, context_tree.BUCKET_BYTES])
+def test_context_trees_equal_their_definition(docs_of, monkeypatch, bucket):
+    monkeypatch.setattr(context_tree, "BUCKET_BYTES", bucket)
     draw = random.Random(3)
     texts = ["".join(draw.choice("ab c") for _ in range(draw.randint(0, 12))) for _ in range(14)] + ["É a", None]
     rows = {r["doc_id"]: r for r in context_tree.score(docs_of(texts).repartition(2)).collect()}
@@ -83,7 +85,7 @@ def test_context_trees_equal_their_definition(docs_of, monkeypatch):
     for i, t in enumerate(texts):
         r = rows[i]
         tokens = [*re.findall(rb"[^\x20\x09-\x0d]+", lower(t)), None]
-        assert r["score"] == pytest.approx(model.score(lower(t)), abs=2e-4), t
+        assert r["score"] == pytest.approx(model.score(lower(t)), abs=1e-5), t
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
 
@@ -92,9 +94,10 @@ def test_scores_do_not_depend_on_pieces_or_batches(docs_of, spark, sf_dir, monke
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     one = {r["doc_id"]: r["score"] for r in context_tree.score(docs).collect()}
     docs2 = docs.repartition(5)
-    monkeypatch.setattr(batches, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(context_tree, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(context_tree, "BUCKET_BYTES", 20_000)
     two = {r["doc_id"]: r["score"] for r in context_tree.score(docs2).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-2 for k in one)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 for k in one)
     keys = [k for part in (1 << 18, 7) for k, _ in [tuple(np.concatenate(x) for x in zip(*context_tree.strings([b"", b"abc", b"x" * 50], part), strict=True))]]
     assert (keys[0] == keys[1]).all() and len(keys[0]) == 1 + 4 + 51
 
