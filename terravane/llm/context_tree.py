@@ -15,7 +15,7 @@ goes through the driver, as their number follows the number of buckets and not t
 at a time, answer each batch with the log-probability of each of its strings (to 2**-24), and the batch adds them up
 by document. A bucket's trees are grown a second time for the answers, as their nodes would take several times the room of the
 sums. The word counts of the base score go the same way. A string that is frequent in a batch is sent once, so batches are as
-large as a task's memory allows; texts are read in pieces of a megabyte.
+large as a task's memory allows; texts are read in pieces of half a megabyte.
 
 Defined cases: null text is empty; an empty text is its end mark alone; a null id is training text; repeated rows count
 each; texts of any length are read whole; without any training text every decision is even and the base is
@@ -41,7 +41,7 @@ DEPTH = 7
 #: Least depth of a root, a context whose whole subtree is in one bucket.
 SPLIT = 1
 #: Text for each batch and each bucket; both grow with the data beyond ``MOST`` of them, so that asks stay under ``MOST`` squared.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 BUCKET_BYTES = 6 << 20
 MOST = 1 << 15
 #: Parts of the buckets that answer one after the other; it bounds what is shuffled at a time.
@@ -63,7 +63,7 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def strings(texts: list[bytes], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def strings(texts: list[bytes], step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The (context, byte) strings of texts, and the place of each one's text; in pieces.
 
     The highest byte of a string is the last one of the context, the lowest is the byte that follows the context. Before a
