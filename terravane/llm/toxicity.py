@@ -2,14 +2,17 @@
 
 Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, chosen by a hash of the id (a bounded sample, so what is
 fitted can be held by every task; the driver holds the features' names and frequencies only). One half of the sample are the examples; the other half calibrates.
-Features are words and word beginnings of 3 to 7 letters: all that any example has, whatever its label and however rare.
+Features are words and word beginnings of 4 and 6 letters: all that any example has, whatever its label and however rare.
 Their document frequencies come from a pass over all documents.
 
-Each example is kept with its whole TF-IDF vector. The features that most examples have are columns of a dense matrix, the others
-are inverted lists; both together give all cosines of a document in single precision. Those that can be among the k
-largest are computed again in double precision, so the neighbours are exact. They vote with their cosines as weights; a
-monotone step function, fitted on the calibrating half, turns the vote into the share of toxic rows. Neighbours are
-returned as evidence. Features that no example has are in no cosine: they are not counted in a document's length.
+Each example is kept with its whole TF-IDF vector in a block-max inverted index: examples with like vectors stand together in
+blocks of ``BLOCK``; a feature's list has the largest weight in each block beside the weights themselves. The sum of these
+largest weights bounds every cosine in a block. For a batch of documents the blocks with the highest bounds are summed up
+first; then only those blocks whose bound reaches the k-th best cosine found so far. Weights of examples are stored in single
+precision; cosines that can be among the k largest are added up in double precision, so the neighbours are exact. They vote with their
+cosines as weights; a monotone step function, fitted on the calibrating half, turns the vote into the share of toxic rows.
+The nearest ones are returned as evidence. The vocabulary is that of the examples: features that none of them has are in no
+cosine and not in a document's length.
 
 Defined cases: null and empty texts have no features, no neighbours and the share of toxic rows among such texts; texts are
 read whole; a null id is in no label row and counts as held out only by its crc (it isn't); rows with equal ids are
@@ -22,6 +25,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,11 +39,16 @@ from pyspark.sql import functions as F
 from terravane.llm import common
 
 FIT_ROWS = 20_000
-NEIGHBOURS = 15
-#: Working sizes, without effect on results: columns of the dense matrix, documents multiplied at once, chunks remembered.
-DENSE = 2048
+NEIGHBOURS = 25
+#: So many of the nearest are returned as evidence.
+EVIDENCE = 10
+#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, documents searched at once, chunks remembered.
+BLOCK = 64
+FIRST = 4
+FULL_LISTS = 2048
 TOGETHER = 128
-MEMO = 300_000
+MEMO = 200_000
+BEGINNINGS = (4, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,10 +59,10 @@ def held_out(key: str = "doc_id") -> Column:
 
 def features_of(chunk: str) -> list[str]:
     """Words of a chunk, and their beginnings with a mark in front."""
-    out = []
-    for word in _LETTERS.findall(chunk.lower()):
+    out, low = [], chunk.lower()
+    for word in [low] if low.isalpha() else _LETTERS.findall(low):
         out.append(word)
-        out += ["^" + word[:n] for n in range(3, min(len(word), 8))]
+        out += ["^" + word[:n] for n in BEGINNINGS if n < len(word)]
     return out
 
 
@@ -69,35 +78,44 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Reader:
-    """Feature counts of whole texts; chunks seen before are looked up."""
+    """Feature counts of whole texts. The features of chunks seen before are kept as ranges of one array: of ``MEMO`` chunks at most, or of one text."""
 
     def __init__(self, names: list[str]):
-        self.number, self.memo = {f: i for i, f in enumerate(names)}, {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        found = tuple(self.number[f] for f in features_of(chunk) if f in self.number)
-        if len(chunk) <= 100:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[chunk] = found
-        return found
+        self.number = {f: i for i, f in enumerate(names)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks: dict[str, int] = {}
+        self.start, self.length, self.found, self.letters = array("q"), array("q"), array("i"), 0
+
+    def _chunk(self, chunk: str) -> int:
+        own = [x for x in map(self.number.get, features_of(chunk)) if x is not None]
+        self.start.append(len(self.found))
+        self.length.append(len(own))
+        self.found.extend(own)
+        self.letters += len(chunk)
+        self.chunks[chunk] = at = len(self.chunks)
+        return at
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Features of a text, ascending, and how often each occurs."""
-        get, found, times = self.memo.get, [], []
-        for chunk, n in Counter(text.split()).items():
-            own = get(chunk)
-            if own is None:
-                own = self._chunk(chunk)
-            found += own
-            times += [n] * len(own)
-        if not found:
+        count = Counter(text.split())
+        at = list(map(self.chunks.get, count))
+        if None in at:
+            if len(self.chunks) + len(at) > MEMO or self.letters > 16 * MEMO:
+                self._forget()
+                at = [None] * len(at)
+            at = [self._chunk(c) if k is None else k for k, c in zip(at, count, strict=True)]
+        chunks = np.array(at, np.int64)
+        length = np.frombuffer(self.length, np.int64)[chunks] if at else chunks
+        found = np.frombuffer(self.found, np.int32)[_ranges(np.frombuffer(self.start, np.int64)[chunks], length)] if length.any() else np.zeros(0, np.int32)
+        if not len(found):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.array(found, np.int64)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[new], np.add.reduceat(np.array(times, np.int64)[order], new)
+        order = np.argsort(found)
+        found = found[order]
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        times = np.repeat(np.fromiter(count.values(), np.int64, len(count)), length)[order]
+        return found[new].astype(np.int64), np.add.reduceat(times, new)
 
 
 #: What a worker has read from the shared folder, by URI: the last reader and the last index.
@@ -168,9 +186,28 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def like_first(rows: np.ndarray) -> np.ndarray:
+    """An order of vectors in which like ones stand together: halved again and again along the direction in which they differ most."""
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            out.append(at)
+            continue
+        own = rows[at] - rows[at].mean(axis=0)
+        along = np.cos(np.arange(own.shape[1], dtype=np.float32))
+        for _ in range(6):
+            along = own.T @ (own @ along)
+            along /= max(float(np.sqrt(along @ along)), 1e-30)
+        order = np.argsort(own @ along, kind="stable")
+        cut = -(-len(at) // 2 // BLOCK) * BLOCK
+        todo += [at[order[cut:]], at[order[:cut]]]
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 @dataclass
 class Neighbours:
-    """Whole vectors of examples, and all cosines with them."""
+    """Whole vectors of examples in a block-max inverted index."""
 
     idf: np.ndarray
     ids: list[int] = field(default_factory=list)
@@ -184,11 +221,22 @@ class Neighbours:
         """rows: id, label, features, counts, none of them without features."""
         none = np.zeros(0, np.int32)
         rows = sorted(rows, key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+        df = np.bincount(np.concatenate([none, *(r[2] for r in rows)]), minlength=len(self.idf))
+        often = np.argsort(-df, kind="stable")[:FULL_LISTS]
+        often = often[df[often] * 200 > len(rows)]
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        full = np.zeros((len(rows), len(often)), np.float32)
+        for row, (_, _, f, n) in zip(full, rows, strict=True):
+            column = self.column[f]
+            row[column[column >= 0]] = self.weigh(f, n)[column >= 0]
+        order = like_first(full)
+        self.full, rows = full[order], [rows[i] for i in order.tolist()]
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
         self.ends = np.cumsum([0, *(len(r[2]) for r in rows)])
         self.feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
         self.count = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)
-        return self._ready()
+        return self._lists()
 
     @classmethod
     def loads(cls, uri: str, body: bytes) -> Neighbours:
@@ -202,28 +250,27 @@ class Neighbours:
             rows += [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return cls(idf).build(rows)
 
-    def _ready(self) -> Neighbours:
-        """Norms, the dense columns and the inverted lists, from the vectors."""
+    def _lists(self) -> Neighbours:
+        """Norms, and the lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
         n = len(self.ids)
+        self.blocks = -(-n // BLOCK)
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
         weight = (1 + np.log(self.count)) * self.idf[self.feature]
         self.norm = np.sqrt(np.bincount(example, weight * weight, minlength=n))
-        weight = (weight / self.norm[example]).astype(np.float32)
-        df = np.bincount(self.feature, minlength=len(self.idf))
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        often = often[df[often] * 200 > n]
-        self.column = np.full(len(self.idf), -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((n, len(often)), np.float32)
-        column = self.column[self.feature]
-        some = column >= 0
-        self.dense[example[some], column[some]] = weight[some]
-        rest = np.flatnonzero(~some)
+        rest = np.flatnonzero(self.column[self.feature] < 0)
         rest = rest[np.argsort(self.feature[rest], kind="stable")]
-        self.length = np.where(self.column < 0, df, 0)
-        self.start = np.cumsum(self.length) - self.length
-        self.example, self.weight = example[rest], weight[rest]
-        self.query = np.zeros(len(self.idf))
+        self.example, self.weight = example[rest], (weight[rest] / self.norm[example[rest]]).astype(np.float32)
+        entry = self.feature[rest].astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+        self.posting, self.postings = first, np.diff(np.append(first, len(entry)))
+        self.block = (entry[first] % max(self.blocks, 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        of = entry[first] // max(self.blocks, 1)
+        self.entries = np.bincount(of, minlength=len(self.idf))
+        self.entry = np.cumsum(self.entries) - self.entries
+        padded = np.zeros((self.blocks * BLOCK, self.full.shape[1]), np.float32)
+        padded[:n] = self.full
+        self.full_most = padded.reshape(self.blocks, BLOCK, -1).max(axis=1) if n else padded
         return self
 
     def nearest(self, features: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -234,31 +281,58 @@ class Neighbours:
         """``nearest`` of each document."""
         out: list[list[tuple[float, int]]] = []
         for at in range(0, len(docs), TOGETHER):
-            part = docs[at : at + TOGETHER]
-            queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in part]
-            wide = np.zeros((len(part), self.dense.shape[1]), np.float32)
-            for row, (f, _), q in zip(wide, part, queries, strict=True):
-                column = self.column[f]
-                row[column[column >= 0]] = q[column >= 0]
-            sums = wide @ self.dense.T
-            out += [self._best(f, q, own, k) for (f, _), q, own in zip(part, queries, sums, strict=True)]
+            out += self._search(docs[at : at + TOGETHER], k) if self.ids else [[] for _ in docs[at : at + TOGETHER]]
         return out
 
-    def _best(self, features: np.ndarray, q: np.ndarray, sums: np.ndarray, k: int) -> list[tuple[float, int]]:
-        if not len(features) or not len(self.ids):
-            return []
-        length = self.length[features]
-        places = _ranges(self.start[features], length)
-        sums = sums + np.bincount(self.example[places], np.repeat(q.astype(np.float32), length) * self.weight[places], minlength=len(sums))
-        least = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-4 if len(sums) > k else 0.0
+    def _search(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in docs]
+        wide, own = np.zeros((len(docs), self.full.shape[1]), np.float32), []
+        for row, (f, _), q in zip(wide, docs, queries, strict=True):
+            column = self.column[f]
+            row[column[column >= 0]] = q[column >= 0]
+            length = self.entries[f]
+            own.append((_ranges(self.entry[f], length), np.repeat(q, length)))
+        bounds = wide @ self.full_most.T
+        for row, (at, q) in zip(bounds, own, strict=True):
+            row += np.bincount(self.block[at], q * self.most[at], minlength=self.blocks)
+        bounds = bounds * np.float32(1 + 1e-4)
+        bounds[bounds > 0] += np.float32(1e-4)  # whatever single precision may lose
+        size = self.blocks * BLOCK
+        sums, rest = np.zeros((len(docs), size), np.float32), np.zeros((len(docs), size))
+        some = min(FIRST + -(-k // BLOCK), self.blocks)
+        done = np.zeros(bounds.shape, bool)
+        np.put_along_axis(done, np.argpartition(-bounds, some - 1, axis=1)[:, :some], True, axis=1)
+        self._add(sums, rest, wide, own, done)
+        found = sums.reshape(len(docs), self.blocks, BLOCK)[done].reshape(len(docs), -1)
+        n = min(k, found.shape[1])
+        least = np.maximum(np.partition(found, found.shape[1] - n, axis=1)[:, found.shape[1] - n] - 2e-4, 0)
+        self._add(sums, rest, wide, own, (bounds > least[:, None]) & ~done)
+        return [self._best(*x, k) for x in zip(docs, queries, sums[:, : len(self.ids)], rest, least, strict=True)]
+
+    def _add(self, sums: np.ndarray, rest: np.ndarray, wide: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> None:
+        """Adds up the cosines of the chosen blocks; ``rest`` is the part that does not come from full lists."""
+        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+            rows, part = np.flatnonzero(chosen[:, b]), self.full[b * BLOCK : (b + 1) * BLOCK]
+            if 2 * len(rows) > len(wide):
+                sums[rows, b * BLOCK : b * BLOCK + len(part)] = (wide @ part.T)[rows]
+            else:
+                sums[rows, b * BLOCK : b * BLOCK + len(part)] = wide[rows] @ part.T
+        for row, other, flags, (at, q) in zip(sums, rest, chosen, own, strict=True):
+            here = np.flatnonzero(flags[self.block[at]])
+            entries = at[here]
+            length = self.postings[entries]
+            places = _ranges(self.posting[entries], length)
+            found = np.bincount(self.example[places], np.repeat(q[here], length) * self.weight[places], minlength=len(row))
+            other += found
+            row += found
+
+    def _best(self, doc: tuple[np.ndarray, np.ndarray], q: np.ndarray, sums: np.ndarray, rest: np.ndarray, least: float, k: int) -> list[tuple[float, int]]:
         near = np.flatnonzero((sums > 0) & (sums >= least))  # a sum is over 0 where any feature is shared, as no weight is under 0
-        length = np.diff(self.ends)[near]
-        places = _ranges(self.ends[near], length)
-        own = self.feature[places]
-        self.query[features] = q
-        w = self.query[own] * (1 + np.log(self.count[places])) * self.idf[own]
-        self.query[features] = 0
-        cosines = np.bincount(np.repeat(np.arange(len(near)), length), w, minlength=len(near)) / self.norm[near]
+        if len(near) > k:
+            own = sums[near]
+            near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-4]
+        column = self.column[doc[0]]
+        cosines = rest[near] + self.full[near[:, None], column[column >= 0]] @ q[column >= 0]
         best = [(round(c, 12), i) for c, i in zip(cosines.tolist(), near.tolist(), strict=True)]
         best.sort(key=lambda x: (-x[0], self.ids[x[1]], x[1]))
         return best[:k]
@@ -353,7 +427,7 @@ _RESULT = "key {}, score double, predicted int, evidence array<struct<doc_id: lo
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted, evidence) of every document, in one pass."""
+    """(key, score, predicted, evidence) of every document, in one pass; evidence has the nearest examples first."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     slim = docs.select(F.col(key).alias("key"), common.text_of(text).alias("text"))
@@ -366,7 +440,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for s, near in model.score(batch.column("text").to_pylist()):
                 index = index_of(model.uri) if near else None
                 scores.append(s)
-                evidence.append([{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "cosine": c} for c, i in near])
+                evidence.append([{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "cosine": c} for c, i in near[:EVIDENCE]])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, schema.field("evidence").type)], schema=schema)
 
     return slim.mapInArrow(run, shape)
