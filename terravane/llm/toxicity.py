@@ -1,16 +1,17 @@
 """Toxicity scores from the nearest labelled examples (operator 10).
 
 Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, chosen by a hash of the id (a bounded sample, so what is
-fitted can be held by every task; the driver holds the features' names and frequencies only). One half of the sample are the examples; the other half calibrates.
-Features are words and word beginnings of 4 and 6 letters: all that any example has, whatever its label and however rare.
-Their document frequencies come from a pass over all documents.
+fitted can be held by every task; the driver holds the features' names and frequencies only). All of them are examples; each
+also calibrates, with its neighbours among the others. Features are words and word beginnings of 4 and 6 letters: all that
+any example has, whatever its label and however rare. Texts are read once: the feature counts of all documents are stored, their
+document frequencies come from there, and so do the vectors to be scored.
 
 Each example is kept with its whole TF-IDF vector in a block-max inverted index: examples with like vectors stand together in
 blocks of ``BLOCK``; a feature's list has the largest weight in each block beside the weights themselves. The sum of these
 largest weights bounds every cosine in a block. For a batch of documents the blocks with the highest bounds are summed up
 first; then only those blocks whose bound reaches the k-th best cosine found so far. Weights of examples are stored in single
 precision; cosines that can be among the k largest are added up in double precision, so the neighbours are exact. They vote with their
-cosines as weights; a monotone step function, fitted on the calibrating half, turns the vote into the share of toxic rows.
+cosines as weights; a monotone function, fitted on the examples' own votes, turns the vote into the share of toxic rows.
 The nearest ones are returned as evidence. The vocabulary is that of the examples: features that none of them has are in no
 cosine and not in a document's length.
 
@@ -32,14 +33,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import common
 
-FIT_ROWS = 20_000
-NEIGHBOURS = 25
+FIT_ROWS = 10_000
+NEIGHBOURS = 15
 #: So many of the nearest are returned as evidence.
 EVIDENCE = 10
 #: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, documents searched at once, chunks remembered.
@@ -142,13 +144,37 @@ def index_of(uri: str) -> Neighbours:
     return _kept("index", uri, lambda body: Neighbours.loads(uri, body))
 
 
-def _frequencies(uri: str, size: int):
+def squeezed(features: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending features with counts; bytes of equal significance together, compressed."""
+    both = np.concatenate([np.diff(features, prepend=0), counts]).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueezed(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def _read(uri: str):
+    """The feature counts of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reader = reader_of(uri)
+            body = [squeezed(*reader.counts(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(body, pa.binary())], ["key", "body"])
+
+    return run
+
+
+def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, df = reader_of(uri), np.zeros(size + 1, np.int64)
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[reader.counts(text)[0]] += 1
-                df[-1] += 1
+            for body in batch.column("body"):
+                df[unsqueezed(body.as_py())[0]] += 1
+            df[-1] += batch.num_rows
         some = np.flatnonzero(df)
         for k in range(0, len(some), 50_000):
             part = some[k : k + 50_000]
@@ -342,17 +368,16 @@ class Neighbours:
         return sum(s for s, i in near if self.labels[i]) / (sum(s for s, _ in near) + 0.05) if near else 0.0
 
 
-def step_function(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares monotone fit of labels on votes: lower ends of its steps, and its values."""
-    steps: list[list[float]] = []  # sum, count, lower end
+def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares monotone fit of labels on votes: the mean votes of its steps, and its values there."""
+    steps: list[list[float]] = []  # sum of labels, count, sum of votes
     for v in np.unique(votes).tolist():
         own = labels[votes == v]
-        steps.append([float(own.sum()), float(len(own)), v])
+        steps.append([float(own.sum()), float(len(own)), v * len(own)])
         while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
-            s, n, _ = steps.pop()
-            steps[-1][0] += s
-            steps[-1][1] += n
-    return np.array([s[2] for s in steps]), np.array([(s[0] + 0.01) / (s[1] + 0.02) for s in steps])
+            for k, x in enumerate(steps.pop()):
+                steps[-1][k] += x
+    return np.array([s[2] / s[1] for s in steps]), np.array([(s[0] + 0.01) / (s[1] + 0.02) for s in steps])
 
 
 @dataclass
@@ -360,31 +385,39 @@ class Model:
     """Names and index lie under ``uri``; without one every score is 0."""
 
     uri: str | None
-    ends: np.ndarray
+    at: np.ndarray
     shares: np.ndarray
     k: int
 
     def share(self, vote: float) -> float:
-        return float(self.shares[max(np.searchsorted(self.ends, vote, side="right") - 1, 0)])
+        """Between two steps the share rises in a line."""
+        return float(np.interp(vote, self.at, self.shares))
+
+    def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and neighbours of each vector of feature counts; called in tasks."""
+        index = index_of(self.uri)
+        for near in index.nearest_of(docs, self.k):
+            yield self.share(index.vote(near)), near
 
-    def score(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        """Score and neighbours of each text; called in tasks."""
+    def score_texts(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         if self.uri is None:
             yield from [(0.0, [])] * len(texts)
             return
-        reader, index = reader_of(self.uri), index_of(self.uri)
+        reader = reader_of(self.uri)
         for at in range(0, len(texts), TOGETHER):
-            for near in index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], self.k):
-                yield self.share(index.vote(near)), near
+            yield from self.score([reader.counts(t) for t in texts[at : at + TOGETHER]])
 
 
 def _votes(uri: str, k: int):
+    """Label and vote of each example, by its neighbours of other ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, index = reader_of(uri), index_of(uri)
         for batch in batches:
-            texts, votes = batch.column("text").to_pylist(), []
+            texts, names, votes = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), []
             for at in range(0, len(texts), TOGETHER):
-                votes += map(index.vote, index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], k))
+                near = index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], k + 1)
+                votes += [index.vote([x for x in own if index.ids[x[1]] != i][:k]) for own, i in zip(near, names[at : at + TOGETHER], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
     return run
@@ -392,35 +425,39 @@ def _votes(uri: str, k: int):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, k: int = NEIGHBOURS) -> Model:
     """Learns from the labels of training rows and from the texts of all documents."""
+    return fit_and_read(docs, labels, key, text, rows, k)[0]
+
+
+def fit_and_read(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+    """The model, and (key, body): the feature counts of all documents, as they were stored for the document frequencies."""
     spark = docs.sparkSession
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
+    slim = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     home = common.shared_dir(spark, "toxicity")
-    chosen = common.stored(slim.join(F.broadcast(sample), "doc_id"), f"{home}/sample")
-    chosen = chosen.repartition(min(64, max(1, spark.sparkContext.defaultParallelism)), "doc_id")
-    if chosen.where("toxic = 1").isEmpty():
-        return Model(None, np.zeros(1), np.zeros(1), k)
-    half = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))
-    examples, rest = chosen.where(half == 0), chosen.where(half == 1)
-
-    names = sorted(examples.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist())
+    one = slim.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = common.stored(one, f"{home}/sample").repartition(min(64, max(1, spark.sparkContext.defaultParallelism)), "doc_id")
+    toxic = not chosen.where("toxic = 1").isEmpty()
+
+    names = sorted(chosen.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist()) if toxic else []
     common.put_file(f"{home}/names", zlib.compress("\n".join(names).encode(), 1))
-    counted = slim.select("text").mapInArrow(_frequencies(home, len(names)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    read = slim.select("key", "text").mapInArrow(_read(home), f"key {slim.schema['key'].dataType.simpleString()}, body binary")
+    if not toxic:
+        return Model(None, np.zeros(1), np.zeros(1), k), read
+    read = common.stored(read, f"{home}/read")
+    counted = read.select("body").mapInArrow(_frequencies(len(names)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(names) + 1, np.int64)
     df[counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
     idf = 1 + np.log((df[-1] + 1) / (df[:-1] + 1))
     del names, counted
-    parts = [r["part"] for r in examples.mapInArrow(_vectors(home), "part int").collect()]
+    parts = [r["part"] for r in chosen.mapInArrow(_vectors(home), "part int").collect()]
     common.put_file(f"{home}/index", _bytes(idf=idf, parts=np.array(sorted(parts), np.int64)))
 
-    if rest.isEmpty():
-        rest = chosen
-    votes = rest.mapInArrow(_votes(home, k), "toxic int, vote double").toArrow()
-    ends, shares = step_function(np.round(votes.column("vote").to_numpy(), 6), votes.column("toxic").to_numpy())
-    return Model(home, ends, shares, k)
+    votes = chosen.mapInArrow(_votes(home, k), "toxic int, vote double").toArrow()
+    at, shares = monotone(np.round(votes.column("vote").to_numpy(), 6), votes.column("toxic").to_numpy())
+    return Model(home, at, shares, k), read
 
 
 _RESULT = "key {}, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>"
@@ -428,16 +465,32 @@ _RESULT = "key {}, score double, predicted int, evidence array<struct<doc_id: lo
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted, evidence) of every document, in one pass; evidence has the nearest examples first."""
+    return _scored(docs.select(F.col(key).alias("key"), common.text_of(text).alias("body")), model, model.score_texts)
+
+
+def score_read(read: DataFrame, model: Model) -> DataFrame:
+    """``score`` of the documents that ``fit_and_read`` has read."""
+
+    def scores(bodies: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        if model.uri is None:
+            yield from [(0.0, [])] * len(bodies)
+            return
+        for at in range(0, len(bodies), TOGETHER):
+            yield from model.score([unsqueezed(b) for b in bodies[at : at + TOGETHER]])
+
+    return _scored(read, model, scores)
+
+
+def _scored(slim: DataFrame, model: Model, scores_of: Callable[[list], Iterator[tuple[float, list[tuple[float, int]]]]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    slim = docs.select(F.col(key).alias("key"), common.text_of(text).alias("text"))
     shape = _RESULT.format(slim.schema["key"].dataType.simpleString())
     schema = to_arrow_schema(spark_schema(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, evidence = [], []
-            for s, near in model.score(batch.column("text").to_pylist()):
+            for s, near in scores_of(batch.column("body").to_pylist()):
                 index = index_of(model.uri) if near else None
                 scores.append(s)
                 evidence.append([{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "cosine": c} for c, i in near[:EVIDENCE]])
@@ -451,7 +504,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [s < 0.5 for s, _ in model.score([t or "" for t in batch.column(text).to_pylist()])]
+            clean = [s < 0.5 for s, _ in model.score_texts([t or "" for t in batch.column(text).to_pylist()])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -466,5 +519,6 @@ def spark_schema(ddl: str):
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents of the table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model, read = fit_and_read(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = score_read(read, model)
     return out.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))

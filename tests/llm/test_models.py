@@ -154,12 +154,47 @@ def test_clean_examples_are_neighbours_with_whole_vectors(spark, docs_of):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)], "doc_id long, toxic int")
     docs = docs_of([*texts, "calm meadow by a river"])
     evidence = toxicity.score(docs, toxicity.fit(docs, labels)).where("key = 120").first()["evidence"]
-    assert len(evidence) == toxicity.NEIGHBOURS and {e["toxic"] for e in evidence} == {0}
-
-
-def test_monotone_steps():
-    ends, shares = toxicity.step_function(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
-    assert (np.diff(shares) > 0).all() and ends[0] == 0.1
+    assert len(evidence) == toxicity.EVIDENCE and {e["toxic"] for e in evidence} == {0}
+
+
+def test_scores_from_texts_to_calibration_by_brute_force(spark, docs_of):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["river", "riverbank", "stone", "harbour", "meadowland", "vile", "calm", f"w{draw.randint(0, 9)}x"]) for _ in range(draw.randint(1, 30))) for _ in range(90)]
+    texts += ["", None, texts[0], "unknown"]
+    labels = {i: int((texts[i] or "").count("vile") > 2) for i in range(0, 80)}
+    docs, table = docs_of(texts), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model, read = toxicity.fit_and_read(docs, table)
+    got = {r["key"]: r for r in toxicity.score(docs, model).collect()}
+
+    counts = [Counter(f for w in (t or "").split() for f in toxicity.features_of(w)) for t in texts]
+    train = [i for i in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    known = {f for i in train for f in counts[i]}
+    df = Counter(f for c in counts for f in c)
+    idf = {f: 1 + math.log((len(texts) + 1) / (df[f] + 1)) for f in known}
+
+    def vector(c):
+        w = {f: (1 + math.log(n)) * idf[f] for f, n in c.items() if f in known}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {f: x / norm for f, x in w.items()}
+
+    vectors = [vector(c) for c in counts]
+
+    def vote(i, others):
+        cos = sorted(((round(sum(x * vectors[j].get(f, 0) for f, x in vectors[i].items()), 7), -j) for j in others), reverse=True)[: toxicity.NEIGHBOURS]
+        cos = [(c, -j) for c, j in cos if c > 0]
+        return (sum(c for c, j in cos if labels[j]) / (sum(c for c, _ in cos) + 0.05), cos) if cos else (0.0, [])
+
+    at, shares = toxicity.monotone(np.round([vote(i, [j for j in train if j != i])[0] for i in train], 6), np.array([labels[i] for i in train]))
+    for i in range(len(texts)):
+        want, cos = vote(i, train)
+        assert got[i]["score"] == pytest.approx(np.interp(want, at, shares), abs=2e-3), texts[i]
+        assert [e["cosine"] for e in got[i]["evidence"]] == pytest.approx([c for c, _ in cos][: toxicity.EVIDENCE], abs=1e-6)
+    assert {r["key"]: r["score"] for r in toxicity.score_read(read, model).collect()} == {i: r["score"] for i, r in got.items()}
+
+
+def test_monotone_fit():
+    at, shares = toxicity.monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
+    assert (np.diff(shares) > 0).all() and at[0] == 0.1 and at[1] == pytest.approx(0.25)
 
 
 def test_toxicity_of_hard_rows(spark, docs_of):
