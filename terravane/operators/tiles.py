@@ -57,6 +57,13 @@ def split_area(areas: DataFrame, parts: int, horizontal: bool) -> DataFrame:
     return rows.withColumns({low: F.col("_first") + F.col("part") * F.col("_step"), high: F.col("_first") + (F.col("part") + 1) * F.col("_step")}).drop("_first", "_step")
 
 
+def backward_windows(tiles: DataFrame, end: int, days: int) -> DataFrame:
+    """Each tile with the windows of one day that end at ``end`` (epoch seconds), one day before it, and so on: back, since, until."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("back")
+    until = (F.lit(end) - F.col("back") * 86_400).cast("long")
+    return tiles.select("*", back).withColumn("since", until - 86_400).withColumn("until", until)
+
+
 def refine(points: DataFrame, area: geo.Box, parts: int, limit: int, smallest: float = 0.001, max_depth: int = 20) -> DataFrame:
     """(south, north, west, east, depth, n): areas that hold fewer than ``limit`` points, or are too small to be split.
 

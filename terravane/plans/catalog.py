@@ -14,7 +14,7 @@ from terravane.operators import boosting, movement, point_stats, ranking, tiles,
 from terravane.operators import radius_join as rj
 from terravane.operators import venues as vn
 from terravane.plans import views
-from terravane.sources import readers, writers
+from terravane.sources import readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,10 +127,10 @@ def bbox_expand(spark, d):
     return rj.expanded_box(views.query_points(spark, d), geo.Box(59.9, 30.2, 59.95, 30.6))
 
 
-@query(f"with {views.POSTS}, {views.QUERY_POINTS}, n as (select query_idx from query_points join posts on {views.NEAR}) select query_idx, count(*) as ids from n group by 1")
+@query(f"with {views.POSTS}, {views.QUERY_POINTS}, n as (select query_idx, id from query_points join posts on {views.NEAR}) select query_idx, string_agg(cast(id as varchar), ',' order by id) as ids from n group by 1")
 def near_ids(spark, d):
     near = rj.radius_join(views.query_points(spark, d), views.posts(spark, d).select("id", "lat", "lon"), 0.5)
-    return writers.near_json(near).select("query_idx", F.size(F.from_json("value", "lat double, lon double, ids array<long>")["ids"]).cast("long").alias("ids"))
+    return writers.near_json(near).select("query_idx", F.array_join(F.from_json("value", "lat double, lon double, ids array<long>")["ids"], ",").alias("ids"))
 
 
 # Movement
@@ -261,10 +261,10 @@ def last_write(spark, d):
     return timeseries.last_write(views.table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders where o_custkey % 5 <> 0)")
 def new_ids_anti(spark, d):
     c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return timeseries.new_ids(c, views.table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")
+    return timeseries.new_ids(c, views.table(spark, d, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("id")), "id")
 
 
 @query("select c_custkey as id from customer where c_custkey in (select o_custkey from orders)")
@@ -275,9 +275,8 @@ def known_ids_semi(spark, d):
 
 @query("select strftime(ts, '%Y-%m-%d') as dt, count(*) as n from events group by 1")
 def day_partitions(spark, d):
-    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    utc = F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd")
-    return views.table(spark, d, "events").groupBy(utc.alias("dt")).agg(F.count(F.lit(1)).alias("n"))
+    day = times.day_name(F.unix_millis(F.col("ts").cast("timestamp")))  # the session's clock on both ways
+    return views.table(spark, d, "events").groupBy(day.alias("dt")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d') as dt from events where ts >= timestamp '2024-01-03 00:00:00' and ts < timestamp '2024-01-06 00:00:00'")
@@ -305,7 +304,10 @@ _MEAN_LAT, _MEAN_LON = "59 + (event_id % 80) / 100.0e0 + 0.25e0", "30 + (event_i
   case when event_id % 5 <> 1 then event_id % 1000 else -1 end as followers, case when event_id % 5 <> 1 then 'p' || (event_id % 7) end as place,
   case when event_id % 6 in (3, 4) and event_id % 2 = 0 then 'http://u/' || event_id end as url, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at from events""")
 def normalize_tweets(spark, d):
-    n = readers.normalised_posts(views.raw_posts(spark, d))
+    return shown_posts(readers.normalised_posts(views.raw_posts(spark, d)))
+
+
+def shown_posts(n: DataFrame) -> DataFrame:
     at = F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
     return n.select(F.col("_id").alias("id"), "source", "certain_coords", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.coalesce("user.followers_count", F.lit(-1).cast("long")).alias("followers"), F.col("place.id").alias("place"), "url", at.alias("created_at"))
 
@@ -424,9 +426,7 @@ def quadrants(spark, d):
 @query()
 def adaptive_refine(spark, d):
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-"))
+        spark.sparkContext.setCheckpointDir(shared.shared_base(spark))
     box = geo.Box(views.LAT, views.LON, views.LAT + views.LAT_SIZE, views.LON + views.LON_SIZE)
     return tiles.refine(views.posts(spark, d), box, 3, 50)
 
@@ -509,7 +509,7 @@ def row_means(spark, d):
     return o.select("query_id", "doc_id", F.round(ranking.row_means(o, "features"), 9).alias("mean"))
 
 
-@query("select 0 as position, round(avg(l_quantity), 9) as mean from lineitem")
+@query("with m as (select cast(unnest([0, 1, 2]) as int) as position, unnest([avg(l_quantity), avg(l_discount), avg(l_tax)]) as mean from lineitem) select position, round(mean, 9) as mean from m order by mean desc, position limit 1")
 def best_position(spark, d):
     best = ranking.best_position(ranking.position_means(views.order_rankings(spark, d), "features"))
     return best.withColumn("mean", F.round("mean", 9))

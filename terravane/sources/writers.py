@@ -58,21 +58,64 @@ def tile_centers(tiles: DataFrame) -> DataFrame:
     return tiles.select(F.to_json(F.struct(F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))).alias("value"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a saved table, oldest first."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version of a table that ``save_documents`` or ``save_period`` has written."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
+def _put_version(spark: SparkSession, now: DataFrame, path: str, done: list[int]) -> None:
+    """Writes the next version; a version counts once its last file is there, and the one before it stays for readers."""
+    now.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 0}")
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    for old in done[:-1]:
+        as_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(as_path(f"{path}/v{old}"), True)
+
+
 def save_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "_id", order: str = "_timestamp", by_field: bool = False) -> None:
-    """Upserts documents into the Parquet table at ``path``: whole documents, or field by field.
+    """Upserts documents into the table at ``path``: whole documents, or field by field. Read it with ``saved``.
 
-    The new state is written beside the old one and then takes its place, so a failed job leaves the old table.
+    Each save writes a version of its own, so a job that fails at any point leaves the version before it as it was.
     """
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    as_path = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(as_path(path)):
-        old = spark.read.parquet(path)
-        now = timeseries.upsert(old, new, key, order) if by_field else timeseries.last_write(old.unionByName(new, allowMissingColumns=True), key, order)
-    else:
+    done = _versions(spark, path)
+    if not done:
         now = timeseries.last_write(new, key, order)
-    now.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(as_path(path), True)
-    fs.rename(as_path(f"{path}.next"), as_path(path))
+    else:
+        old = saved(spark, path)
+        now = timeseries.upsert(old, new, key, order) if by_field else timeseries.last_write(old.unionByName(new, allowMissingColumns=True), key, order)
+    _put_version(spark, now, path, done)
+
+
+def save_period(spark: SparkSession, counts: DataFrame, path: str, key: str, size: int) -> None:
+    """Upserts (key, period, day, n) into a table of day maps, zeros where there is nothing; the new number of a day replaces the old one."""
+    done = _versions(spark, path)
+    rows = counts.select(key, "period", "day", F.col("n").cast("long").alias("n"), F.lit(1).alias("_new"))
+    if done:
+        rows = rows.unionByName(saved(spark, path).select(key, "period", F.explode("days").alias("day", "n"), F.lit(0).alias("_new")))
+    latest = rows.groupBy(key, "period", "day").agg(F.max_by("n", "_new").alias("n"))
+    _put_version(spark, timeseries.period_map(latest, key, size), path, done)
+
+
+def write_ids_and_full(rows: DataFrame, path: str, key: str = "_id") -> None:
+    """Two JSON tables: the keys alone, and whole rows."""
+    rows.select(key).write.mode("overwrite").json(f"{path}/ids")
+    rows.write.mode("overwrite").json(f"{path}/full")
+
+
+def write_indexed(features: DataFrame, path: str, lat: str = "qlat", lon: str = "qlon") -> None:
+    """Tab-separated with a header; the point, as ``(lat, lon)``, is the index in front."""
+    point = F.concat(F.lit("("), F.col(lat).cast("string"), F.lit(", "), F.col(lon).cast("string"), F.lit(")")).alias("point")
+    features.select(point, *[c for c in features.columns if c not in (lat, lon)]).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def write_days(rows: DataFrame, path: str, ms: Column, mode: str = "append", compression: str = "none", fmt: str = "json") -> None:

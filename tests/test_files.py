@@ -129,9 +129,9 @@ def test_saving_documents_is_an_upsert(spark, tmp_path):
     frame = lambda data: spark.createDataFrame(data, "_id long, _timestamp long, a string, b long")
     writers.save_documents(spark, frame([(1, 1, "x", 1), (1, 2, "y", 2)]), path)
     writers.save_documents(spark, frame([(1, 3, None, 9), (2, 3, "n", None)]), path, by_field=True)
-    assert rows(spark.read.parquet(path).select("_id", "a", "b")) == [(1, "y", 9), (2, "n", None)]
+    assert rows(writers.saved(spark, path).select("_id", "a", "b")) == [(1, "y", 9), (2, "n", None)]
     writers.save_documents(spark, frame([(1, 4, None, 7)]), path)
-    assert rows(spark.read.parquet(path).select("_id", "a", "b")) == [(1, None, 7), (2, "n", None)]
+    assert rows(writers.saved(spark, path).select("_id", "a", "b")) == [(1, None, 7), (2, "n", None)]
 
 
 def test_text_sinks(spark, tmp_path):
@@ -171,7 +171,7 @@ def test_streams_equal_batches(spark, tmp_path):
     stream.save(stream.located(stream.raw_stream(spark, str(source), 1), box), state, str(tmp_path / "c1")).awaitTermination()
     write_stream(source, "b.json", [3, 4])
     stream.save(stream.located(stream.raw_stream(spark, str(source), 1), box), state, str(tmp_path / "c1")).awaitTermination()
-    assert rows(spark.read.parquet(state).select("_id")) == [(1,), (2,), (3,), (4,)]
+    assert rows(writers.saved(spark, state).select("_id")) == [(1,), (2,), (3,), (4,)]
     stream.day_files(stream.once(stream.located(stream.raw_stream(spark, str(source)), box)), str(tmp_path / "days"), str(tmp_path / "c2")).awaitTermination()
     dated = spark.read.json(str(tmp_path / "days"))
     assert rows(dated.groupBy(F.col("dt").cast("string")).count()) == [("2014-11-23", 2), ("2014-11-24", 2)]
