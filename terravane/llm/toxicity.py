@@ -44,10 +44,11 @@ FIT_ROWS = 10_000
 NEIGHBOURS = 15
 #: So many of the nearest are returned as evidence.
 EVIDENCE = 10
-#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, documents searched at once, chunks remembered.
+#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, those by which examples are ordered, documents searched at once, chunks remembered.
 BLOCK = 64
 FIRST = 4
 FULL_LISTS = 2048
+COMPARED = 256
 TOGETHER = 128
 MEMO = 200_000
 BEGINNINGS = (4, 6)
@@ -256,8 +257,9 @@ class Neighbours:
         for row, (_, _, f, n) in zip(full, rows, strict=True):
             column = self.column[f]
             row[column[column >= 0]] = self.weigh(f, n)[column >= 0]
-        order = like_first(full)
+        order = like_first(full[:, :COMPARED])
         self.full, rows = full[order], [rows[i] for i in order.tolist()]
+        del full
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
         self.ends = np.cumsum([0, *(len(r[2]) for r in rows)])
         self.feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
@@ -294,9 +296,7 @@ class Neighbours:
         of = entry[first] // max(self.blocks, 1)
         self.entries = np.bincount(of, minlength=len(self.idf))
         self.entry = np.cumsum(self.entries) - self.entries
-        padded = np.zeros((self.blocks * BLOCK, self.full.shape[1]), np.float32)
-        padded[:n] = self.full
-        self.full_most = padded.reshape(self.blocks, BLOCK, -1).max(axis=1) if n else padded
+        self.full_most = np.maximum.reduceat(self.full, np.arange(0, n, BLOCK), axis=0) if n else self.full
         return self
 
     def nearest(self, features: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[float, int]]:
