@@ -1,14 +1,21 @@
 """Format-preserving pseudonyms of personal data by keyed Feistel permutations (operator 1).
 
 Each kind of value is recognised by its form, validated where its form can be (checksums, calendars, octets) and then
-permuted within the set of all valid values of its kind: a card number stays a card number with a right check digit, a date
-stays a date in its notation. A permutation depends on the key and the kind alone, so equal values have equal pseudonyms in
-every document, different ones have different pseudonyms, and whoever holds the key can undo it (``forward=False``).
-Detection looks at each document by itself: the work is one pass without a shuffle.
+permuted within the set of all valid values of its form: a card number stays a card number with a right check digit, a date
+stays a date in its notation and width. A permutation depends on the key, the kind and the form alone, so equal values have
+equal pseudonyms in every document, different ones have different pseudonyms, and whoever holds the key can undo it
+(``forward=False``). Detection looks at each document by itself: the work is one pass without a shuffle.
 
 Kinds: card (13 to 19 digits with a right Luhn digit; other long numbers are left alone), iban, ssn, phone (with +
-and country code, or in 3-3-4 form), ip, date (ISO, day.month.year, month/day/year, with month names), email (the part
-before the @), secret (hexadecimal runs of 32 and more digits).
+and country code, or in 3-3-4 form), ip, date (ISO, day.month.year, month/day/year, day/month/year where only that can be meant, with
+month names), email (the part before the @), secret (hexadecimal runs of 32 and more digits).
+
+Forms of dates: days and months of one digit, of two digits with a leading zero, and of two digits that need none are written
+differently, so a date is permuted among the dates that are written with as many characters in each field. Dates with slashes
+whose day is over 12 read in one order only and are permuted among those of their order; the others read as month/day and
+are permuted among themselves. North American phone numbers share one permutation whatever their notation, with or without
+country code, so they stay linked; country codes stay as they are where a separator or the plus and a known code show them.
+Letters of an email address outside Latin-1 are permuted within their block of 32 code points, as far as it has letters of the same category.
 
 Defined cases: a null text stays null and has no spans; empty texts stay empty; texts of any length are read whole;
 repeated rows give repeated results; other columns stay as they are, even if they are called like a result column
@@ -17,6 +24,7 @@ repeated rows give repeated results; other columns stay as they are, even if the
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime as dt
 import functools
@@ -24,6 +32,7 @@ import hashlib
 import math
 import re
 import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,6 +74,23 @@ class Feistel:
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase, "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 
 
+@functools.lru_cache(10_000)
+def alphabet_of(c: str) -> str:
+    """The characters that ``c`` is permuted among: its class, or the letters or digits of its sort in its block of 32 code points; nothing if it is neither."""
+    for own in CLASSES:
+        if c in own:
+            return own
+    sort, first = unicodedata.category(c), ord(c) & ~31
+    if sort[0] not in "LN":
+        return ""
+    return "".join(x for x in map(chr, range(first, first + 32)) if unicodedata.category(x) == sort and x not in _IN_CLASSES)
+
+
+_IN_CLASSES = frozenset("".join(CLASSES))
+#: Country calling codes of one and two digits; all others have three.
+CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def luhn(digits: str) -> int:
     """The check digit that belongs after ``digits``."""
     total = 0
@@ -88,6 +114,24 @@ def _is_digit(c: str) -> bool:
     return c in string.digits
 
 
+@functools.lru_cache(64)
+def dates_of(form: str, of_month: int, of_day: int) -> list[tuple[int, int, int]]:
+    """All dates of a form whose month and day are written in the given ways (0: by name), in order."""
+
+    def fits(number: int, sort: int) -> bool:
+        return sort == 0 or (number < 10) == (sort in (1, 2))
+
+    def reads(month: int, day: int) -> bool:
+        return {"d/m": day > 12, "m/d": day > 12, "either": day <= 12}.get(form, True)
+
+    out = []
+    for year in range(Pseudonyms.FIRST, Pseudonyms.LAST + 1):
+        for month in range(1, 13):
+            if fits(month, of_month):
+                out += [(year, month, day) for day in range(1, calendar.monthrange(year, month)[1] + 1) if fits(day, of_day) and reads(month, day)]
+    return out
+
+
 class Pseudonyms:
     """Finds values of all kinds in a text and permutes them."""
 
@@ -104,7 +148,7 @@ class Pseudonyms:
     )
     #: A text without one of these holds no value of any kind.
     HINT = re.compile(r"[0-9]|@")
-    FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+    FIRST, LAST = 1900, 2099
 
     def __init__(self, key: bytes, forward: bool = True):
         self.feistel, self.forward = Feistel(key), forward
@@ -118,30 +162,63 @@ class Pseudonyms:
         return str(self._permute(int(digits), 10 ** len(digits), f"{tweak}{len(digits)}")).zfill(len(digits)) if digits else ""
 
     def _chars(self, s: str, tweak: str) -> str:
-        """Characters of each class, in their places, as one number of that class's base."""
-        for k, alphabet in enumerate(CLASSES):
-            own = [c for c in s if c in alphabet]
-            if own:
-                x = functools.reduce(lambda v, c, a=alphabet: v * len(a) + a.index(c), own, 0)
-                x, new = self._permute(x, len(alphabet) ** len(own), f"{tweak}{k}.{len(own)}"), []
-                for _ in own:
-                    x, d = divmod(x, len(alphabet))
-                    new.append(alphabet[d])
-                s = _refill(s, "".join(reversed(new)), lambda c, a=alphabet: c in a)
-        return s
+        """Characters of each alphabet, in their places, as one number of that alphabet's base."""
+        places: dict[str, list[int]] = {}
+        for i, c in enumerate(s):
+            if len(alphabet_of(c)) > 1:
+                places.setdefault(alphabet_of(c), []).append(i)
+        out = list(s)
+        for alphabet, at in places.items():
+            x = functools.reduce(lambda v, i, a=alphabet: v * len(a) + a.index(s[i]), at, 0)
+            x = self._permute(x, len(alphabet) ** len(at), f"{tweak}{ord(alphabet[0])}.{len(at)}")
+            for i in reversed(at):
+                x, d = divmod(x, len(alphabet))
+                out[i] = alphabet[d]
+        return "".join(out)
+
+    @staticmethod
+    def _sort_of(number: int, text: str) -> int:
+        """How a day or month is written: 1 digit, 2 digits with a leading zero, 2 without."""
+        return 1 if len(text) == 1 else 2 if number < 10 else 3
 
     def _date(self, value: str) -> str | None:
-        for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%B %d, %Y", "%d %B %Y"):
-            try:
-                day = dt.datetime.strptime(value, form).date().toordinal()
-            except ValueError:
-                continue
-            if not self.FIRST <= day <= self.LAST:
-                return None
-            new = dt.date.fromordinal(self.FIRST + self._permute(day - self.FIRST, self.LAST - self.FIRST + 1, "date"))
-            month = calendar.month_name[new.month]
-            return {"%Y-%m-%d": f"{new:%Y-%m-%d}", "%d.%m.%Y": f"{new:%d.%m.%Y}", "%m/%d/%Y": f"{new:%m/%d/%Y}", "%d/%m/%Y": f"{new:%d/%m/%Y}", "%B %d, %Y": f"{month} {new.day}, {new.year}", "%d %B %Y": f"{new.day} {month} {new.year}"}[form]
-        return None
+        """A date among all dates whose fields are written alike."""
+        m = re.fullmatch(r"(\d+)([-./])(\d+)[-./](\d+)|([A-Z][a-z]+) (\d+), (\d+)|(\d+) ([A-Z][a-z]+) (\d+)", value)
+        if m[2] == "-":
+            form, (y, mo, da) = "ISO", (m[1], m[3], m[4])
+        elif m[2] == ".":
+            form, (y, mo, da) = ".", (m[4], m[3], m[1])
+        elif m[2]:
+            day_first = int(m[1]) > 12
+            either = not day_first and int(m[3]) <= 12
+            form, (y, mo, da) = ("d/m" if day_first else "m/d" if not either else "either"), (m[4], m[3] if day_first else m[1], m[1] if day_first else m[3])
+        else:
+            name = m[5] or m[9]
+            form, (y, mo, da) = ("name d" if m[5] else "d name"), (m[7] or m[10], f"{list(calendar.month_name).index(name):02d}", m[6] or m[8])
+        month, day, year = int(mo), int(da), int(y)
+        try:
+            dt.date(year, month, day)
+        except ValueError:
+            return None
+        if not self.FIRST <= year <= self.LAST:
+            return None
+        named = "name" in form
+        sorts = (0 if named else self._sort_of(month, mo), self._sort_of(day, da))
+        ranks = dates_of(form, *sorts)
+        year, month, day = ranks[self._permute(bisect.bisect_left(ranks, (year, month, day)), len(ranks), f"date{form}{sorts}")]
+        d, mm = (f"{day:02d}" if sorts[1] == 2 else str(day)), (f"{month:02d}" if sorts[0] == 2 else str(month))
+        name = calendar.month_name[month]
+        return {"ISO": f"{year}-{mm}-{d}", ".": f"{d}.{mm}.{year}", "d/m": f"{d}/{mm}/{year}", "m/d": f"{mm}/{d}/{year}", "either": f"{mm}/{d}/{year}", "name d": f"{name} {d}, {year}", "d name": f"{d} {name} {year}"}[form]
+
+    def _phone(self, value: str) -> str | None:
+        digits = "".join(filter(_is_digit, value))
+        if value[0] == "+":
+            code = next((c for c in CODES if digits.startswith(c)), digits[:3])
+            if 7 <= len(digits) <= 15 and len(digits) - len(code) >= 4:
+                left = iter(code + self._digits(digits[len(code) :], f"phone+{code}."))
+                return "".join(next(left) if _is_digit(c) else c for c in value)
+            return None
+        return _refill(value, self._digits(digits, "phone+1."), _is_digit) if len(digits) == 10 else None
 
     def _of(self, kind: str, value: str) -> tuple[str, str] | None:
         """Kind and pseudonym of a value of the given form, or nothing if it isn't valid."""
@@ -167,11 +244,8 @@ class Pseudonyms:
             area += 1
             return kind, f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
         if kind == "phone":
-            code = re.match(r"\+[0-9]{1,3}(?=[ .(-])|", value)[0]
-            own = "".join(filter(_is_digit, value[len(code) :]))
-            if not 7 <= len(own) <= 15:
-                return None
-            return kind, code + _refill(value[len(code) :], self._digits(own, "phone" + code), _is_digit)
+            new = self._phone(value)
+            return (kind, new) if new else None
         if kind == "ip":
             octets = [int(x) for x in value.split(".")]
             if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
@@ -217,6 +291,11 @@ def pseudonymise(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str
     return made.select(F.col("key").alias(key), F.col("text").alias(text), "spans")
 
 
-def op1_pseudonyms(spark: SparkSession, sf_dir: str, secret: bytes = b"terravane") -> DataFrame:
-    """Every document with its personal data under pseudonyms."""
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), secret)
+#: Where the key of the query is looked for, in the session's settings.
+KEY_SETTING = "spark.terravane.pseudonym.key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str, secret: bytes | None = None) -> DataFrame:
+    """Every document with its personal data under pseudonyms; the key comes from the caller or from ``KEY_SETTING``, else it is one for tests."""
+    given = secret or spark.conf.get(KEY_SETTING, "for tests only").encode()
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), given)

@@ -227,6 +227,62 @@ def test_pseudonyms_keep_the_form_and_come_back(kind):
     assert there.apply(f"{value} and {value}")[0].count(spans[0]["pseudonym"]) == 2 and pseudonyms.Pseudonyms(b"other").apply(value)[0] != there.apply(value)[0]
 
 
+def there_and_back(values, width=True):
+    """Pseudonyms of the values: one for each, undone by the key, of one width with them but for names of months."""
+    there, back = pseudonyms.Pseudonyms(b"key"), pseudonyms.Pseudonyms(b"key", forward=False)
+    made = [there.apply(v) for v in values]
+    assert all(len(spans) == 1 and spans[0]["end"] - spans[0]["start"] == len(v) and (len(v) == len(t) or not width) for (t, spans), v in zip(made, values, strict=True))
+    assert len({t for t, _ in made}) == len(set(values)) and [back.apply(t)[0] for t, _ in made] == list(values)
+    return [t for t, _ in made]
+
+
+@pytest.mark.parametrize("form", ["{y}-{m:02d}-{d:02d}", "{d}.{m}.{y}", "{d:02d}.{m:02d}.{y}", "{m}/{d}/{y}", "{m:02d}/{d:02d}/{y}", "{d}/{m}/{y}", "{d:02d}/{m:02d}/{y}", "{n} {d}, {y}", "{d} {n} {y}"])
+def test_dates_are_permuted_one_to_one(form):
+    import calendar
+
+    days = [(y, m, d) for y in range(2015, 2025) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1)]
+    values = [form.format(y=y, m=m, d=d, n=calendar.month_name[m]) for y, m, d in days]
+    there_and_back(values, width="{n}" not in form)
+
+
+def test_all_slash_dates_together_are_permuted_one_to_one():
+    values = {f"{a}/{b}/{y}" for y in (2019, 2020) for a in range(1, 32) for b in range(1, 32) if (a <= 12 or b <= 12) and not (max(a, b) > 28)}
+    there_and_back(sorted(values))
+
+
+def test_other_kinds_are_permuted_one_to_one():
+    draw = random.Random(5)
+    there_and_back([f"{a:03d}-{draw.randint(1, 99):02d}-{draw.randint(1, 9999):04d}" for a in range(1, 899) if a != 666])
+    cards = [f"4{draw.randint(0, 10**14 - 1):014d}" for _ in range(500)]
+    there_and_back([c + str(pseudonyms.luhn(c)) for c in cards])
+    there_and_back([f"+49 30 {i:07d}" for i in range(1000)])
+    there_and_back([f"{draw.getrandbits(128):032x}".replace("0", "a", 1) for _ in range(300)])
+
+
+def test_names_in_any_script_are_masked():
+    values = [f"{first}{i}@mail.ru" for first in ("иван", "user.имя", "Łukasz", "李雷", "müller") for i in range(40)]
+    for value, new in zip(values, there_and_back(values), strict=True):
+        assert not re.search("иван|имя|Łukasz|李雷|müller", new), value
+
+
+def test_one_phone_number_has_one_pseudonym():
+    names = pseudonyms.Pseudonyms(b"key")
+    made = {re.sub(r"\D", "", names.apply(v)[0])[-10:] for v in ("+15551234567", "+1 555 123 4567", "(555) 123-4567", "555.123.4567", "+1-555-123-4567")}
+    assert len(made) == 1 and names.apply("+15551234567")[0].startswith("+1") and made != {"5551234567"}
+
+
+def test_the_query_masks_and_comes_back(spark, sf_dir):
+    rows = {r["doc_id"]: r for r in pseudonyms.op1_pseudonyms(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    names, back = pseudonyms.Pseudonyms(b"for tests only"), pseudonyms.Pseudonyms(b"for tests only", forward=False)
+    assert rows.keys() == texts.keys() and any(r["spans"] for r in rows.values())
+    for i, t in texts.items():
+        assert t is None or rows[i]["text"] == names.apply(t)[0]
+        for s in rows[i]["spans"]:
+            value = t[s["start"] : s["end"]]
+            assert back.of({"card": "number"}.get(s["kind"], s["kind"]), s["pseudonym"])[1] == value, value
+
+
 def test_invalid_values_stay():
     text = "4111 1111 1111 1112, 999.1.1.1, 2023-02-30, 000-12-3456, 1234, nothing@"
     assert pseudonyms.Pseudonyms(b"key").apply(text) == (text, [])
