@@ -247,24 +247,29 @@ class Neighbours:
     def build(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbours:
         """rows: id, label, features, counts, none of them without features."""
         none = np.zeros(0, np.int32)
-        rows = sorted(rows, key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+        rows = sorted(rows, key=lambda r: r[0])
         df = np.bincount(np.concatenate([none, *(r[2] for r in rows)]), minlength=len(self.idf))
         often = np.argsort(-df, kind="stable")[:FULL_LISTS]
         often = often[df[often] * 200 > len(rows)]
         self.column = np.full(len(self.idf), -1, np.int32)
         self.column[often] = np.arange(len(often))
-        full = np.zeros((len(rows), len(often)), np.float32)
-        for row, (_, _, f, n) in zip(full, rows, strict=True):
-            column = self.column[f]
-            row[column[column >= 0]] = self.weigh(f, n)[column >= 0]
-        order = like_first(full[:, :COMPARED])
-        self.full, rows = full[order], [rows[i] for i in order.tolist()]
-        del full
+        rows = [rows[i] for i in like_first(self._columns(rows, min(COMPARED, len(often)))).tolist()]
+        self.full = self._columns(rows, len(often))
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
-        self.ends = np.cumsum([0, *(len(r[2]) for r in rows)])
-        self.feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
-        self.count = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)
-        return self._lists()
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
+        count = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)
+        rows.clear()
+        return self._lists(size, feature, count)
+
+    def _columns(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """The weights of the n features that most rows have."""
+        out = np.zeros((len(rows), n), np.float32)
+        for row, (_, _, f, c) in zip(out, rows, strict=True):
+            column = self.column[f]
+            some = (column >= 0) & (column < n)
+            row[column[some]] = self.weigh(f, c)[some]
+        return out
 
     @classmethod
     def loads(cls, uri: str, body: bytes) -> Neighbours:
@@ -276,19 +281,27 @@ class Neighbours:
             with np.load(io.BytesIO(common.get_file(f"{uri}/part-{part}"))) as f:
                 ids, labels, ends, feature, count = (f[x] for x in ("ids", "labels", "ends", "feature", "count"))
             rows += [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return cls(idf).build(rows)
+        out = cls(idf)
+        return out.build(rows)
 
-    def _lists(self) -> Neighbours:
-        """Norms, and the lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
+    def _lists(self, size: np.ndarray, feature: np.ndarray, count: np.ndarray) -> Neighbours:
+        """The lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
-        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
-        weight = (1 + np.log(self.count)) * self.idf[self.feature]
-        self.norm = np.sqrt(np.bincount(example, weight * weight, minlength=n))
-        rest = np.flatnonzero(self.column[self.feature] < 0)
-        rest = rest[np.argsort(self.feature[rest], kind="stable")]
-        self.example, self.weight = example[rest], (weight[rest] / self.norm[example[rest]]).astype(np.float32)
-        entry = self.feature[rest].astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
+        example = np.repeat(np.arange(n, dtype=np.int32), size)
+        weight = np.log(count.astype(np.float32)) + 1
+        del count
+        weight *= self.idf.astype(np.float32)[feature]
+        norm = np.sqrt(np.bincount(example, weight.astype(float) ** 2, minlength=n))
+        weight /= norm.astype(np.float32)[example]
+        rest = np.flatnonzero(self.column[feature] < 0).astype(np.int32)
+        feature = feature[rest]
+        order = np.argsort(feature, kind="stable")
+        feature, rest = feature[order], rest[order]
+        del order
+        self.example, self.weight = example[rest], weight[rest]
+        del example, weight, rest
+        entry = feature.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
         self.posting, self.postings = first, np.diff(np.append(first, len(entry)))
         self.block = (entry[first] % max(self.blocks, 1)).astype(np.int32)
