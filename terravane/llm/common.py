@@ -41,19 +41,31 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Writes a whole file under its final name in one step, so that a retried task only repeats it."""
+@contextlib.contextmanager
+def writing(uri: str) -> Iterator[pa.NativeFile]:
+    """A file that gets its final name in one step when it is whole, so that a retried task only repeats it."""
     fs, path = open_fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 
-def get_file(uri: str) -> bytes:
+def put_file(uri: str, data: bytes) -> None:
+    with writing(uri) as out:
+        out.write(data)
+
+
+@contextlib.contextmanager
+def reading(uri: str) -> Iterator[pa.NativeFile]:
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
+        yield f
+
+
+def get_file(uri: str) -> bytes:
+    with reading(uri) as f:
         return f.read()
 
 

@@ -4,7 +4,8 @@ Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, chosen by
 fitted can be held by every task; the driver holds the features' names and frequencies only). All of them are examples; each
 also calibrates, with its neighbours among the others. Features are words and word beginnings of 4 and 6 letters: all that
 any example has, whatever its label and however rare. Texts are read once: the feature counts of all documents are stored, their
-document frequencies come from there, and so do the vectors to be scored.
+document frequencies come from there, and so do the vectors to be scored. One task builds the index of the sample; the others load its
+arrays as they stand.
 
 Each example is kept with its whole TF-IDF vector in a block-max inverted index: examples with like vectors stand together in
 blocks of ``BLOCK``; a feature's list has the largest weight in each block beside the weights themselves. The sum of these
@@ -126,23 +127,26 @@ _LOADED: dict[str, object] = {}
 common.KEPT["features"] = _LOADED.clear
 
 
-def _kept(kind: str, uri: str, load: Callable[[bytes], object]):
+def _kept(name: str, load: Callable[[str], object], beside: str | None):
+    """What ``load`` makes of a file; of all that was loaded before only ``beside`` stays."""
     common.claim("features")
-    name = f"{uri}/{kind}"
     if name not in _LOADED:
-        for old in [x for x in _LOADED if x.endswith(f"/{kind}")]:
+        for old in [x for x in _LOADED if x != beside]:
             del _LOADED[old]
-        _LOADED[name] = load(common.get_file(name))
+        common.give_back()
+        _LOADED[name] = load(name)
         common.give_back()
     return _LOADED[name]
 
 
-def reader_of(uri: str) -> Reader:
-    return _kept("names", uri, lambda body: Reader(zlib.decompress(body).decode().split("\n")))
+def reader_of(uri: str, both: bool = False) -> Reader:
+    """The reader of a model; with ``both`` its index stays loaded."""
+    return _kept(f"{uri}/names", lambda name: Reader(zlib.decompress(common.get_file(name)).decode().split("\n")), f"{uri}/index" if both else None)
 
 
-def index_of(uri: str) -> Neighbours:
-    return _kept("index", uri, lambda body: Neighbours.loads(uri, body))
+def index_of(uri: str, both: bool = False) -> Neighbours:
+    """The index of a model; with ``both`` its reader stays loaded."""
+    return _kept(f"{uri}/index", Neighbours.load, f"{uri}/names" if both else None)
 
 
 def squeezed(features: np.ndarray, counts: np.ndarray) -> bytes:
@@ -157,16 +161,17 @@ def unsqueezed(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-def _read(uri: str):
+def _read(uri: str) -> Callable[[Column], Column]:
     """The feature counts of each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            reader = reader_of(uri)
-            body = [squeezed(*reader.counts(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(body, pa.binary())], ["key", "body"])
+            reader, out = reader_of(uri), []
+            for at in range(0, len(batch), TOGETHER):
+                out += [squeezed(*reader.counts(t)) for t in batch.slice(at, TOGETHER).to_pylist()]
+            yield pa.array(out, pa.binary())
 
-    return run
+    return F.arrow_udf(run, "binary")
 
 
 def _frequencies(size: int):
@@ -192,8 +197,7 @@ def _vectors(uri: str):
         for batch in batches:
             for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 f, n = reader.counts(text)
-                if len(f):
-                    made.append((i, y, f.astype(np.int32), n.astype(np.int32)))
+                made.append((i, y, f.astype(np.int32), n.astype(np.int32)))
         if made:
             common.put_file(f"{uri}/part-{part}", _bytes(ids=np.array([m[0] for m in made], np.int64), labels=np.array([m[1] for m in made], np.int8), ends=np.cumsum([0, *(len(m[2]) for m in made)]), feature=np.concatenate([m[2] for m in made]), count=np.concatenate([m[3] for m in made])))
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
@@ -232,6 +236,17 @@ def like_first(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *out])
 
 
+def vectors_of(uri: str, part: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """id, label, features and counts of a part of the examples."""
+    with np.load(io.BytesIO(common.get_file(f"{uri}/part-{part}"))) as f:
+        ids, labels, ends, feature, count = (f[x] for x in ("ids", "labels", "ends", "feature", "count"))
+    return [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+#: The arrays of an index that are stored beside frequencies and ids.
+ARRAYS = ("labels", "column", "full", "full_most", "example", "weight", "posting", "postings", "block", "most", "entries", "entry")
+
+
 @dataclass
 class Neighbours:
     """Whole vectors of examples in a block-max inverted index."""
@@ -272,17 +287,20 @@ class Neighbours:
         return out
 
     @classmethod
-    def loads(cls, uri: str, body: bytes) -> Neighbours:
-        """From the frequencies and the files of vectors that ``body`` numbers."""
-        with np.load(io.BytesIO(body)) as f:
-            idf, parts = f["idf"], f["parts"].tolist()
-        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for part in parts:
-            with np.load(io.BytesIO(common.get_file(f"{uri}/part-{part}"))) as f:
-                ids, labels, ends, feature, count = (f[x] for x in ("ids", "labels", "ends", "feature", "count"))
-            rows += [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        out = cls(idf)
-        return out.build(rows)
+    def load(cls, uri: str) -> Neighbours:
+        """As ``save`` has stored it; each array is read into its own memory."""
+        with common.reading(uri) as f:
+            idf, ids, *rest = (pa.ipc.read_tensor(f).to_numpy() for _ in ("idf", "ids", *ARRAYS))
+        out = cls(idf, ids.tolist())
+        for name, array_of in zip(ARRAYS, rest, strict=True):
+            setattr(out, name, array_of)
+        out.blocks = -(-len(ids) // BLOCK)
+        return out
+
+    def save(self, uri: str) -> None:
+        with common.writing(uri) as f:
+            for x in (self.idf, np.array(self.ids, np.int64), *(getattr(self, name) for name in ARRAYS)):
+                pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(x)), f)
 
     def _lists(self, size: np.ndarray, feature: np.ndarray, count: np.ndarray) -> Neighbours:
         """The lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
@@ -303,7 +321,8 @@ class Neighbours:
         del example, weight, rest
         entry = feature.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-        self.posting, self.postings = first, np.diff(np.append(first, len(entry)))
+        small = np.int32 if len(entry) < 1 << 31 else np.int64
+        self.posting, self.postings = first.astype(small), np.diff(np.append(first, len(entry))).astype(small)
         self.block = (entry[first] % max(self.blocks, 1)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         of = entry[first] // max(self.blocks, 1)
@@ -408,30 +427,56 @@ class Model:
 
     def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and neighbours of each vector of feature counts; called in tasks."""
-        index = index_of(self.uri)
+        yield from self._voted(index_of(self.uri), docs)
+
+    def _voted(self, index: Neighbours, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         for near in index.nearest_of(docs, self.k):
             yield self.share(index.vote(near)), near
 
+    def score_bodies(self, bodies: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Of feature counts as they are stored."""
+        if self.uri is None:
+            yield from [(0.0, [])] * len(bodies)
+            return
+        for at in range(0, len(bodies), TOGETHER):
+            yield from self.score([unsqueezed(b) for b in bodies[at : at + TOGETHER]])
+
     def score_texts(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         if self.uri is None:
             yield from [(0.0, [])] * len(texts)
             return
-        reader = reader_of(self.uri)
+        reader, index = reader_of(self.uri, both=True), index_of(self.uri, both=True)
         for at in range(0, len(texts), TOGETHER):
-            yield from self.score([reader.counts(t) for t in texts[at : at + TOGETHER]])
+            yield from self._voted(index, [reader.counts(t) for t in texts[at : at + TOGETHER]])
+
 
+def _built(uri: str, parts: list[int]):
+    """Builds the index of all examples and stores it."""
 
-def _votes(uri: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LOADED.clear()
+        for batch in batches:
+            with np.load(io.BytesIO(common.get_file(f"{uri}/idf"))) as f:
+                index = Neighbours(f["idf"])
+            index.build([row for part in parts for row in vectors_of(uri, part) if len(row[2])]).save(f"{uri}/index")
+            yield batch
+            del index
+            common.give_back()
+
+    return run
+
+
+def _votes(uri: str, parts: list[int], k: int):
     """Label and vote of each example, by its neighbours of other ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, index = reader_of(uri), index_of(uri)
+        index = index_of(uri)
         for batch in batches:
-            texts, names, votes = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), []
-            for at in range(0, len(texts), TOGETHER):
-                near = index.nearest_of([reader.counts(t) for t in texts[at : at + TOGETHER]], k + 1)
-                votes += [index.vote([x for x in own if index.ids[x[1]] != i][:k]) for own, i in zip(near, names[at : at + TOGETHER], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
+            for part in batch.column("id").to_pylist():
+                rows = vectors_of(uri, parts[part])
+                near = index.nearest_of([r[2:] for r in rows], k + 1)
+                votes = [index.vote([x for x in own if index.ids[x[1]] != r[0]][:k]) for own, r in zip(near, rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
     return run
 
@@ -443,12 +488,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def fit_and_read(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
     """The model, and (key, body): the feature counts of all documents, as they were stored for the document frequencies."""
+    return _fitted(docs, labels, docs.select(F.col(key).alias("key"), common.text_of(text).alias("body")), "body", key, text, rows, k)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, kept: DataFrame, body: str, key: str, text: str, rows: int, k: int) -> tuple[Model, DataFrame]:
+    """The model, and ``kept`` as it was stored with feature counts in place of the texts in its column ``body``."""
     spark = docs.sparkSession
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    slim = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     home = common.shared_dir(spark, "toxicity")
     one = slim.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     chosen = common.stored(one, f"{home}/sample").repartition(min(64, max(1, spark.sparkContext.defaultParallelism)), "doc_id")
@@ -456,19 +506,19 @@ def fit_and_read(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     names = sorted(chosen.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist()) if toxic else []
     common.put_file(f"{home}/names", zlib.compress("\n".join(names).encode(), 1))
-    read = slim.select("key", "text").mapInArrow(_read(home), f"key {slim.schema['key'].dataType.simpleString()}, body binary")
+    read = kept.withColumn(body, _read(home)(F.col(body)))
     if not toxic:
         return Model(None, np.zeros(1), np.zeros(1), k), read
     read = common.stored(read, f"{home}/read")
-    counted = read.select("body").mapInArrow(_frequencies(len(names)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    counted = read.select(F.col(body).alias("body")).mapInArrow(_frequencies(len(names)), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(names) + 1, np.int64)
     df[counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
-    idf = 1 + np.log((df[-1] + 1) / (df[:-1] + 1))
+    common.put_file(f"{home}/idf", _bytes(idf=1 + np.log((df[-1] + 1) / (df[:-1] + 1))))
     del names, counted
-    parts = [r["part"] for r in chosen.mapInArrow(_vectors(home), "part int").collect()]
-    common.put_file(f"{home}/index", _bytes(idf=idf, parts=np.array(sorted(parts), np.int64)))
+    parts = sorted(r["part"] for r in chosen.mapInArrow(_vectors(home), "part int").collect())
+    spark.range(0, 1, 1, 1).mapInArrow(_built(home, parts), "id long").collect()
 
-    votes = chosen.mapInArrow(_votes(home, k), "toxic int, vote double").toArrow()
+    votes = spark.range(0, len(parts), 1, len(parts)).mapInArrow(_votes(home, parts, k), "toxic int, vote double").toArrow()
     at, shares = monotone(np.round(votes.column("vote").to_numpy(), 6), votes.column("toxic").to_numpy())
     return Model(home, at, shares, k), read
 
@@ -484,14 +534,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def score_read(read: DataFrame, model: Model) -> DataFrame:
     """``score`` of the documents that ``fit_and_read`` has read."""
 
-    def scores(bodies: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        if model.uri is None:
-            yield from [(0.0, [])] * len(bodies)
-            return
-        for at in range(0, len(bodies), TOGETHER):
-            yield from model.score([unsqueezed(b) for b in bodies[at : at + TOGETHER]])
-
-    return _scored(read, model, scores)
+    return _scored(read, model, model.score_bodies)
 
 
 def _scored(slim: DataFrame, model: Model, scores_of: Callable[[list], Iterator[tuple[float, list[tuple[float, int]]]]]) -> DataFrame:
@@ -504,7 +547,7 @@ def _scored(slim: DataFrame, model: Model, scores_of: Callable[[list], Iterator[
         for batch in batches:
             scores, evidence = [], []
             for s, near in scores_of(batch.column("body").to_pylist()):
-                index = index_of(model.uri) if near else None
+                index = index_of(model.uri, both=True) if near else None
                 scores.append(s)
                 evidence.append([{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "cosine": c} for c, i in near[:EVIDENCE]])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, schema.field("evidence").type)], schema=schema)
@@ -513,14 +556,30 @@ def _scored(slim: DataFrame, model: Model, scores_of: Callable[[list], Iterator[
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic, in one pass."""
+    """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic by a model that is there, in one pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([s < 0.5 for s, _ in model.score_texts(batch.to_pylist())], pa.bool_())
+
+    return docs.where(F.arrow_udf(clean, "boolean")(common.text_of(text)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, k: int = NEIGHBOURS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text isn't predicted to be toxic by the model that ``labels`` give.
+
+    Texts are read once: feature counts are stored beside all columns, in one more under a free name, and only they go to the tasks that score.
+    """
+    body = "features"
+    while body.lower() in (c.lower() for c in docs.columns):
+        body = f"_{body}"
+    model, read = _fitted(docs, labels, docs.withColumn(body, common.text_of(text)), body, key, text, rows, k)
+
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            clean = [s < 0.5 for s, _ in model.score_texts([t or "" for t in batch.column(text).to_pylist()])]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield pa.array([s < 0.5 for s, _ in model.score_bodies(batch.to_pylist())], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return read.where(F.arrow_udf(clean, "boolean")(F.col(body))).drop(body)
 
 
 def spark_schema(ddl: str):
