@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_cases import HARD
+from pyspark.sql import functions as F
 
 from terravane.llm import batches, context_tree, pseudonyms, toxicity
 
@@ -209,6 +210,31 @@ def test_toxicity_of_hard_rows(spark, docs_of):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_a_stored_index_finds_the_same_neighbours(tmp_path):
+    rng = np.random.default_rng(6)
+    index = toxicity.Neighbours(rng.uniform(0.5, 3, 40))
+    made = [(i * 3, int(i % 4 == 0), np.sort(rng.choice(40, 6, replace=False)), rng.integers(1, 4, 6)) for i in range(200)]
+    asked = [r[2:] for r in made[:50]]
+    for rows in (made, []):
+        index.build(list(rows)).save(f"file://{tmp_path}/{len(rows)}")
+        again = toxicity.Neighbours.load(f"file://{tmp_path}/{len(rows)}")
+        assert again.nearest_of(asked, 15) == index.nearest_of(asked, 15) and again.ids == index.ids and (again.labels == index.labels).all()
+
+
+def test_dropping_toxic_rows_keeps_all_columns_and_clashing_names(spark, docs_of):
+    texts = [f"river stone {'meadow' if i % 2 else 'harbour'} {'vile rotten' if i % 5 == 0 else 'calm'}" for i in range(150)]
+    docs = docs_of([*texts, None, "", texts[0], texts[1], "vile rotten " * 5000], ids=[*range(150), 150, 151, 0, 1, None])
+    docs = docs.select("*", F.lit(1).alias("Features"), F.lit("x").alias("_features"), F.lit("y").alias("body"), F.lit(None).cast("int").alias("key"))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.schema.names == docs.schema.names and kept.dtypes == docs.dtypes
+    assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in docs.collect() if "vile" not in (r["text"] or ""))
+    assert toxicity.drop_toxic(docs.limit(0), labels).collect() == []
+    assert toxicity.drop_toxic(docs, labels.where("toxic = 0")).count() == docs.count()
+    bare = docs_of(["", None, " "] * 9)
+    assert toxicity.drop_toxic(bare, spark.createDataFrame([(i, 1) for i in range(27)], "doc_id long, toxic int")).count() == 0
+
+
 VALUES = {
     "card": "4111 1111 1111 1111", "iban": "GB82 WEST 1234 5698 7654 32", "ssn": "123-45-6789", "phone": "+1 (415) 555-2671", "ip": "192.168.10.7", "date": "2024-02-29", "email": "Jane.Doe@example.org", "secret": "0123456789abcdef0123456789abcdef",
 }
