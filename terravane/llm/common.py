@@ -64,6 +64,12 @@ def reading(uri: str) -> Iterator[pa.NativeFile]:
         yield f
 
 
+def mark_empty(uri_of: Callable[[int], str], parts: int, made: set[int]) -> None:
+    """Writes an empty file for each part that got no rows, so that a file that is missing later is an error."""
+    for part in sorted(set(range(parts)) - made):
+        put_file(uri_of(part), b"")
+
+
 def get_file(uri: str) -> bytes:
     with reading(uri) as f:
         return f.read()

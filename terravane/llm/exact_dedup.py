@@ -69,6 +69,10 @@ def _keys(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     return raw, words[:, 1].copy(), words[:, 2].copy()
 
 
+def _file(uri: str, shard: int) -> str:
+    return f"{uri}/{shard:06d}.mph"
+
+
 def _build(uri: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         raw, h1, h2 = _keys(table.column("digest"))
@@ -76,16 +80,17 @@ def _build(uri: str):
         put = np.argsort(fn.slots(h1, h2))
         cols = {c: table.column(c).fill_null(0).to_numpy()[put] for c in ("n_points", "keep_id", "keep_row", "group_size")}
         cols["null_id"] = table.column("keep_id").is_null().to_numpy()[put]
-        common.put_file(f"{uri}/{key[0].as_py():06d}.mph", perfect_hash.dump(sizes=fn.sizes, words=fn.words, digest=raw[put], **cols))
-        return pa.table({"n": pa.array([len(put)], pa.int64())})
+        common.put_file(_file(uri, key[0].as_py()), perfect_hash.dump(sizes=fn.sizes, words=fn.words, digest=raw[put], **cols))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())})
 
     return run
 
 
 def build_index(entries: DataFrame, uri: str, shard_digests: int = SHARD_DIGESTS) -> DigestIndex:
-    """Writes the index of ``entries`` (distinct digests) under ``uri``."""
+    """Writes the index of ``entries`` (distinct digests) under ``uri``; a shard without digests is an empty file."""
     shards = common.parts(entries.count(), shard_digests)
-    entries.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(_build(uri), "n long").agg(F.sum("n")).collect()
+    made = entries.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(_build(uri), "shard int").collect()
+    common.mark_empty(lambda shard: _file(uri, shard), shards, {r["shard"] for r in made})
     return DigestIndex(uri, shards)
 
 
@@ -104,11 +109,8 @@ def _lookup(index: DigestIndex, carried: pa.Schema):
             null_id = np.zeros(len(raw), bool)
             for s in np.unique(shards).tolist():
                 if s != at:
-                    try:
-                        shard = perfect_hash.load(common.get_file(f"{index.uri}/{s:06d}.mph"))
-                    except FileNotFoundError:
-                        shard = None
-                    at = s
+                    body = common.get_file(_file(index.uri, s))
+                    shard, at = perfect_hash.load(body) if body else None, s
                 if shard is None:
                     continue
                 mine = np.flatnonzero(shards == s)

@@ -91,6 +91,10 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.withColumns({"h1": a, "h2": b}).withColumn("bucket", F.pmod(F.shiftrightunsigned("h2", 7), F.lit(buckets)).cast("int"))
 
 
+def _index_file(out: str, bucket: int) -> str:
+    return f"{out}/index-{bucket:05d}.mph"
+
+
 def _indexer(out: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_numpy() for c in ("h1", "h2", "shard", "offset", "start", "n_tokens")}
@@ -103,29 +107,27 @@ def _indexer(out: str):
         prints, begin, run_len = np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         prints[slot], begin[slot], run_len[slot] = h2[first], first, runs
         blob = perfect_hash.dump(sizes=fn.sizes, words=fn.words, prints=prints, begin=begin, runs=run_len, **{c: col[c][order] for c in ("shard", "offset", "start", "n_tokens")})
-        common.put_file(f"{out}/index-{key[0].as_py():05d}.mph", blob)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([len(first)], pa.int64())})
+        common.put_file(_index_file(out, key[0].as_py()), blob)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())})
 
     return run
 
 
 def build_index(rows: DataFrame, out: str, bucket_keys: int = BUCKET_KEYS) -> int:
-    """Writes the index of the store ``out`` from its log of rows and returns the number of buckets."""
+    """Writes the index of the store ``out`` from its log of rows and returns the number of buckets; one without keys is an empty file."""
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     bases = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     buckets = common.parts(rows.count(), bucket_keys)
     placed = rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("offset"))
-    made = _bucketed(placed, "key", buckets).groupBy("bucket").applyInArrow(_indexer(out), "bucket int, keys long")
-    made.agg(F.sum("keys")).collect()
+    made = _bucketed(placed, "key", buckets).groupBy("bucket").applyInArrow(_indexer(out), "bucket int")
+    common.mark_empty(lambda bucket: _index_file(out, bucket), buckets, {r["bucket"] for r in made.collect()})
     return buckets
 
 
 def _lookup(out: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        try:
-            z = perfect_hash.load(common.get_file(f"{out}/index-{key[0].as_py():05d}.mph"))
-        except FileNotFoundError:
-            z = None
+        body = common.get_file(_index_file(out, key[0].as_py()))
+        z = perfect_hash.load(body) if body else None
         h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         if z is None or not len(z["prints"]):
             which = entry = np.zeros(0, np.int64)
