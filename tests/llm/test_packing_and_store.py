@@ -109,6 +109,16 @@ def test_an_empty_store(spark, docs_of):
     assert token_store.fetch(docs_of(["x"]), "doc_id", out, buckets, PATH).collect() == []
 
 
+def test_a_lost_index_file_is_an_error(spark, docs_of):
+    out = common.shared_dir(spark, "test-store")
+    docs = docs_of(["some", "texts"])
+    buckets = token_store.build_index(token_store.write_store(docs, out, PATH, 1), out)
+    fs, path = common.open_fs(f"{out}/index-00000.mph")
+    fs.delete_file(path)
+    with pytest.raises(Exception, match="index-00000"):
+        token_store.fetch(docs, "doc_id", out, buckets, PATH).collect()
+
+
 def test_op2_and_op3_over_the_table(spark, sf_dir, plain):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     start = 0
