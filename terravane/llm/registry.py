@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bit_search, context_tree, exact_dedup, line_dedup, mixing, near_dedup, packing, pseudonyms, token_store, toxicity
+from terravane.llm import alignment, bit_search, context_tree, exact_dedup, line_dedup, mixing, near_dedup, packing, pseudonyms, quality, ranked_search, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": pseudonyms.op1_pseudonyms,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_bit_search": bit_search.op8_bit_search,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_quality": quality.op13_quality,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
     "op8_bit_search": bit_search.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
 }
