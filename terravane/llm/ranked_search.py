@@ -37,7 +37,9 @@ from terravane.llm import common
 
 BEST = 10
 BLOCK = 64
-SHARD_CHARS = 32 << 20
+SHARD_CHARS = 20 << 20
+#: Blocks compressed at once.
+SOME = 8192
 ITEMS = 2000
 #: Stretches looked at first; each further turn takes twice as many.
 FIRST = 16
@@ -89,26 +91,34 @@ class Shard:
         names = sorted(self.number)
         rank = np.empty(len(names), np.int32)
         rank[np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
-        term, tf = rank[np.concatenate(self.term)], np.concatenate(self.count)
+        self.number.clear()
+        term = rank[np.concatenate(self.term)]
         doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(x) for x in self.term])
+        self.term.clear()
+        df = np.bincount(term, minlength=len(names))
         order = np.argsort(term, kind="stable")
-        term, tf, doc = term[order], tf[order], doc[order]
+        del term
+        doc, tf = doc[order], np.concatenate(self.count)[order]
+        self.count.clear()
+        del order
         m = lengths(np.array(self.size, np.int64), documents, terms)
-        impact = impacts(tf, m[doc])
-        df = np.bincount(term, minlength=len(names))
         blocks = -(-df // BLOCK)
         within = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = np.repeat(np.cumsum(df) - df, blocks) + within * BLOCK
         length = np.minimum(BLOCK, np.repeat(np.cumsum(df), blocks) - start)
         last = doc[start + length - 1]
-        before = np.where(within > 0, np.roll(last, 1), -1)
-        gap = np.diff(doc, prepend=0)
-        gap[start] = doc[start] - before
+        gap = np.diff(doc, prepend=np.int32(0))
+        gap[start] = doc[start] - np.where(within > 0, np.roll(last, 1), -1)
+        most = np.empty(len(start), np.uint32)
+        for at in range(0, len(start), SOME):
+            first, end = start[at], start[min(at + SOME, len(start)) - 1] + length[min(at + SOME, len(start)) - 1]
+            most[at : at + SOME] = np.maximum.reduceat(impacts(tf[first:end], m[doc[first:end]]), start[at : at + SOME] - first)
+        del doc
         out = io.BytesIO()
         wide = [np.digitize(np.maximum.reduceat(x, start), [1 << 8, 1 << 16]).astype(np.uint8) for x in (gap, tf)]
         arrays = {"ids": np.array(self.ids, np.int64), "m": m, "names": np.frombuffer(b" ".join(names), np.uint8), "df": df.astype(np.int32)}
-        arrays |= {"last": last, "most": np.maximum.reduceat(impact, start).astype(np.uint32), "wide": wide[0] | wide[1] << 2, "lists": _written(gap, tf, length, *wide)}
-        np.savez(out, **arrays)
+        del names, rank
+        np.savez(out, **arrays, last=last, most=most, wide=wide[0] | wide[1] << 2, lists=_written(gap, tf, start, length, *wide))
         return out.getvalue()
 
 
@@ -129,16 +139,19 @@ def _places(length: np.ndarray, wide: list[np.ndarray]) -> tuple[np.ndarray, np.
     return at, at + gaps, int((gaps + counts).sum())
 
 
-def _written(gap: np.ndarray, tf: np.ndarray, length: np.ndarray, *wide: np.ndarray) -> np.ndarray:
-    *at, total = _places(length, list(wide))
+def _written(gap: np.ndarray, tf: np.ndarray, start: np.ndarray, length: np.ndarray, *wide: np.ndarray) -> np.ndarray:
+    *places, total = _places(length, list(wide))
     out = np.zeros(total, np.uint8)
-    within = np.arange(len(gap)) - np.repeat(np.cumsum(length) - length, length)
-    for values, start, code in zip((gap, tf), at, wide, strict=True):
-        bytes_each = np.repeat(1 << code.astype(np.int64), length)
-        place = np.repeat(start, length) + within * bytes_each
-        for k in range(4):
-            some = bytes_each > k
-            out[place[some] + k] = values[some] >> 8 * k & 255
+    for at in range(0, len(start), SOME):
+        some = slice(at, at + SOME)
+        n, first = length[some], start[at]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for values, begin, code in zip((gap, tf), places, wide, strict=True):
+            own, each = values[first : first + len(within)], np.repeat(1 << code[some].astype(np.int64), n)
+            place = np.repeat(begin[some], n) + within * each
+            for k in range(4):
+                far = each > k
+                out[place[far] + k] = own[far] >> 8 * k & 255
     return out
 
 
@@ -243,11 +256,11 @@ class Lists:
 
 def _gathered(documents: int, terms: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("search")
         number, shard, size = TaskContext.get().partitionId() << 32, Shard(), 0
 
         def out() -> pa.RecordBatch:
             body = shard.packed(documents, terms)
-            common.give_back()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(shard.ids)], pa.int64()), pa.array([body], pa.binary())], ["shard", "documents", "body"])
 
         for batch in batches:
@@ -258,8 +271,11 @@ def _gathered(documents: int, terms: int, most: int):
                 if size >= most and shard.ids:
                     yield out()
                     number, shard, size = number + 1, Shard(), 0
+                    common.give_back()
         if shard.ids:
             yield out()
+        del shard
+        common.give_back()
 
     return run
 
@@ -289,6 +305,7 @@ def _document_counts(uri: str, parts: int):
         for batch in batches:
             for body in batch.column("body"):
                 lists = Lists(body.as_py())
+                common.give_back()
                 for part in range(parts):
                     terms = set(_read(f"{uri}/block={part}").column("term").to_pylist())
                     found = [(t, int(lists.df[at])) for t in terms if (at := lists.find(t)) is not None]
@@ -299,6 +316,7 @@ def _document_counts(uri: str, parts: int):
 
 def _searched(uri: str, parts: int, k: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("search")
         best: dict = defaultdict(list)
         kept: dict[int, dict] = {}
 

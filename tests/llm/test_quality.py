@@ -72,8 +72,8 @@ def test_hard_rows_and_labels(spark, docs_of):
     model = quality.fit(docs, labels)
     got = {r["key"]: r for r in quality.score(docs.withColumn("score", docs.text).withColumn("key", docs.text), model).collect()}
     assert len(got) == len(texts) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
-    assert got[0]["score"] == got[1]["score"] and got[5]["score"] == got[6]["score"]
-    assert np.allclose([got[i]["score"] for i in range(len(texts))], model.scores([(t or "").encode() for t in texts]), atol=1e-6)
+    assert abs(got[0]["score"] - got[1]["score"]) < 2e-6 and abs(got[5]["score"] - got[6]["score"]) < 2e-6
+    assert np.allclose([got[i]["score"] for i in range(len(texts))], model.scores([(t or "").encode() for t in texts]), atol=2e-6)
     assert quality.score(docs.limit(0), model).count() == 0
 
 
