@@ -1,9 +1,12 @@
-"""Gradient-boosted oblivious trees on a pairwise loss.
+"""Gradient-boosted oblivious trees on a pairwise loss, for any number of models in one run.
 
-A tree is grown on a quadratic form: v and M are the gradient and the Laplacian of the weighted pairs. They are sums over pairs,
-so each step is an aggregation: for every candidate split of a feature, Spark sums v by leaf and M by pair of leaves, and
-the driver solves systems of at most 32 by 32. What reaches the driver is one row for each candidate and pair of leaves:
-features x levels x 4**depth numbers, whatever the size of the data.
+A tree is grown on a quadratic form: v and M are the gradient and the Laplacian of the weighted pairs. Every feature is put into bins once,
+so a level is one aggregation for all models, features and thresholds: sums of g and h by (model, leaves, feature, bins of both documents).
+Its size follows from models, features, levels and depth, not from the number of pairs. Two-dimensional prefix sums over the bins give v and M of every
+threshold; that is done for each model and feature in a task of its own, and the driver gets one row from each.
+
+Pairs hold the bins and the difference of the scores of their two documents, so no round joins documents again. After every ``STORE_EVERY`` trees the
+differences are stored; the trees since then are a small table that is applied on the fly, so plans don't grow with the rounds.
 
 M is singular (its rows sum to zero), so the leaf values are the least-norm solution of M c = v. Ties between candidates go to
 the smaller feature, then the smaller threshold.
@@ -11,15 +14,20 @@ the smaller feature, then the smaller threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terravane.functions import draws
 from terravane.functions.trees import Ensemble, ObliviousTree
-from terravane.operators import ranking
+from terravane.operators import models, ranking
+from terravane.sources import shared
+
+STORE_EVERY = 8
 
 
 @dataclass(frozen=True)
@@ -70,8 +78,7 @@ class _Groups:
     parts' totals, which the driver holds.
     """
 
-    def __init__(self, rows: DataFrame):
-        flat = rows.select(F.posexplode("features").alias("feature", "v")).select("feature", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))
+    def __init__(self, flat: DataFrame):
         counts = flat.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
         dealt = counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()).persist()
         totals = dealt.groupBy("feature", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).orderBy("feature", "part").collect()
@@ -82,7 +89,7 @@ class _Groups:
             before.append((r["feature"], r["part"], self.rows.get(r["feature"], 0)))
             self.rows[r["feature"]] = self.rows.get(r["feature"], 0) + r["n"]
             self.values[r["feature"]] = self.values.get(r["feature"], 0) + r["values"]
-        offsets = rows.sparkSession.createDataFrame(before, "feature int, part int, before long")
+        offsets = flat.sparkSession.createDataFrame(before, "feature int, part int, before long")
         own = Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         summed = dealt.withColumn("upto", F.sum("n").over(own)).join(F.broadcast(offsets), ["feature", "part"])
         self.table = summed.select("feature", "v", (F.col("before") + F.col("upto") - F.col("n")).alias("first"), "n").persist()
@@ -101,12 +108,20 @@ class _Groups:
         self.dealt.unpersist()
 
 
+def _flat(rows: DataFrame, first: Column | None = None) -> DataFrame:
+    """(feature, v) of all rows; ``first`` is the number of a row's first feature."""
+    own = rows.select((F.lit(0) if first is None else first).alias("first"), F.posexplode("features").alias("feature", "v"))
+    return own.select((F.col("first") + F.col("feature")).cast("int").alias("feature"), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))
+
+
 def split_candidates(rows: DataFrame, n_features: int, levels: int) -> list[list[float]]:
-    """Thresholds of each feature: its ``median_borders`` at every size, from counts of equal values.
+    """Thresholds of each feature: its ``median_borders`` at every size, from counts of equal values."""
+    return _borders(_flat(rows), n_features, levels)
 
-    One job looks up the middles of all parts that the last cuts of all features have made.
-    """
-    groups = _Groups(rows)
+
+def _borders(flat: DataFrame, n_features: int, levels: int) -> list[list[float]]:
+    """One job looks up the middles of all parts that the last cuts of all features have made."""
+    groups = _Groups(flat)
     few = [f for f, n in groups.values.items() if n < levels]
     out: list[list[float]] = [[] for _ in range(n_features)]
     if few:
@@ -135,10 +150,87 @@ def split_candidates(rows: DataFrame, n_features: int, levels: int) -> list[list
     return out
 
 
-@dataclass
-class Growth:
-    features: list[int] = field(default_factory=list)
-    thresholds: list[float] = field(default_factory=list)
+def solved(m: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
+    c = np.linalg.pinv(m, rcond=1e-9, hermitian=True) @ v
+    return c, float(c @ m @ c - 2 * v @ c)
+
+
+def in_bins(features: Column, borders: Column) -> Column:
+    """For each feature the number of its thresholds that lie below it; a feature that is null or missing is above none."""
+    return F.zip_with(features, borders, lambda x, ts: F.size(F.filter(ts, lambda t: F.coalesce(x > t, F.lit(False)))))
+
+
+def _leaf(bins: Column, splits: Column, ranks: Column) -> Column:
+    """The leaf of binned features: bit p says whether the bin lies above the rank of split p's threshold."""
+    bits = F.transform(splits, lambda f, p: F.when(F.get(bins, f) > F.get(ranks, p), F.pow(F.lit(2.0), p).cast("int")).otherwise(F.lit(0)))
+    return F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+
+
+_TREE = "struct<splits: array<int>, ranks: array<int>, leaves: array<double>>"
+
+
+def _difference(rows: DataFrame, step: float) -> Column:
+    """The difference of scores of a pair: what is stored and what the trees since then add."""
+    value = lambda bins, t: F.element_at(t["leaves"], _leaf(bins, t["splits"], t["ranks"]) + 1)
+    added = F.aggregate("trees", F.lit(0.0), lambda a, t: a + value(F.col("bins_i"), t) - value(F.col("bins_j"), t))
+    return F.col("d") + F.lit(step) * added
+
+
+def histogram(rows: DataFrame, model: str = "model") -> DataFrame:
+    """(model, feature, leaf_i, leaf_j, bin_i, bin_j, g, h): sums over pairs, whose bins_i and bins_j are arrays over features."""
+    each = rows.select(model, "leaf_i", "leaf_j", "g", "h", F.posexplode(F.arrays_zip(F.col("bins_i").alias("i"), F.col("bins_j").alias("j"))).alias("feature", "b"))
+    return each.groupBy(model, "feature", "leaf_i", "leaf_j", F.col("b.i").alias("bin_i"), F.col("b.j").alias("bin_j")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
+def split_sums(cells: pd.DataFrame, level: int, thresholds: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """v and M by leaf for each threshold of one feature, from the cells of its histogram."""
+    n, bins = 1 << level, thresholds + 1
+    sums = np.zeros((2, n, n, bins, bins))
+    at = tuple(cells[c].to_numpy() for c in ("leaf_i", "leaf_j", "bin_i", "bin_j"))
+    np.add.at(sums[0], at, cells["g"].to_numpy())
+    np.add.at(sums[1], at, cells["h"].to_numpy())
+    upto = sums.cumsum(3).cumsum(4)
+    for k in range(thresholds):
+        low, left, down, all_ = upto[..., k, k], upto[..., k, -1], upto[..., -1, k], upto[..., -1, -1]
+        g, h = np.concatenate([np.concatenate([low, left - low], axis=2), np.concatenate([down - low, all_ - left - down + low], axis=2)], axis=1)
+        yield g.sum(axis=0) - g.sum(axis=1), np.diag(h.sum(axis=0) + h.sum(axis=1)) - h - h.T
+
+
+def best_splits(cells: DataFrame, level: int, thresholds: dict[int, list[int]], model: str = "model", every: bool = False) -> DataFrame:
+    """(model, feature, rank, score, leaves): the best threshold of each feature of each model, or every one. ``thresholds`` has their numbers."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = [(round(s, 12), k, c) for k, (v, m) in enumerate(split_sums(part, level, thresholds[int(key[0])][int(key[1])])) for c, s in [solved(m, v)]]
+        found = found if every or not found else [min(found, key=lambda x: x[:2])]
+        return pd.DataFrame({model: [key[0]] * len(found), "feature": [key[1]] * len(found), "rank": [f[1] for f in found], "score": [f[0] for f in found], "leaves": [f[2] for f in found]})
+
+    return cells.groupBy(model, "feature").applyInPandas(run, f"{model} int, feature int, rank int, score double, leaves array<double>")
+
+
+def _with_table(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
+    """``rows`` with the columns of a table that has one row for each model."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "model")
+
+
+def grow_trees(rows: DataFrame, borders: dict[int, list[list[float]]], depth: int) -> dict[int, tuple[list[int], list[int], np.ndarray]]:
+    """One tree for each model: splits, ranks of their thresholds and leaves. ``rows``: model, bins_i, bins_j, g, h."""
+    grown: dict[int, tuple[list[int], list[int], np.ndarray]] = {m: ([], [], np.zeros(1)) for m in borders}
+    numbers = {m: [len(ts) for ts in own] for m, own in borders.items()}
+    for level in range(depth):
+        now = _with_table(rows, [(m, g[0], g[1]) for m, g in grown.items() if len(g[0]) == level], "model int, splits array<int>, ranks array<int>")
+        now = now.withColumns({"leaf_i": _leaf(F.col("bins_i"), F.col("splits"), F.col("ranks")), "leaf_j": _leaf(F.col("bins_j"), F.col("splits"), F.col("ranks"))})
+        free = {m: [f for f, n in enumerate(own) if n and f not in grown[m][0]] for m, own in numbers.items()}
+        cells = _with_table(histogram(now), [(m, fs) for m, fs in free.items()], "model int, free array<int>").where(F.array_contains("free", F.col("feature"))).drop("free")
+        best: dict[int, tuple] = {}
+        for r in best_splits(cells, level, numbers).collect():
+            found = (r["score"], r["feature"], r["rank"], np.array(r["leaves"]))
+            if r["model"] not in best or found[:3] < best[r["model"]][:3]:
+                best[r["model"]] = found
+        if not best:
+            break
+        for m, (_, f, k, leaves) in best.items():
+            grown[m] = ([*grown[m][0], f], [*grown[m][1], k], leaves)
+    return grown
 
 
 def gradients(scored: DataFrame, pairs: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -149,88 +241,78 @@ def gradients(scored: DataFrame, pairs: DataFrame, query: str = "query_id", doc:
     return both.select(query, "i", "j", (F.col("w") / (F.exp(F.col("score_i") - F.col("score_j")) + 1)).alias("g"), F.col("w").alias("h"))
 
 
-def solved(m: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
-    c = np.linalg.pinv(m, rcond=1e-9, hermitian=True) @ v
-    return c, float(c @ m @ c - 2 * v @ c)
+def grow_tree(docs: DataFrame, grads: DataFrame, borders: list[list[float]], depth: int, query: str = "query_id", doc: str = "doc_id") -> ObliviousTree:
+    """One tree for given gradients of pairs: at each level the unused feature and threshold of the least score."""
+    one = {0: borders}
+    joined = _pairs_in_bins(docs.withColumn("model", F.lit(0)), grads.withColumns({"model": F.lit(0), "w": F.col("h")}), one, query, doc, ("g",))
+    splits, ranks, leaves = grow_trees(joined.select("model", "bins_i", "bins_j", "g", F.col("w").alias("h")), one, depth)[0]
+    return ObliviousTree(tuple(splits), tuple(borders[f][k] for f, k in zip(splits, ranks, strict=True)), tuple(float(c) for c in leaves))
 
 
-def _leaf_sums(rows: DataFrame, candidates: list[tuple[int, float]], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """v and M by leaf, for each candidate split on top of the leaves so far.
+def _pairs_in_bins(docs: DataFrame, pairs: DataFrame, borders: dict[int, list[list[float]]], query: str, doc: str, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(model, query, i, j, w, bins_i, bins_j, d) of pairs whose documents are there."""
+    x = _with_table(docs, list(borders.items()), "model int, borders array<array<double>>").select("model", query, doc, in_bins(F.col("features"), F.col("borders")).alias("bins"))
+    a = x.select("model", query, F.col(doc).alias("i"), F.col("bins").alias("bins_i"))
+    b = x.select("model", query, F.col(doc).alias("j"), F.col("bins").alias("bins_j"))
+    both = pairs.select("model", query, "i", "j", F.col("w").cast("double").alias("w"), *rest).join(a, ["model", query, "i"]).join(b, ["model", query, "j"])
+    return both.withColumn("d", F.lit(0.0))
 
-    ``rows`` has leaf_i, leaf_j, x_i, x_j (arrays of features), g and h of each pair.
-    """
-    n = 1 << (depth + 1)
-    bit = 1 << depth
-    options = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), F.lit(float(t)).alias("t")) for k, (f, t) in enumerate(candidates)])
-    each = rows.withColumn("c", F.explode(options))
-    li = F.col("leaf_i") + F.when(F.col("x_i")[F.col("c.f")] > F.col("c.t"), bit).otherwise(0)
-    lj = F.col("leaf_j") + F.when(F.col("x_j")[F.col("c.f")] > F.col("c.t"), bit).otherwise(0)
-    sums = each.groupBy(F.col("c.k").alias("k"), li.alias("a"), lj.alias("b")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-    for k, part in sums.groupby("k"):
-        v, m = np.zeros(n), np.zeros((n, n))
-        a, b, g, h = (part[c].to_numpy() for c in ("a", "b", "g", "h"))
-        np.add.at(v, a, -g)
-        np.add.at(v, b, g)
-        for x, y, s in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1)):
-            np.add.at(m, (x, y), s * h)
-        yield int(k), v, m
 
+def first_round(docs: DataFrame, pairs: DataFrame, borders: dict[int, list[list[float]]], query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(model, bins_i, bins_j, g, h, leaf_i, leaf_j) of all pairs before any tree."""
+    rows = _pairs_in_bins(docs, pairs, borders, query, doc)
+    return rows.select("model", "bins_i", "bins_j", (F.col("w") / (F.exp("d") + 1)).alias("g"), F.col("w").alias("h"), F.lit(0).alias("leaf_i"), F.lit(0).alias("leaf_j"))
 
-def grow_tree(docs: DataFrame, grads: DataFrame, borders: list[list[float]], depth: int, query: str = "query_id", doc: str = "doc_id") -> ObliviousTree:
-    """One tree: at each level the unused feature and threshold of the least score."""
-    x = docs.select(query, doc, "features")
-    a = x.select(query, F.col(doc).alias("i"), F.col("features").alias("x_i"))
-    b = x.select(query, F.col(doc).alias("j"), F.col("features").alias("x_j"))
-    rows = grads.join(a, [query, "i"]).join(b, [query, "j"]).select("x_i", "x_j", "g", "h", F.lit(0).alias("leaf_i"), F.lit(0).alias("leaf_j")).cache()
-    own, leaves = Growth(), np.zeros(1)
-    for level in range(depth):
-        candidates = [(f, t) for f, ts in enumerate(borders) if f not in own.features for t in ts]
-        if not candidates:
-            break
-        best = None
-        for k, v, m in _leaf_sums(rows, candidates, level):
-            c, s = solved(m, v)
-            if best is None or (s, candidates[k]) < best[:2]:
-                best = (s, candidates[k], c)
-        if best is None:
-            break
-        (f, t), leaves = best[1], best[2]
-        own.features.append(f)
-        own.thresholds.append(t)
-        bit = 1 << level
-        rows = rows.withColumns({"leaf_i": F.col("leaf_i") + F.when(F.col("x_i")[f] > t, bit).otherwise(0), "leaf_j": F.col("leaf_j") + F.when(F.col("x_j")[f] > t, bit).otherwise(0)})
-    return ObliviousTree(tuple(own.features), tuple(own.thresholds), tuple(float(c) for c in leaves))
 
+def model_borders(docs: DataFrame, levels: int) -> dict[int, list[list[float]]]:
+    """Thresholds of every feature of every model, from the documents of that model; one run for all."""
+    sizes = docs.groupBy("model").agg(F.max(F.size("features")).alias("n")).orderBy("model").collect()
+    n = max((r["n"] or 0 for r in sizes), default=0)
+    if n <= 0:
+        return {r["model"]: [] for r in sizes}
+    place = F.array_position(F.array(*[F.lit(r["model"]) for r in sizes]), F.col("model")) - 1
+    found = _borders(_flat(docs, place * n), n * len(sizes), levels)
+    return {r["model"]: found[k * n : (k + 1) * n] for k, r in enumerate(sizes)}
 
-def fit(docs: DataFrame, settings: Settings, pairs: DataFrame | None = None, query: str = "query_id", doc: str = "doc_id") -> Ensemble:
-    """Boosts trees over ``docs`` (query, doc, features, target); ``pairs`` (query, i, j, w) replaces the weights of the settings.
 
-    Each round adds step times its tree to the scores. Scores follow from the trees so far, so no round depends on stored
-    state of the one before.
+def fit_models(docs: DataFrame, settings: Settings, pairs: DataFrame | None = None, query: str = "query_id", doc: str = "doc_id") -> dict[int, Ensemble]:
+    """Boosts the trees of all models at once over ``docs`` (model int, query, doc, features, target).
+
+    ``pairs`` (model, query, i, j, w) replaces the weights of the settings. Each round adds step times its tree to a model's scores. Every
+    model gets the trees that it would get alone.
     """
-    docs = docs.select(query, doc, "features", "target").cache()
-    n_features = docs.select(F.max(F.size("features"))).first()[0] or 0
-    borders = split_candidates(docs, n_features, settings.levels)
-    weighted = (ranking.pair_weights(docs, settings.weights, query, doc) if pairs is None else pairs).cache()
-    trees: list[ObliviousTree] = []
-    for i in range(settings.iterations):
-        scored = docs.withColumn("score", Ensemble(tuple(trees), settings.step).score(F.col("features")))
-        now = weighted
+    spark, home = docs.sparkSession, shared.work_dir(docs.sparkSession, "boosting")
+    docs = shared.stored(docs.select(F.col("model").cast("int").alias("model"), query, doc, "features", "target"), f"{home}/docs")
+    borders = model_borders(docs, settings.levels)
+    if not borders:
+        return {}
+    if pairs is None:
+        own = docs.withColumn("_list", F.struct("model", query))
+        pairs = ranking.pair_weights(own, settings.weights, "_list", doc).select("_list.*", "i", "j", "w")
+    rows = shared.stored(_pairs_in_bins(docs, pairs, borders, query, doc), f"{home}/pairs-0")
+    trees: dict[int, list[ObliviousTree]] = {m: [] for m in borders}
+    since: dict[int, list[tuple]] = {m: [] for m in borders}
+    for turn in range(settings.iterations):
+        now = _with_table(rows, list(since.items()), f"model int, trees array<{_TREE}>").withColumn("d", _difference(rows, settings.step)).drop("trees")
+        if turn and turn % STORE_EVERY == 0:
+            rows = now = shared.stored(now, f"{home}/pairs-{turn}")
+            shared.delete(spark, f"{home}/pairs-{turn - STORE_EVERY}")
+            since = {m: [] for m in borders}
         if settings.bootstrap:
-            now = weighted.withColumn("w", F.col("w") * _poisson(settings.seed, i, query)).where(F.col("w") > 0)
-        trees.append(grow_tree(docs, gradients(scored, now, query, doc), borders, settings.depth, query, doc))
-    return Ensemble(tuple(trees), settings.step)
-
-
-def _poisson(seed: int, turn: int, query: str):
-    """A Poisson(1) number for each first document of a pair, from a hash, so that a retried task draws the same."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.col(query), F.col("i")), F.lit(1 << 30)) / float(1 << 30)
-    out, p, upto = F.lit(0), np.exp(-1.0), 0.0
-    for k in range(12):
-        upto += p
-        p /= k + 1
-        out = out + F.when(u >= upto, 1).otherwise(0)
-    return out
+            now = now.withColumn("w", F.col("w") * draws.poisson(draws.uniform(settings.seed, turn, query, "i"))).where(F.col("w") > 0)
+        now = now.select("model", "bins_i", "bins_j", (F.col("w") / (F.exp("d") + 1)).alias("g"), F.col("w").alias("h"))
+        for m, (splits, ranks, leaves) in grow_trees(now, borders, settings.depth).items():
+            values = [float(c) for c in leaves]
+            trees[m].append(ObliviousTree(tuple(splits), tuple(borders[m][f][k] for f, k in zip(splits, ranks, strict=True)), tuple(values)))
+            since[m].append((splits, ranks, values))
+    shared.delete(spark, home)
+    return {m: Ensemble(tuple(own), settings.step) for m, own in trees.items()}
+
+
+def fit(docs: DataFrame, settings: Settings, pairs: DataFrame | None = None, query: str = "query_id", doc: str = "doc_id") -> Ensemble:
+    """One model over ``docs`` (query, doc, features, target); an empty table gives trees without splits."""
+    found = fit_models(docs.withColumn("model", F.lit(0)), settings, pairs and pairs.withColumn("model", F.lit(0)), query, doc)
+    return found.get(0, Ensemble((ObliviousTree((), (), (0.0,)),) * settings.iterations, settings.step))
 
 
 def staged_ndcg(docs: DataFrame, model: Ensemble, k: int = 10, query: str = "query_id", doc: str = "doc_id", raw_first: bool = False) -> DataFrame:
@@ -244,32 +326,36 @@ def staged_ndcg(docs: DataFrame, model: Ensemble, k: int = 10, query: str = "que
 
 def folds(docs: DataFrame, rounds: int, test_share: float, seed: int, doc: str = "doc_id") -> DataFrame:
     """``docs`` once for each round, with is_test: a seeded random share of the documents, drawn anew each time."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(doc)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("is_test", draw < test_share)
+    each = docs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    return each.withColumn("is_test", draws.uniform(seed, F.col("round"), doc) < test_share)
 
 
-def sampled_queries(docs: DataFrame, queries: int, size: int, seed: int, doc: str = "doc_id") -> DataFrame:
-    """``queries`` lists of ``size`` documents drawn without repeats within a list; a document can be in many lists.
+def sampled_queries(docs: DataFrame, queries: int, size: int, seed: int | Column, doc: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """``queries`` lists of ``size`` documents drawn without repeats within a list, for each value of ``by``; a document can be in many lists.
 
     Draws are ranked within each list; lists are meant to be made of few documents, such as the areas of a city.
     """
     each = docs.withColumn("query_id", F.explode(F.sequence(F.lit(1), F.lit(queries))))
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), F.col("query_id"), F.col(doc)), doc)
+    order = Window.partitionBy(*by, "query_id").orderBy(draws.uniform(seed, F.col("query_id"), doc), doc)
     return each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).drop("_r")
 
 
 def cross_validate(spark: SparkSession, docs: DataFrame, settings: Settings, rounds: int = 20, test_share: float = 40 / 141, train_queries: int | None = None, test_queries: int = 50, size: int = 20, k: int = 10, doc: str = "doc_id") -> DataFrame:
-    """(round, iteration, ndcg) on the held-out documents of each round.
+    """(round, iteration, ndcg) on the held-out documents of each round; the models of all rounds are grown in one run.
 
     Without ``train_queries`` a round's training documents are one list; otherwise lists are sampled from them.
     """
-    dealt = folds(docs, rounds, test_share, settings.seed, doc).cache()
-    out = None
-    for r in range(1, rounds + 1):
-        own = dealt.where(F.col("round") == r)
-        train = own.where(~F.col("is_test"))
-        train = train.withColumn("query_id", F.lit(1)) if train_queries is None else sampled_queries(train, train_queries, size, settings.seed + r, doc)
-        model = fit(train, settings, doc=doc)
-        tested = staged_ndcg(sampled_queries(own.where("is_test"), test_queries, size, settings.seed - r, doc), model, k, doc=doc).select(F.lit(r).alias("round"), "iteration", "ndcg")
-        out = tested if out is None else out.unionByName(tested)
-    return out
+    dealt = folds(docs, rounds, test_share, settings.seed, doc)
+    train = dealt.where(~F.col("is_test"))
+    train = train.withColumn("query_id", F.lit(1)) if train_queries is None else sampled_queries(train, train_queries, size, F.lit(settings.seed) + F.col("round"), doc, ("round",))
+    fitted = fit_models(train.withColumnRenamed("round", "model"), settings, doc=doc)
+    test = sampled_queries(dealt.where("is_test"), test_queries, size, F.lit(settings.seed) - F.col("round"), doc, ("round",))
+    return tested(test, fitted, k, "round", doc=doc)
+
+
+def tested(docs: DataFrame, fitted: dict[int, Ensemble], k: int = 10, model: str = "model", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(model, iteration, ndcg): each model on its own ``docs``, after each of its trees."""
+    staged = models.staged(docs, models.as_rows(docs.sparkSession, fitted, model), on=model)
+    each = staged.select(model, query, doc, "target", F.posexplode("staged").alias("iteration", "prediction"))
+    found = ranking.ndcg(each.withColumn("q", F.struct(model, query, "iteration")), k, "q", "target", "prediction", (doc,))
+    return found.groupBy(F.col(f"q.{model}").alias(model), (F.col("q.iteration") + 1).alias("iteration")).agg(F.avg("ndcg").alias("ndcg"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions import draws
+
 
 def dense_ranks(rows: DataFrame, query: str = "query_id", target: str = "target") -> DataFrame:
     """``rows`` with rank: equal targets share one, the lowest target has 1."""
@@ -21,7 +23,7 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
     The draw is the order; ``orderBy('draw', key)`` sorts by ranges when the order itself is wanted.
     """
-    return rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col(key)))
+    return rows.withColumn("draw", draws.uniform(seed, key))
 
 
 def _gain(rank: Column, n: Column) -> Column:

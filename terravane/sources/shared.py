@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -25,3 +28,16 @@ def shared_base(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the shared one."""
     return f"{shared_base(spark)}/terravane/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, uri: str) -> DataFrame:
+    """Writes a table into a shared folder and reads it back: cuts lineage and survives lost executors."""
+    df.write.mode("overwrite").parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Removes a work folder; where this process can't reach its store it stays."""
+    with contextlib.suppress(pa.ArrowInvalid, OSError):
+        fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        fs.delete_dir(path)

@@ -140,3 +140,13 @@ def prediction_lines(staged: DataFrame, query: str = "query_id", doc: str = "doc
     """(query, iteration, value): for each query and iteration the scores of its documents in order, with spaces between."""
     each = staged.select(query, doc, F.posexplode(scores).alias("iteration", "s"))
     return each.groupBy(query, "iteration").agg(trees.joined_numbers(F.transform(F.array_sort(F.collect_list(F.struct(doc, "s"))), lambda x: x["s"])).alias("value"))
+
+
+def write_predictions(staged: DataFrame, path: str, query: str = "query_id", doc: str = "doc_id", scores: str = "staged") -> None:
+    """Lines in order: the numbers of queries and iterations, then for each query and iteration the scores of its documents.
+
+    Queries are dealt by ranges, so the files in order of their names are one whole; only the head line comes from two small counts.
+    """
+    lines = prediction_lines(staged, query, doc, scores)
+    head = staged.agg(F.count_distinct(query).alias("q"), F.coalesce(F.max(F.size(scores)), F.lit(0)).alias("n")).select(F.lit(None).cast(lines.schema[query].dataType).alias(query), F.lit(-1).alias("iteration"), F.concat_ws(" ", "q", "n").alias("value"))
+    write_lines(head.unionByName(lines).orderBy(F.asc_nulls_first(query), "iteration").select("value"), path)

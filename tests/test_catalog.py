@@ -3,7 +3,7 @@ from __future__ import annotations
 import oracle
 import pytest
 
-from terravane.plans import catalog, files  # noqa: F401
+from terravane.plans import catalog, files, learning  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
