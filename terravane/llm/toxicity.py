@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples (operator 10).
 
-Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, chosen by a hash of the id (a bounded sample, so what is
+Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, those with the smallest hashes of their ids (a bounded sample, so what is
 fitted can be held by every task; the driver holds the features' names and frequencies only). All of them are examples; each
-also calibrates, with its neighbours among the others. Features are words and word beginnings of 4 and 6 letters: all that
+also calibrates, with its neighbours among the others. A document's own text is never among its neighbours, neither when it calibrates nor when it is
+scored: examples whose text has the same digest are left out, so a row's own label is no input of its score. Features are words and word beginnings of 4 and 6 letters: all that
 any example has, whatever its label and however rare. Texts are read once: the feature counts of all documents are stored, their
 document frequencies come from there, and so do the vectors to be scored. One task builds the index of the sample; the others load its
 arrays as they stand.
@@ -13,7 +14,8 @@ largest weights bounds every cosine in a block. For a batch of documents the blo
 first; then only those blocks whose bound reaches the k-th best cosine found so far. Weights of examples are stored in single
 precision; cosines that can be among the k largest are added up in double precision, so the neighbours are exact. They vote with their
 cosines as weights; a monotone function, fitted on the examples' own votes, turns the vote into the share of toxic rows.
-The nearest ones are returned as evidence. The vocabulary is that of the examples: features that none of them has are in no
+The number of neighbours is ``NEIGHBOURS``, or where there are few toxic examples a quarter of their number, and 3 at least: more
+neighbours than that would always be outvoted by clean ones. The nearest ones are returned as evidence. The vocabulary is that of the examples: features that none of them has are in no
 cosine and not in a document's length.
 
 Defined cases: null and empty texts have no features, no neighbours and the share of toxic rows among such texts; texts are
@@ -25,6 +27,7 @@ label of 1 every score is 0; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import io
+import hashlib
 import re
 import zlib
 from array import array
@@ -56,6 +59,16 @@ BEGINNINGS = (4, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def neighbours(toxic: int, most: int = NEIGHBOURS) -> int:
+    """How many examples vote where so many of them are toxic."""
+    return max(3, min(most, toxic // 4))
+
+
+def digest(text: str) -> int:
+    """What tells texts apart, in 64 bits."""
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
@@ -161,6 +174,15 @@ def unsqueezed(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
+def packed(text: str, features: np.ndarray, counts: np.ndarray) -> bytes:
+    """The digest of a text and its feature counts."""
+    return digest(text).to_bytes(8, "little", signed=True) + squeezed(features, counts)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    return *unsqueezed(body[8:]), int.from_bytes(body[:8], "little", signed=True)
+
+
 def _read(uri: str) -> Callable[[Column], Column]:
     """The feature counts of each text."""
 
@@ -168,7 +190,7 @@ def _read(uri: str) -> Callable[[Column], Column]:
         for batch in batches:
             reader, out = reader_of(uri), []
             for at in range(0, len(batch), TOGETHER):
-                out += [squeezed(*reader.counts(t)) for t in batch.slice(at, TOGETHER).to_pylist()]
+                out += [packed(t, *reader.counts(t)) for t in batch.slice(at, TOGETHER).to_pylist()]
             yield pa.array(out, pa.binary())
 
     return F.arrow_udf(run, "binary")
@@ -179,7 +201,7 @@ def _frequencies(size: int):
         df = np.zeros(size + 1, np.int64)
         for batch in batches:
             for body in batch.column("body"):
-                df[unsqueezed(body.as_py())[0]] += 1
+                df[unpacked(body.as_py())[0]] += 1
             df[-1] += batch.num_rows
         some = np.flatnonzero(df)
         for k in range(0, len(some), 50_000):
@@ -197,9 +219,9 @@ def _vectors(uri: str):
         for batch in batches:
             for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 f, n = reader.counts(text)
-                made.append((i, y, f.astype(np.int32), n.astype(np.int32)))
+                made.append((i, y, f.astype(np.int32), n.astype(np.int32), digest(text)))
         if made:
-            common.put_file(f"{uri}/part-{part}", _bytes(ids=np.array([m[0] for m in made], np.int64), labels=np.array([m[1] for m in made], np.int8), ends=np.cumsum([0, *(len(m[2]) for m in made)]), feature=np.concatenate([m[2] for m in made]), count=np.concatenate([m[3] for m in made])))
+            common.put_file(f"{uri}/part-{part}", _bytes(ids=np.array([m[0] for m in made], np.int64), labels=np.array([m[1] for m in made], np.int8), ends=np.cumsum([0, *(len(m[2]) for m in made)]), feature=np.concatenate([m[2] for m in made]), count=np.concatenate([m[3] for m in made]), digests=np.array([m[4] for m in made], np.int64)))
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
     return run
@@ -236,15 +258,15 @@ def like_first(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *out])
 
 
-def vectors_of(uri: str, part: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """id, label, features and counts of a part of the examples."""
+def vectors_of(uri: str, part: int) -> list[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """id, label, features, counts and digest of a part of the examples."""
     with np.load(io.BytesIO(common.get_file(f"{uri}/part-{part}"))) as f:
-        ids, labels, ends, feature, count = (f[x] for x in ("ids", "labels", "ends", "feature", "count"))
-    return [(i, y, feature[b:e], count[b:e]) for i, y, b, e in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        ids, labels, ends, feature, count, digests = (f[x] for x in ("ids", "labels", "ends", "feature", "count", "digests"))
+    return [(i, y, feature[b:e], count[b:e], d) for i, y, b, e, d in zip(ids.tolist(), labels.tolist(), ends[:-1].tolist(), ends[1:].tolist(), digests.tolist(), strict=True)]
 
 
 #: The arrays of an index that are stored beside frequencies and ids.
-ARRAYS = ("labels", "column", "full", "full_most", "example", "weight", "posting", "postings", "block", "most", "entries", "entry")
+ARRAYS = ("labels", "digests", "column", "full", "full_most", "example", "weight", "posting", "postings", "block", "most", "entries", "entry")
 
 
 @dataclass
@@ -254,13 +276,14 @@ class Neighbours:
     idf: np.ndarray
     ids: list[int] = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
+    digests: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def weigh(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[features]
         return w / np.sqrt((w * w).sum())
 
-    def build(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbours:
-        """rows: id, label, features, counts, none of them without features."""
+    def build(self, rows: list[tuple]) -> Neighbours:
+        """rows: id, label, features, counts, and a digest if there is one; none of them without features."""
         none = np.zeros(0, np.int32)
         rows = sorted(rows, key=lambda r: r[0])
         df = np.bincount(np.concatenate([none, *(r[2] for r in rows)]), minlength=len(self.idf))
@@ -271,6 +294,7 @@ class Neighbours:
         rows = [rows[i] for i in like_first(self._columns(rows, min(COMPARED, len(often)))).tolist()]
         self.full = self._columns(rows, len(often))
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
+        self.digests = np.array([r[4] if len(r) > 4 else k for k, r in enumerate(rows)], np.int64)
         size = np.array([len(r[2]) for r in rows], np.int64)
         feature = np.concatenate([none, *(r[2] for r in rows)]).astype(np.int32)
         count = np.concatenate([none, *(r[3] for r in rows)]).astype(np.int32)
@@ -280,7 +304,7 @@ class Neighbours:
     def _columns(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         """The weights of the n features that most rows have."""
         out = np.zeros((len(rows), n), np.float32)
-        for row, (_, _, f, c) in zip(out, rows, strict=True):
+        for row, (_, _, f, c, *_) in zip(out, rows, strict=True):
             column = self.column[f]
             some = (column >= 0) & (column < n)
             row[column[some]] = self.weigh(f, c)[some]
@@ -295,6 +319,7 @@ class Neighbours:
         for name, array_of in zip(ARRAYS, rest, strict=True):
             setattr(out, name, array_of)
         out.blocks = -(-len(ids) // BLOCK)
+        out.copies = Counter(out.digests.tolist())
         return out
 
     def save(self, uri: str) -> None:
@@ -306,6 +331,7 @@ class Neighbours:
         """The lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
+        self.copies = Counter(self.digests.tolist())
         example = np.repeat(np.arange(n, dtype=np.int32), size)
         weight = np.log(count.astype(np.float32)) + 1
         del count
@@ -342,6 +368,17 @@ class Neighbours:
             out += self._search(docs[at : at + TOGETHER], k) if self.ids else [[] for _ in docs[at : at + TOGETHER]]
         return out
 
+    def nearest_others(self, docs: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each document among the examples with other digests than its own."""
+        own = [self.copies.get(d, 0) for _, _, d in docs]
+        out: list[list[tuple[float, int]]] = [[]] * len(docs)
+        for some in ([i for i, c in enumerate(own) if not c], [i for i, c in enumerate(own) if c]):
+            if some:
+                found = self.nearest_of([docs[i][:2] for i in some], k + max(own[i] for i in some))
+                for i, near in zip(some, found, strict=True):
+                    out[i] = [x for x in near if self.digests[x[1]] != docs[i][2]][:k] if own[i] else near
+        return out
+
     def _search(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in docs]
         wide, own = np.zeros((len(docs), self.full.shape[1]), np.float32), []
@@ -425,13 +462,10 @@ class Model:
         """Between two steps the share rises in a line."""
         return float(np.interp(vote, self.at, self.shares))
 
-    def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        """Score and neighbours of each vector of feature counts; called in tasks."""
-        yield from self._voted(index_of(self.uri), docs)
-
-    def _voted(self, index: Neighbours, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        for near in index.nearest_of(docs, self.k):
-            yield self.share(index.vote(near)), near
+    def _voted(self, index: Neighbours, docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and neighbours of feature counts with digests; called in tasks."""
+        for near in index.nearest_others(docs, max(self.k, EVIDENCE)):
+            yield self.share(index.vote(near[: self.k])), near
 
     def score_bodies(self, bodies: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Of feature counts as they are stored."""
@@ -439,7 +473,7 @@ class Model:
             yield from [(0.0, [])] * len(bodies)
             return
         for at in range(0, len(bodies), TOGETHER):
-            yield from self.score([unsqueezed(b) for b in bodies[at : at + TOGETHER]])
+            yield from self._voted(index_of(self.uri), [unpacked(b) for b in bodies[at : at + TOGETHER]])
 
     def score_texts(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         if self.uri is None:
@@ -447,7 +481,7 @@ class Model:
             return
         reader, index = reader_of(self.uri, both=True), index_of(self.uri, both=True)
         for at in range(0, len(texts), TOGETHER):
-            yield from self._voted(index, [reader.counts(t) for t in texts[at : at + TOGETHER]])
+            yield from self._voted(index, [(*reader.counts(t), digest(t)) for t in texts[at : at + TOGETHER]])
 
 
 def _built(uri: str, parts: list[int]):
@@ -467,15 +501,14 @@ def _built(uri: str, parts: list[int]):
 
 
 def _votes(uri: str, parts: list[int], k: int):
-    """Label and vote of each example, by its neighbours of other ids."""
+    """Label and vote of each example, by its neighbours of other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(uri)
         for batch in batches:
             for part in batch.column("id").to_pylist():
                 rows = vectors_of(uri, parts[part])
-                near = index.nearest_of([r[2:] for r in rows], k + 1)
-                votes = [index.vote([x for x in own if index.ids[x[1]] != r[0]][:k]) for own, r in zip(near, rows, strict=True)]
+                votes = [index.vote(near) for near in index.nearest_others([r[2:] for r in rows], k)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
     return run
@@ -496,13 +529,13 @@ def _fitted(docs: DataFrame, labels: DataFrame, kept: DataFrame, body: str, key:
     spark = docs.sparkSession
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, rows / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    sample = known.orderBy(F.xxhash64(F.lit(10), "doc_id"), "doc_id").limit(rows)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     home = common.shared_dir(spark, "toxicity")
     one = slim.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     chosen = common.stored(one, f"{home}/sample").repartition(min(64, max(1, spark.sparkContext.defaultParallelism)), "doc_id")
-    toxic = not chosen.where("toxic = 1").isEmpty()
+    toxic = chosen.where("toxic = 1").count()
+    k = neighbours(toxic, k)
 
     names = sorted(chosen.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist()) if toxic else []
     common.put_file(f"{home}/names", zlib.compress("\n".join(names).encode(), 1))

@@ -180,12 +180,16 @@ def test_scores_from_texts_to_calibration_by_brute_force(spark, docs_of):
 
     vectors = [vector(c) for c in counts]
 
-    def vote(i, others):
-        cos = sorted(((round(sum(x * vectors[j].get(f, 0) for f, x in vectors[i].items()), 7), -j) for j in others), reverse=True)[: toxicity.NEIGHBOURS]
+    k = toxicity.neighbours(sum(labels[i] for i in train))
+    assert 3 <= k < toxicity.NEIGHBOURS
+
+    def vote(i, others):  # a text's own label has no vote
+        others = [j for j in others if (texts[j] or "") != (texts[i] or "")]
+        cos = sorted(((round(sum(x * vectors[j].get(f, 0) for f, x in vectors[i].items()), 7), -j) for j in others), reverse=True)[: max(k, toxicity.EVIDENCE)]
         cos = [(c, -j) for c, j in cos if c > 0]
-        return (sum(c for c, j in cos if labels[j]) / (sum(c for c, _ in cos) + 0.05), cos) if cos else (0.0, [])
+        return (sum(c for c, j in cos[:k] if labels[j]) / (sum(c for c, _ in cos[:k]) + 0.05), cos) if cos else (0.0, [])
 
-    at, shares = toxicity.monotone(np.round([vote(i, [j for j in train if j != i])[0] for i in train], 6), np.array([labels[i] for i in train]))
+    at, shares = toxicity.monotone(np.round([vote(i, train)[0] for i in train], 6), np.array([labels[i] for i in train]))
     for i in range(len(texts)):
         want, cos = vote(i, train)
         assert got[i]["score"] == pytest.approx(np.interp(want, at, shares), abs=2e-3), texts[i]
@@ -193,6 +197,30 @@ def test_scores_from_texts_to_calibration_by_brute_force(spark, docs_of):
     assert {r["key"]: r["score"] for r in toxicity.score_read(read, model).collect()} == {i: r["score"] for i, r in got.items()}
 
 
+def test_no_row_votes_for_itself(spark, docs_of):
+    """Turning the label of one text, of which there are three copies, changes no score of these copies but by the calibration of all."""
+    texts = [f"river stone {'meadow' if i % 3 else 'harbour'} word{chr(97 + i % 26)} {'vile' if i % 5 == 0 else 'calm'}" for i in range(130)]
+    docs = docs_of([*texts, *["copied text by a river"] * 3, "never labelled river"])
+    rows = [(i, int(i % 5 == 0)) for i in range(130)]
+    evidence = {}
+    for own in (0, 1):
+        labels = spark.createDataFrame([*rows, (130, own), (131, own), (132, own)], "doc_id long, toxic int")
+        found = {r["key"]: [e["doc_id"] for e in r["evidence"]] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+        assert all(found[i] and not {130, 131, 132} & set(found[i]) for i in (130, 131, 132))
+        assert all(i not in found[i] for i in range(130))
+        evidence[own] = found[130]
+    assert evidence[0] == evidence[1]
+
+
+def test_equal_cosines_go_to_smaller_ids(spark, docs_of):
+    texts = [f"river stone {'vile' if i % 2 else 'calm'}" for i in range(40)] + ["river stone"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(texts), labels)
+    near = toxicity.score(docs_of(texts), model).where("key = 40").first()["evidence"]
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert len({e["cosine"] for e in near}) == 1 and [e["doc_id"] for e in near] == train[: len(near)]
+
+
 def test_monotone_fit():
     at, shares = toxicity.monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
     assert (np.diff(shares) > 0).all() and at[0] == 0.1 and at[1] == pytest.approx(0.25)
