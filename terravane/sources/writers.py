@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import osm, times, trees
 from terravane.operators import timeseries
+from terravane.sources import store
 
 
 def write_features(features: DataFrame, path: str, key: str = "query_idx") -> None:
@@ -58,52 +59,35 @@ def tile_centers(tiles: DataFrame) -> DataFrame:
     return tiles.select(F.to_json(F.struct(F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))).alias("value"))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions of a saved table, oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(root)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
 def saved(spark: SparkSession, path: str) -> DataFrame:
-    """The latest complete version of a table that ``save_documents`` or ``save_period`` has written."""
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
-
-
-def _put_version(spark: SparkSession, now: DataFrame, path: str, done: list[int]) -> None:
-    """Writes the next version; a version counts once its last file is there, and the one before it stays for readers."""
-    now.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 0}")
-    as_path = spark._jvm.org.apache.hadoop.fs.Path
-    for old in done[:-1]:
-        as_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(as_path(f"{path}/v{old}"), True)
+    """A table that ``save_documents`` or ``save_period`` has written."""
+    return store.read(spark, path)
 
 
-def save_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "_id", order: str = "_timestamp", by_field: bool = False) -> None:
+def save_documents(spark: SparkSession, new: DataFrame, path: str, key: str = "_id", order: str = "_timestamp", by_field: bool = False, stream: str | None = None, batch: int = -1) -> int:
     """Upserts documents into the table at ``path``: whole documents, or field by field. Read it with ``saved``.
 
-    Each save writes a version of its own, so a job that fails at any point leaves the version before it as it was.
+    Only the buckets of the keys that come are written anew; a job that fails at any point leaves the table as it was.
     """
-    done = _versions(spark, path)
-    if not done:
-        now = timeseries.last_write(new, key, order)
-    else:
-        old = saved(spark, path)
-        now = timeseries.upsert(old, new, key, order) if by_field else timeseries.last_write(old.unionByName(new, allowMissingColumns=True), key, order)
-    _put_version(spark, now, path, done)
 
+    def merge(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        if old is None:
+            return timeseries.last_write(rows, key, order)
+        return timeseries.upsert(old, rows, key, order) if by_field else timeseries.last_write(old.unionByName(rows, allowMissingColumns=True), key, order)
 
-def save_period(spark: SparkSession, counts: DataFrame, path: str, key: str, size: int) -> None:
+    return store.save(spark, new, path, key, merge, stream=stream, batch=batch)
+
+
+def save_period(spark: SparkSession, counts: DataFrame, path: str, key: str, size: int, stream: str | None = None, batch: int = -1) -> int:
     """Upserts (key, period, day, n) into a table of day maps, zeros where there is nothing; the new number of a day replaces the old one."""
-    done = _versions(spark, path)
-    rows = counts.select(key, "period", "day", F.col("n").cast("long").alias("n"), F.lit(1).alias("_new"))
-    if done:
-        rows = rows.unionByName(saved(spark, path).select(key, "period", F.explode("days").alias("day", "n"), F.lit(0).alias("_new")))
-    latest = rows.groupBy(key, "period", "day").agg(F.max_by("n", "_new").alias("n"))
-    _put_version(spark, timeseries.period_map(latest, key, size), path, done)
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new.select(key, "period", "day", F.col("n").cast("long").alias("n"), F.lit(1).alias("_new"))
+        if old is not None:
+            rows = rows.unionByName(old.select(key, "period", F.explode("days").alias("day", "n"), F.lit(0).alias("_new")))
+        return timeseries.period_map(rows.groupBy(key, "period", "day").agg(F.max_by("n", "_new").alias("n")), key, size)
+
+    return store.save(spark, counts, path, key, merge, stream=stream, batch=batch)
 
 
 def write_ids_and_full(rows: DataFrame, path: str, key: str = "_id") -> None:

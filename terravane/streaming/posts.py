@@ -37,8 +37,8 @@ def each_batch(posts: DataFrame, checkpoint: str, work: Callable[[DataFrame, int
 
 
 def save(posts: DataFrame, path: str, checkpoint: str, order: str = "created_at") -> StreamingQuery:
-    """Upserts each micro-batch by id, so a batch that is repeated after a failure changes nothing."""
-    return each_batch(posts, checkpoint, lambda batch, _: writers.save_documents(batch.sparkSession, batch, path, "_id", order))
+    """Upserts each micro-batch by id into the buckets of its ids; a batch that is repeated after a failure is known by its number and changes nothing."""
+    return each_batch(posts, checkpoint, lambda batch, number: writers.save_documents(batch.sparkSession, batch, path, "_id", order, stream=checkpoint, batch=number))
 
 
 def day_files(posts: DataFrame, path: str, checkpoint: str, ts: str = "created_at") -> StreamingQuery:
