@@ -230,6 +230,11 @@ def _ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def micros(ts: str):
+    """Epoch microseconds of a wall time, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", _ntz("1970-01-01 00:00:00"), F.col(ts).cast("timestamp_ntz"))
+
+
 # Upserts and time series
 
 
@@ -401,13 +406,19 @@ def osm_transport(spark, d):
 # Tiles
 
 
-@query("""with c as (select radians(59.829833e0) as south, radians(60.029015e0) as north, radians(30.178096e0) as west, radians(30.520594e0) as east, 0.75e0 / 6378e0 as dy),
-r as (select south + i * dy as lat, dy, west, east, dy / cos(south + i * dy) as dx from c, range(0, 31) t(i) where i <= floor((north - south) / dy)),
-t as (select lat, dy, dx, west + j * dx as lon from r, range(0, 60) u(j) where j <= floor((east - west) / dx))
-select round(degrees(lat), 9) as left_lat, round(degrees(lon), 9) as left_lon, round(degrees(lat + dy), 9) as right_lat, round(degrees(lon + dx), 9) as right_lon, round(0.6e0 * sqrt(2e0) * 0.75e0, 9) as r from t""")
+TILES = f"""{views.POSTS}, c as (select radians(min(lat)) as south, radians(max(lat)) as north, radians(min(lon)) as west, radians(max(lon)) as east, {{side}}e0 / 6378e0 as dy from posts),
+r as (select i as row, south + i * dy as lat, dy, west, east, dy / cos(south + i * dy) as dx from c, range(0, 64) t(i) where i <= floor((north - south) / dy)),
+t as (select row, j as col, lat, dy, dx, west + j * dx as lon from r, range(0, 128) u(j) where j <= floor((east - west) / dx))"""
+
+
+def posts_tiles(spark, d, side_km: float = 0.75) -> DataFrame:
+    """Tiles over the extent of all posts."""
+    return tiles.tiles(spark, side_km, tiles.extent(views.posts(spark, d)))
+
+
+@query(f"with {TILES.format(side=0.75)} select round(degrees(lat), 9) as left_lat, round(degrees(lon), 9) as left_lon, round(degrees(lat + dy), 9) as right_lat, round(degrees(lon + dx), 9) as right_lon, round(0.6e0 * sqrt(2e0) * 0.75e0, 9) as r from t")
 def tile_grid(spark, d):
-    out = tiles.tiles(spark, 0.75, geo.Box(59.829833, 30.178096, 60.029015, 30.520594))
-    return out.select(*[F.round(c, 9).alias(c) for c in ("left_lat", "left_lon", "right_lat", "right_lon", "r")])
+    return posts_tiles(spark, d).select(*[F.round(c, 9).alias(c) for c in ("left_lat", "left_lon", "right_lat", "right_lon", "r")])
 
 
 @query(f"with {views.QUERY_POINTS} select query_idx, part, round(qlat - 0.1e0 + part * 0.05e0, 9) as south, round(qlat - 0.1e0 + (part + 1) * 0.05e0, 9) as north, round(qlon - 0.1e0, 9) as west, round(qlon + 0.1e0, 9) as east from query_points, (select unnest([0, 1, 2, 3]) as part) p")
@@ -423,12 +434,20 @@ def quadrants(spark, d):
     return tiles.quadrants(q).select("query_idx", "part", F.round("left_lat", 9).alias("left_lat"), F.round("left_lon", 9).alias("left_lon"), "r")
 
 
-@query()
+_REFINE = f"""{views.POSTS}, g as (select s::int as depth, pow(3e0, s)::bigint as k from range(0, 7) r(s)),
+cells as (select depth, k, least(floor((lat - {views.LAT}e0) / {views.LAT_SIZE}e0 * k), k - 1)::bigint as y, least(floor((lon - {views.LON}e0) / {views.LON_SIZE}e0 * k), k - 1)::bigint as x, count(*) as n
+  from posts, g where lat between {views.LAT}e0 and {views.LAT}e0 + {views.LAT_SIZE}e0 and lon between {views.LON}e0 and {views.LON}e0 + {views.LON_SIZE}e0 group by all),
+boxes as (select 0 as depth, 0::bigint as y, 0::bigint as x union all select depth + 1, y * 3 + a, x * 3 + b from cells, range(0, 3) p(a), range(0, 3) q(b) where n >= 50 and depth < 6),
+found as (select boxes.depth, boxes.y, boxes.x, coalesce(n, 0) as n, pow(3e0, boxes.depth) as k from boxes left join cells on cells.depth = boxes.depth and cells.y = boxes.y and cells.x = boxes.x)
+select round({views.LAT}e0 + y * ({views.LAT_SIZE}e0 / k), 9) as south, round({views.LAT}e0 + (y + 1) * ({views.LAT_SIZE}e0 / k), 9) as north, round({views.LON}e0 + x * ({views.LON_SIZE}e0 / k), 9) as west, round({views.LON}e0 + (x + 1) * ({views.LON_SIZE}e0 / k), 9) as east,
+  depth, n from found where n < 50 or depth = 6"""
+
+
+@query(f"with {_REFINE}")
 def adaptive_refine(spark, d):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared.shared_base(spark))
     box = geo.Box(views.LAT, views.LON, views.LAT + views.LAT_SIZE, views.LON + views.LON_SIZE)
-    return tiles.refine(views.posts(spark, d), box, 3, 50)
+    out = tiles.refine(views.posts(spark, d), box, 3, 50)
+    return out.select(*[F.round(c, 9).alias(c) for c in ("south", "north", "west", "east")], "depth", "n")
 
 
 # Ranking

@@ -179,7 +179,7 @@ def venue_lines_file(spark, d):
 @query(ORACLES["tile_grid"])
 def tile_file(spark, d):
     path = _folder(spark, "tiles")
-    writers.write_tiles(tiles.tiles(spark, 0.75, geo.Box(views.LAT, views.LON, 60.029015, 30.520594)), path)
+    writers.write_tiles(catalog.posts_tiles(spark, d), path)
     names = {"leftLat": "left_lat", "leftLon": "left_lon", "rightLat": "right_lat", "rightLon": "right_lon", "R": "r"}
     back = spark.read.option("sep", " ").option("header", True).csv(path)
     return back.select(*[F.round(F.col(a).cast("double"), 9).alias(b) for a, b in names.items()])
@@ -188,15 +188,33 @@ def tile_file(spark, d):
 @query(ORACLES["tile_grid"].rsplit("select", 1)[0] + "select round(degrees(lat + dy / 2), 6) as lat, round(degrees(lon + dx / 2), 6) as lon from t")
 def tile_center_file(spark, d):
     path = _folder(spark, "centers")
-    writers.write_lines(writers.tile_centers(tiles.tiles(spark, 0.75, geo.Box(views.LAT, views.LON, 60.029015, 30.520594))), path)
+    writers.write_lines(writers.tile_centers(catalog.posts_tiles(spark, d)), path)
     back = spark.read.schema("lat double, lon double").json(path)
     return back.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query(f"with t as ({ORACLES['tile_grid']}) select left_lat, left_lon, cast(w as int) as back, 1704844800 - (w + 1) * 86400 as since, 1704844800 - w * 86400 as until from t, range(0, 7) r(w)")
+_WINDOWS = f"""{catalog.TILES.format(side=3)}, tile as (select row || '-' || col as tile, degrees(lat) as y0, degrees(lon) as x0, degrees(lat + dy) as y1, degrees(lon + dx) as x1, 0.6e0 * sqrt(2e0) * 3e0 as r from t),
+placed as (select id, lat, lon, epoch_us(ts) as us, ((1704844800000000 - epoch_us(ts) - 1) // 86400000000)::int as back from posts where epoch_us(ts) < 1704844800000000 and epoch_us(ts) >= 1704844800000000 - 7 * 86400000000),
+w0 as (select tile, '' as path, y0, x0, y1, x1, r from tile),
+h0 as (select tile, path, back, id, us from w0 join placed on {{near}}),
+f0 as (select tile, path, back from h0 group by all having count(*) >= 4),
+q as (select unnest(['a', 'b', 'c', 'd']) as part, unnest([0, 0, 1, 1]) as up, unnest([0, 1, 0, 1]) as right_),
+w1 as (select tile, path || part as path, back, case up when 0 then y0 else (y0 + y1) / 2 end as y0, case right_ when 0 then x0 else (x0 + x1) / 2 end as x0,
+  case up when 0 then (y0 + y1) / 2 else y1 end as y1, case right_ when 0 then (x0 + x1) / 2 else x1 end as x1, r / 2 as r from w0 join f0 using (tile, path), q),
+h1 as (select tile, path, w.back, id, us from w1 w join placed p on w.back = p.back and {{near}}),
+f1 as (select tile, path, back from h1 group by all having count(*) >= 4)
+select *, false as cut from h0 where (tile, path, back) not in (select (tile, path, back) from f0) union all select *, false from h1 where (tile, path, back) not in (select (tile, path, back) from f1)
+union all select tile, path, back, id, us, true from (select *, row_number() over (partition by tile, path, back order by us desc, id) as p from h1 where (tile, path, back) in (select (tile, path, back) from f1)) where p <= 4""".format(
+    near="sin(radians(lat)) * sin(radians((y0 + y1) / 2)) + cos(radians(lat)) * cos(radians((y0 + y1) / 2)) * cos(radians(lon - (x0 + x1) / 2)) > cos(r / 6378e0)"
+)
+
+
+@query(f"with {_WINDOWS}")
 def backward_windows(spark, d):
-    grid = tiles.tiles(spark, 0.75, geo.Box(views.LAT, views.LON, 60.029015, 30.520594))
-    return tiles.backward_windows(grid, 1704844800, 7).select(F.round("left_lat", 9).alias("left_lat"), F.round("left_lon", 9).alias("left_lon"), "back", "since", "until")
+    """What tiles give day by day for the seven days before a time, full windows asked again by quarters."""
+    p = views.posts(spark, d).withColumn("us", catalog.micros("ts"))
+    grid = catalog.posts_tiles(spark, d, 3).withColumn("tile", F.concat_ws("-", "row", "col"))
+    return tiles.fetch_windows(p, grid, 1704844800, 7, 4, 1)
 
 
 @query(f"with {views.POSTS}, {views.QUERY_POINTS}, q as (select *, row_number() over (order by query_idx) - 1 as i from query_points) select i as query_idx, string_agg(cast(id as varchar), ',' order by id) as ids from q join posts on {views.NEAR} group by 1")
@@ -212,11 +230,16 @@ def search_file_join(spark, d):
     return near.select("query_idx", F.array_join(F.from_json("value", "lat double, lon double, ids array<long>")["ids"], ",").alias("ids"))
 
 
-@query("select * from (values (0, 59.93e0, 30.31e0, 0.75e0), (1, 59.95e0, 30.25e0, 0.75e0)) v(query_idx, qlat, qlon, radius)")
+@query(f"with {views.QUERY_POINTS} select n_name as job, row_number() over (partition by n_name order by s_suppkey) - 1 as query_idx, qlat, qlon, 0.25e0 + n_nationkey / 16e0 as radius, 0.01e0 as robots_threshold from query_points join supplier on s_suppkey = query_idx join nation on n_nationkey = s_nationkey")
 def job_settings(spark, d):
+    """Settings of one job for each nation, whose points are its suppliers, from their files."""
     path = _folder(spark, "settings")
-    writers.write_lines(spark.createDataFrame([('{"search_radius": 0.75, "gps": [[59.93, 30.31], [59.95, 30.25]], "robots_threshold": 0.01, "start_date": 1400000000, "end_date": 1500000000, "result_file": "r.tsv"}',)], "value string"), path)
-    return settings.points(spark, settings.read_settings(spark, path)).withColumn("query_idx", F.col("query_idx").cast("int"))
+    s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_idx"), F.col("s_nationkey").alias("n_nationkey"))
+    own = views.query_points(spark, d).join(s, "query_idx").join(views.table(spark, d, "nation"), "n_nationkey")
+    gps = F.transform(F.array_sort(F.collect_list(F.struct("query_idx", F.array("qlat", "qlon").alias("at")))), lambda x: x["at"])
+    jobs = own.groupBy("n_nationkey", F.col("n_name").alias("job")).agg(gps.alias("gps"))
+    writers.write_lines(jobs.select(F.to_json(F.struct("job", (0.25 + F.col("n_nationkey") / 16.0).alias("search_radius"), "gps", F.lit(0.01).alias("robots_threshold"), F.lit("r.tsv").alias("result_file"))).alias("value")), path)
+    return settings.job_points(spark, path).select("job", "query_idx", "qlat", "qlon", "radius", "robots_threshold")
 
 
 # Days and documents
