@@ -15,6 +15,7 @@ from terravane.operators import venues as vn
 from terravane.plans import catalog, views
 from terravane.plans.catalog import ORACLES, query
 from terravane.sources import readers, settings, shared, writers
+from terravane.streaming import counters
 from terravane.streaming import posts as stream
 
 #: All coordinates; posts without any are outside.
@@ -364,3 +365,29 @@ def stream_weekly_counts(spark, d):
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{home}/counts")
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("source string, week string, day int, n long").parquet(f"{home}/counts")
+
+
+@query("""with w as (select user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') as period, cast(isodow(ts) - 1 as int) as day, count(*) as n from events group by all)
+select k.user_id, k.period, k.day, coalesce(n, 0) as n from (select distinct user_id, period, unnest([0, 1, 2, 3, 4, 5, 6]) as day from w) k left join w on w.user_id = k.user_id and w.period = k.period and w.day = k.day""")
+def stream_closed_weeks(spark, d):
+    """Day counters of every user as keyed state; a week comes out, zeros filled in, when it is closed. A last record far ahead closes all weeks."""
+    home, e = _folder(spark, "stream-closed"), views.table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    last = e.agg((F.max(F.to_timestamp("at")) + F.expr("interval 60 days")).alias("at")).select(F.lit(-1).cast("long").alias("user_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    writers.back_up(e, f"{home}/in")
+    last.write.mode("append").json(f"{home}/in")
+    rows = spark.readStream.schema("user_id long, at string").json(f"{home}/in").withColumn("at", F.to_timestamp("at"))
+    closed = counters.closed_periods(rows, "user_id", "at", 7)
+    closed.writeStream.format("parquet").option("path", f"{home}/weeks").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, period string, day int, n long").parquet(f"{home}/weeks")
+
+
+@query(f"select event_id as id, {catalog._CLIENT} as source from events where {_PLACED}")
+def stream_saved_twice(spark, d):
+    """Every post comes twice, in parts of other sizes and in another order, by two streams into one table."""
+    home, source = _folder(spark, "stream-twice"), _folder(spark, "stream-twice-in")
+    raw = views.raw_posts(spark, d)
+    for k, (parts, order) in enumerate(((3, F.col("id")), (2, F.desc("id")))):
+        writers.back_up(raw.repartitionByRange(parts, order), f"{source}/{k}")
+        located = stream.located(stream.raw_stream(spark, f"{source}/{k}", 1 + k), EVERYWHERE)
+        stream.save(located, f"{home}/store", f"{home}/checkpoint-{k}").awaitTermination()
+    return writers.saved(spark, f"{home}/store").select(F.col("_id").alias("id"), "source")
