@@ -5,7 +5,8 @@ watermark passes it, the period is closed: one row with a count for every day, z
 dropped. So results come in append mode, once for each id and period, and state is as large as the periods that are open.
 
 Records are counted by id and day within each part of a micro-batch before they are shuffled, so an id with a third of all records sends
-one row for each part and day. Records that come after their period is closed are dropped, as the watermark says.
+one row for each part and day. Records older than the watermark are dropped, as in any stream;
+``late`` says how far behind the newest record one may come, so a period closes that long after its end.
 
 Ids that are null are one id. A stream that ends goes on from its checkpoint with all open periods.
 """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terravane.streaming import counters
 
 
-def run(spark, tmp_path, size=7, late="1 day"):
+def run(spark, tmp_path, size=7, late="7 days"):
     rows = spark.readStream.schema("id string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     closed = counters.closed_periods(rows, "id", "at", size, late)
     q = closed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start()
@@ -29,11 +29,11 @@ def test_a_week_is_closed_once_across_restarts(spark, tmp_path):
     assert run(spark, tmp_path) == {}  # nothing is closed yet
     put(tmp_path, "2.json", [("a", "2024-01-03 11:00:00"), ("a", "2024-01-08 00:00:00"), (None, "2024-01-02 00:00:01")])
     assert run(spark, tmp_path) == {}  # the state of the first run goes on
-    put(tmp_path, "3.json", [("z", "2024-01-10 00:00:00")])
+    put(tmp_path, "3.json", [("z", "2024-01-16 00:00:00")])
     want = week("a", "2024-01-01", {0: 1, 2: 2}) | week("b", "2024-01-01", {6: 1}) | week(None, "2024-01-01", {1: 2})
     assert run(spark, tmp_path) == want
     put(tmp_path, "4.json", [("a", "2024-01-04 10:00:00"), ("z", "2024-02-20 00:00:00")])  # too late: its week is closed
-    assert run(spark, tmp_path) == want | week("a", "2024-01-08", {0: 1}) | week("z", "2024-01-08", {2: 1})
+    assert run(spark, tmp_path) == want | week("a", "2024-01-08", {0: 1}) | week("z", "2024-01-15", {1: 1})
 
 
 def test_months_have_31_days(spark, tmp_path):
