@@ -10,6 +10,9 @@ Kinds: card (13 to 19 digits with a right Luhn digit; other long numbers are lef
 and country code, or in 3-3-4 form), ip, date (ISO, day.month.year, month/day/year, day/month/year where only that can be meant, with
 month names), email (the part before the @), secret (hexadecimal runs of 32 and more digits).
 
+Where a match fails its check, shorter ends are tried (an IBAN's by the length of its country, a card's and a phone number's at the ends of their
+groups), then the other kinds at the same place, then the next place, so a number or word beside a value doesn't hide it. A card number has one separator throughout.
+
 Forms of dates: days and months of one digit, of two digits with a leading zero, and of two digits that need none are written
 differently, so a date is permuted among the dates that are written with as many characters in each field. Dates with slashes
 whose day is over 12 read in one order only and are permuted among those of their order; the others read as month/day and
@@ -87,6 +90,14 @@ def alphabet_of(c: str) -> str:
 
 
 _IN_CLASSES = frozenset("".join(CLASSES))
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: How card numbers are usually grouped.
+CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
 #: Country calling codes of one and two digits; all others have three.
 CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -153,6 +164,7 @@ class Pseudonyms:
     def __init__(self, key: bytes, forward: bool = True):
         self.feistel, self.forward = Feistel(key), forward
         self.pattern = re.compile("|".join(f"(?P<{k}>{p})" for k, p in self.FORMS))
+        self.each = {k: re.compile(p) for k, p in self.FORMS}
         self.of = functools.lru_cache(100_000)(self._of)
 
     def _permute(self, x: int, n: int, tweak: str) -> int:
@@ -264,15 +276,53 @@ class Pseudonyms:
         """The text with pseudonyms, and the spans replaced in the original: kind, start, end, pseudonym."""
         if not self.HINT.search(text):
             return text, []
-        out, spans, at = [], [], 0
-        for m in self.pattern.finditer(text):
-            found = self.of(m.lastgroup, m[0])
-            if found:
-                out += [text[at : m.start()], found[1]]
-                at = m.end()
-                spans.append({"kind": found[0], "start": m.start(), "end": at, "pseudonym": found[1]})
+        out, spans, at, look = [], [], 0, 0
+        while m := self.pattern.search(text, look):
+            found = self._at(text, m.start())
+            if found is None:  # nothing valid begins here
+                look = m.start() + 1
+                continue
+            kind, new, end = found
+            out += [text[at : m.start()], new]
+            spans.append({"kind": kind, "start": m.start(), "end": end, "pseudonym": new})
+            at = look = end
         return "".join([*out, text[at:]]) if spans else text, spans
 
+    def _at(self, text: str, start: int) -> tuple[str, str, int] | None:
+        """Kind, pseudonym and end of the first valid value that begins at ``start``: kinds in their order, of each the ends that it may have."""
+        for kind, form in self.each.items():
+            m = form.match(text, start)
+            for value in self._ends(kind, m[0]) if m else ():
+                found = self.of(kind, value)
+                if found:
+                    return *found, start + len(value)
+        return None
+
+    @staticmethod
+    def _ends(kind: str, value: str) -> Iterator[str]:
+        """What a match may stand for: it may have taken words or numbers behind the value."""
+        if kind == "iban" and value[:2] in IBAN_LENGTHS:
+            at = [i for i, c in enumerate(value) if c != " "]
+            n = IBAN_LENGTHS[value[:2]]
+            if len(at) >= n and (len(at) == n or value[at[n - 1] + 1] == " "):
+                yield value[: at[n - 1] + 1]
+            return
+        if kind not in ("iban", "number", "phone"):
+            yield value
+            return
+        marks = [i for i, c in enumerate(value) if c in " -." and i]
+        ends = [len(value), *reversed(marks)]
+        if kind == "number":
+            # A card has one separator throughout; the usual groups come before longer numbers that begin with them.
+            marks = [i for i, c in enumerate(value) if c in " -"]
+            ends = [e for e in ends if len({value[i] for i in marks if i < e}) <= 1 and 13 <= sum(map(_is_digit, value[:e])) <= 19]
+            usual = [e for e in ends if [len(g) for g in re.split("[ -]", value[:e])] in CARD_GROUPS]
+            ends = [*usual, *(e for e in ends if e not in usual)]
+        if kind == "iban":
+            ends = [e for e in ends if sum(c != " " for c in value[:e]) >= 15]
+        for e in ends:
+            yield value[:e]
+
 
 _SPANS = "array<struct<kind: string, start: int, end: int, pseudonym: string>>"
 
@@ -291,11 +341,13 @@ def pseudonymise(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str
     return made.select(F.col("key").alias(key), F.col("text").alias(text), "spans")
 
 
-#: Where the key of the query is looked for, in the session's settings.
-KEY_SETTING = "spark.terravane.pseudonym.key"
+#: Where the key of the query is looked for, in the session's settings; Spark hides settings of such names in its pages and logs.
+KEY_SETTING = "spark.terravane.pseudonym.secret"
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str, secret: bytes | None = None) -> DataFrame:
-    """Every document with its personal data under pseudonyms; the key comes from the caller or from ``KEY_SETTING``, else it is one for tests."""
-    given = secret or spark.conf.get(KEY_SETTING, "for tests only").encode()
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), given)
+    """Every document with its personal data under pseudonyms; the key comes from the caller or from ``KEY_SETTING``. Only a local session has one for tests."""
+    given = secret or (spark.conf.get(KEY_SETTING, None) or "").encode()
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} must hold the key of the pseudonyms")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), given or b"for tests only")

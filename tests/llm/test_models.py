@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import datetime
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -337,6 +339,77 @@ def test_the_query_masks_and_comes_back(spark, sf_dir):
             assert back.of({"card": "number"}.get(s["kind"], s["kind"]), s["pseudonym"])[1] == value, value
 
 
+BESIDE = [
+    ("iban", "DE89370400440532013000", " IS MINE"), ("iban", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("iban", "GB82WEST12345698765432", " NOW"), ("card", "4111 1111 1111 1111", " 123"), ("card", "4111 1111 1111 1111", " 12/25"), ("ssn", "123-45-6789", " 12345"),
+    ("date", "2020-01-02", " 2021-03-04"), ("date", "2020-01-02", " 123-45-6789"), ("ssn", "123-45-6789", " 987-65-4321"), ("card", "3782 822463 10005", " 7777"), ("iban", "NO9386011117947", " 4111 1111 1111 1111"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "behind"), BESIDE)
+def test_what_stands_behind_a_value_does_not_hide_it(kind, value, behind):
+    names = pseudonyms.Pseudonyms(b"key")
+    alone = names.apply(value)[0]
+    text, spans = names.apply(f"see {value}{behind}")
+    assert alone != value and text.startswith(f"see {alone}") and (spans[0]["kind"], spans[0]["start"], spans[0]["end"]) == (kind, 4, 4 + len(value))
+
+
+def valid_values(text):
+    """Valid values by a detector of its own: whole white-space tokens, or as many as an IBAN or a card has."""
+    words, out = text.split(), []
+    for i in range(len(words)):
+        for n in range(1, 8):
+            part = words[i : i + n]
+            bare = "".join(part)
+            if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]+", bare) and len(bare) == pseudonyms.IBAN_LENGTHS.get(bare[:2]) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                out.append(" ".join(part))
+            if [len(p) for p in part] == [4, 4, 4, 4] and bare.isdigit() and sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(bare)) % 10 == 0:
+                out.append(" ".join(part))
+    for w in words:
+        m = re.fullmatch(r"(\d{3})-(\d{2})-(\d{4})", w)
+        if m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            out.append(w)
+        try:
+            out += [w] if re.fullmatch(r"\d{4}-\d{2}-\d{2}", w) and datetime.date.fromisoformat(w).year in range(1900, 2100) else []
+        except ValueError:
+            pass
+    return out
+
+
+def test_values_side_by_side_leave_nothing_in_clear():
+    draw, names = random.Random(12), pseudonyms.Pseudonyms(b"key")
+
+    def iban():
+        country = draw.choice(["DE", "FR", "NO", "ES"])
+        rest = "".join(draw.choice(string.digits) for _ in range(pseudonyms.IBAN_LENGTHS[country] - 4))
+        bare = f"{country}{pseudonyms._iban_check(country, rest):02d}{rest}"
+        return bare if draw.random() < 0.5 else " ".join(bare[k : k + 4] for k in range(0, len(bare), 4))
+
+    def card():
+        own = "4" + "".join(draw.choice(string.digits) for _ in range(14))
+        own += str(pseudonyms.luhn(own))
+        return " ".join(own[k : k + 4] for k in range(0, 16, 4))
+
+    kinds = [iban, card, lambda: f"{draw.randint(1, 665):03d}-{draw.randint(1, 99):02d}-{draw.randint(1, 9999):04d}", lambda: f"{draw.randint(1950, 2050)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}", lambda: draw.choice(["BIC", "word", "IS", "42", "12345", "X1"])]
+    missed, total = 0, 0
+    for _ in range(400):
+        text = " ".join(draw.choice(kinds)() for _ in range(6))
+        covered = [(s["start"], s["end"]) for s in names.apply(text)[1]]
+        for value in valid_values(text):
+            at = text.find(value)
+            total += 1
+            missed += not any(a < at + len(value) and at < b for a, b in covered)
+    assert total > 900 and missed == 0
+
+
+def test_the_key_is_needed_on_a_cluster():
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "yarn"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="secret"):
+        pseudonyms.op1_pseudonyms(Cluster(), "/nowhere")
+
+
 def test_invalid_values_stay():
     text = "4111 1111 1111 1112, 999.1.1.1, 2023-02-30, 000-12-3456, 1234, nothing@"
     assert pseudonyms.Pseudonyms(b"key").apply(text) == (text, [])
