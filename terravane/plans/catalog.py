@@ -226,6 +226,21 @@ def point_stats_filtered(spark, d):
     return af.area_counts(views.query_points(spark, d), kept.select("user_id", "lat", "lon"), 0.5)
 
 
+@query(f"""with {views.POSTS}, {views.QUERY_POINTS}, f as (select id, {_FOLLOWERS.replace('event_id', 'id')} as followers, * exclude (id) from posts),
+t as (select followers as most from (select followers, row_number() over (order by followers desc) as r, count(*) over () as n from f) x where r = greatest(1, n // 100)),
+k as (select f.* from f, t where followers <= most and ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-25 00:00:00'),
+m as (select query_idx, id, 6378e0 * acos(least(1e0, sin(radians(lat)) * sin(radians(qlat)) + cos(radians(lat)) * cos(radians(qlat)) * cos(radians(lon - qlon)))) as km from query_points, k),
+r as (select *, cast(row_number() over (partition by query_idx order by km, id) as int) as rank from m where km < 2e0)
+select query_idx, rank, id, round(km, 6) as km from r where rank <= 8""")
+def nearest_filtered(spark, d):
+    """The eight posts nearest to each point, nearest first, among those of a span of time whose authors aren't robots."""
+    p = views.posts(spark, d).withColumn("followers", F.expr(_FOLLOWERS.replace("event_id", "id")))
+    most = point_stats.robots_threshold(p, "followers", 0.01)
+    kept = p.join(F.broadcast(most), F.col("followers") <= F.col("threshold")).where(point_stats.post_filter(F.col("ts"), _ntz("2024-01-05 00:00:00"), _ntz("2024-01-25 00:00:00")))
+    found = point_stats.nearest(views.query_points(spark, d), kept.select("id", "lat", "lon"), 8, 2.0, 0.25)
+    return found.select("query_idx", "rank", "id", F.round("km", 6).alias("km"))
+
+
 def _ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
