@@ -11,7 +11,7 @@ from terravane.functions import draws
 from terravane.operators import boosting, models, ranking
 from terravane.plans import views
 from terravane.plans.catalog import query
-from terravane.sources import shared, writers
+from terravane.sources import readers, shared, writers
 
 #: So many levels that every distinct value of the rankings' features but the largest is a threshold, as SQL states them.
 ALL = 64
@@ -106,3 +106,23 @@ _DRAW = "('0x' || substr(md5('10:3:' || l_orderkey || ':' || l_linenumber), 1, 8
 def bootstrap_draws(spark, d):
     """How often the pairs of a first document count in round 3 of a bootstrap."""
     return views.order_rankings(spark, d).select("query_id", F.col("doc_id").alias("i")).distinct().withColumn("draws", draws.poisson(draws.uniform(10, 3, "query_id", "i"), most=7))
+
+
+@query(f"""with {_LINES}, k as (select *, dense_rank() over (order by q) - 1 as query_id, row_number() over (partition by q order by doc) - 1 as doc_id from l),
+n as (select x.q, count(*) as pairs from l x join l y on x.q = y.q and x.t < y.t group by 1)
+select query_id, doc_id, t as target, x, y, z, round(coalesce((select count(*) from l o where o.q = k.q and o.t > k.t) / n.pairs, 0), 6) as weight from k left join n on n.q = k.q""")
+def ranking_queries_file(spark, d):
+    """Lists of orders written as one stream of numbers over several files and read back in parallel; with the weight of the pairs that a document is first in."""
+    path, rows = shared.work_dir(spark, "queries"), _lines(spark, d)
+    w = ranking.pair_weights(rows)
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "features", "target"))).alias("docs"))
+    lists = lists.join(w.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "w"))).alias("w")), "query_id", "left")
+    own = F.flatten(F.transform("docs", lambda x: F.array_append(x["features"], x["target"])))
+    matrix = F.flatten(F.transform("docs", lambda a: F.transform("docs", lambda b: F.coalesce(F.try_element_at("w", F.struct(a["doc_id"].alias("i"), b["doc_id"].alias("j"))), F.lit(0.0)))))
+    line = F.concat_ws(" ", F.size("docs").cast("string"), F.array_join(own.cast("array<string>"), " "), F.array_join(matrix.cast("array<string>"), " "))
+    head = lists.agg(F.concat(F.count(F.lit(1)), F.lit(" 3")).alias("value")).select(F.lit(-1).cast("long").alias("query_id"), "value")
+    writers.write_lines(head.unionByName(lists.select("query_id", line.alias("value"))).orderBy("query_id").select("value"), path)
+    docs, pairs = readers.read_ranking_queries(spark, path, 50_000)
+    first = pairs.groupBy("query_id", F.col("i").alias("doc_id")).agg(F.sum("w").alias("weight"))
+    x = F.col("features")
+    return docs.join(first, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "target", x[0].alias("x"), x[1].alias("y"), x[2].alias("z"), F.round(F.coalesce("weight", F.lit(0.0)), 6).alias("weight"))

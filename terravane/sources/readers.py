@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.functions import osm, posts, times
+from terravane.sources import ranking_stream
 
 POST = "_id long, certain_coords int, created_at long, geo struct<type: string, coordinates: array<double>>, source string, user struct<id: long>"
 VENUE = "_id string, _geo array<double>, _categoryIds array<array<string>>, _timestamp double, createdAt long"
@@ -162,33 +163,9 @@ def read_matrix(spark: SparkSession, path: str, header: bool = True) -> DataFram
     return rows.select("doc_id", F.slice("x", F.lit(1), F.size("x") - 1).alias("features"), F.element_at("x", -1).alias("target"))
 
 
-def read_ranking_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (query_id, doc_id, features, target) and pairs (query_id, i, j, w) of a queries file.
-
-    The format is one stream of numbers in which each query says how long it is, so it is parsed from start to end: Q and F,
-    then for each query its number of documents, their features and target, and their matrix of weights. Such a file is one
-    value of a whole-text read, parsed in one task; pairs of weight 0 are left out.
-    """
-
-    def parse(parts):
-        import pandas as pd
-
-        for part in parts:
-            for text in part["value"]:
-                x = [float(v) for v in text.split()]
-                at, n_features, docs, pairs = 2, int(x[1]), [], []
-                for q in range(int(x[0])):
-                    n = int(x[at])
-                    at += 1
-                    for d in range(n):
-                        docs.append((q, d, -1, x[at : at + n_features], x[at + n_features]))
-                        at += n_features + 1
-                    pairs += [(q, k // n, k % n, None, x[at + k]) for k in range(n * n) if x[at + k]]
-                    at += n * n
-                yield pd.DataFrame(docs + pairs, columns=["query_id", "i", "j", "features", "v"])
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(parse, "query_id long, i long, j long, features array<double>, v double").cache()
-    return rows.where("features is not null").select("query_id", F.col("i").alias("doc_id"), "features", F.col("v").alias("target")), rows.where("features is null").select("query_id", "i", "j", F.col("v").alias("w"))
+def read_ranking_queries(spark: SparkSession, path: str, piece: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Documents (query_id, doc_id, features, target) and pairs (query_id, i, j, w) of a queries file; see ``ranking_stream``."""
+    return ranking_stream.read(spark, path, piece)
 
 
 def normalised_posts(raw: DataFrame) -> DataFrame:
