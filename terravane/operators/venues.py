@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.sources import shared
+
 #: Ends a path whose category is not in the tree.
 UNKNOWN = "?"
 
@@ -26,17 +28,40 @@ def flatten_tree(tree: DataFrame, children: str = "categories", levels: int | No
         level = level.select(F.col("id").alias("parent_id"), F.explode(children).alias("c")).select("c.*", "parent_id")
 
 
+def flatten_records(trees: DataFrame, column: str, children: str = "categories", name: str = "id", max_depth: int = 100) -> DataFrame:
+    """(id, parent_id, depth) of nested records whose schema nobody knows: ``column`` is a VARIANT, or JSON text, with a list of children at any depth.
+
+    A level is read from the stored level above it, so the records are read once, and levels go on while there are children: branches may be
+    of different depth, and records may lack an id (null) or have other fields. The top has null parents. Text that isn't JSON has no records.
+    """
+    home = shared.work_dir(trees.sparkSession, "records")
+    own = F.col(column) if trees.schema[column].dataType.simpleString() == "variant" else F.try_parse_json(F.col(column).cast("string"))
+    level = trees.select(own.alias("_r"), F.lit(None).cast("string").alias("parent_id"))
+    out = None
+    for depth in range(max_depth):
+        level = level.select(F.explode(F.try_variant_get("_r", f"$.{children}", "array<variant>")).alias("_r"), "parent_id")
+        level = shared.stored(level.select("_r", F.try_variant_get("_r", f"$.{name}", "string").alias("id"), "parent_id").where(~F.is_variant_null("_r")), f"{home}/{depth}")
+        if level.isEmpty():
+            return out if out is not None else level.select("id", "parent_id", F.lit(0).alias("depth"))
+        found = level.select("id", "parent_id", F.lit(depth).alias("depth"))
+        out = found if out is None else out.unionByName(found)
+        level = level.select("_r", F.col("id").alias("parent_id"))
+    raise ValueError(f"records are nested more than {max_depth} deep")
+
+
 def category_paths(categories: DataFrame, tree: DataFrame, max_depth: int = 32) -> DataFrame:
     """(id, path, main): the path from each of ``categories`` (id) up to the top of ``tree`` (id, parent_id), and its top.
 
     A category that is missing from the tree ends a path with '?', and its main category is '?'. One broadcast-sized or
-    shuffled join for each level, as many as the tree is deep; a cycle ends at ``max_depth`` with an error.
+    shuffled join for each level, as many as the tree is deep, on the stored paths of the level before; a cycle ends at ``max_depth`` with an error.
     """
     known = tree.select(F.col("id").alias("at"), "parent_id", F.lit(True).alias("known")).dropDuplicates(["at"])
+    home = shared.work_dir(categories.sparkSession, "paths")
+    known = shared.stored(known, f"{home}/tree")
     open_ = categories.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path"))
     done = None
-    for _ in range(max_depth):
-        step = open_.join(known, "at", "left")
+    for turn in range(max_depth):
+        step = shared.stored(open_.join(known, "at", "left"), f"{home}/{turn}")
         ended = step.where(F.col("known").isNull() | F.col("parent_id").isNull())
         unknown = F.col("known").isNull()
         own = ended.select("id", F.when(unknown, F.concat("path", F.array(F.lit(UNKNOWN)))).otherwise(F.col("path")).alias("path"), F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("at")).alias("main"))

@@ -152,6 +152,34 @@ def tree_flatten(spark, d):
     return vn.flatten_tree(top.select(F.array("c").alias("categories")))
 
 
+_DEEP = """k as (select distinct l_orderkey as o, l_partkey as p, l_orderkey || '-' || l_partkey || '-' || l_suppkey as key from lineitem)
+select distinct 'o' || o as id, null::varchar as parent_id, 0 as depth from k union all select 'l' || key, 'o' || o, 1 from k union all select 'p' || key, 'l' || key, 2 from k where p % 2 = 0
+union all select 'b' || key, 'p' || key, 3 from k where p % 4 = 0 union all select 'm' || key, 'b' || key, 4 from k where p % 8 = 0"""
+
+
+@query(f"with {_DEEP}")
+def record_tree(spark, d):
+    """Trees of five uneven levels from JSON lines whose schema is never stated: orders, lines, and below them as far as the part number says."""
+    path, k = _folder(spark, "records"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
+    lines = views.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", k.alias("k")).distinct()
+    node = lambda letter, below: F.concat(F.lit(f'{{"id":"{letter}'), "k", F.lit('"'), below, F.lit("}"))
+    inner = F.lit("")
+    for letter, every in (("m", 8), ("b", 4), ("p", 2)):
+        inner = F.when(F.col("l_partkey") % every == 0, F.concat(F.lit(',"categories":['), node(letter, inner), F.lit("]"))).otherwise(F.lit(""))
+    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list(node("l", inner)), ",").alias("below"))
+    writers.write_lines(orders.select(F.concat(F.lit('{"categories":[{"id":"o'), "l_orderkey", F.lit('","categories":['), "below", F.lit("]}]}")).alias("value")), path)
+    return vn.flatten_records(spark.read.text(path), "value")
+
+
+@query("select event_id as id, event_id % 1000 as followers, cast(null as varchar) as missing, case when event_id % 5 <> 1 then 'p' || (event_id % 7) end as place from events")
+def record_lookup(spark, d):
+    """Fields of raw posts by their paths, without a schema."""
+    path = _folder(spark, "variants")
+    writers.back_up(views.raw_posts(spark, d), path)
+    raw = spark.read.text(path).select(F.try_parse_json("value").alias("r"))
+    return raw.select(paths.in_record("r", "id", "long").alias("id"), paths.in_record("r", "user.followers_count", "long").alias("followers"), paths.in_record("r", "user.nothing.here").alias("missing"), paths.in_record("r", "place_id", joint="_").alias("place"))
+
+
 # Feature tables and graphs
 
 
