@@ -14,7 +14,7 @@ from terravane.operators import radius_join as rj
 from terravane.operators import venues as vn
 from terravane.plans import catalog, views
 from terravane.plans.catalog import ORACLES, query
-from terravane.sources import readers, settings, shared, writers
+from terravane.sources import docstore, readers, settings, shared, writers
 from terravane.streaming import counters
 from terravane.streaming import posts as stream
 
@@ -306,6 +306,15 @@ def saved_documents(spark, d):
     return writers.saved(spark, path).select("user_id", "event_id", "event_type", "value")
 
 
+@query(f"select * from ({ORACLES['last_write']}) x where user_id in (1, 2, 3, 5, 8, 13, 21, 34) and event_id > 100")
+def store_scan(spark, d):
+    """Some users' documents from the store by its own source, which takes the filters over."""
+    path = _folder(spark, "scanned")
+    writers.save_documents(spark, views.table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), path, "user_id", "event_id")
+    docstore.register(spark)
+    return spark.read.format("terravane_store").option("path", path).load().where(F.col("user_id").isin(1, 2, 3, 5, 8, 13, 21, 34) & (F.col("event_id") > 100))
+
+
 @query("select user_id, cast(day(ts) as int) as day, count(*) as n from events where date_trunc('month', ts) = timestamp '2024-01-01 00:00:00' group by 1, 2")
 def timeseries_saved(spark, d):
     """Counts of a month, saved in two parts of the rows; zeros stand for days without any."""

@@ -132,7 +132,7 @@ def save(spark: SparkSession, new: DataFrame, path: str, key: str, merge: Callab
         if done and set(now.columns) < {f["name"] for f in body["schema"]["fields"]}:
             raise ValueError("a merge must keep the columns of the table")
         streams = body["streams"] | ({stream: batch} if stream is not None else {})
-        next_ = {"version": body["version"] + 1, "buckets": body["buckets"], "schema": schema, "files": kept | {str(b): own for b, own in made.items()}, "streams": streams}
+        next_ = {"version": body["version"] + 1, "buckets": body["buckets"], "key": key, "schema": schema, "files": kept | {str(b): own for b, own in made.items()}, "streams": streams}
         if _commit(path, next_):
             return next_["version"]
     raise Conflict(f"{ATTEMPTS} other saves came first under {path}")
