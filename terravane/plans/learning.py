@@ -45,7 +45,7 @@ def _round(spark, d) -> tuple[DataFrame, dict]:
     return boosting.first_round(docs, pairs, borders), borders
 
 
-@query(f"with {_BINS} select feature, bin_i, bin_j, round(g, 9) as g, round(h, 9) as h from h")
+@query(f"with {_BINS} select feature, bin_i::int as bin_i, bin_j::int as bin_j, round(g, 9) as g, round(h, 9) as h from h")
 def gradient_histogram(spark, d):
     """Sums of gradients over the pairs of all orders, by the bins of both documents."""
     rows, _ = _round(spark, d)
