@@ -9,7 +9,7 @@ are taken. The few rows of each block get their exact scores, and the blocks' be
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, and neither does a row whose
 id is null; a shorter vector counts as padded with zeros; rows with the query's id are not its candidates; repeated
-query ids count once, with their smallest vector; other repeated rows each count; an empty table gives no rows.
+query ids count once, with their smallest vector; other repeated rows each count; an empty table gives no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder URI that the driver and every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset (local tests) is a temporary
-    folder of this machine made and set.
+    It lies under ``spark.checkpoint.dir``; where that is unset a local session gets a temporary
+    folder of this machine, and a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if "base" not in _LOCAL:
             _LOCAL["base"] = "file://" + tempfile.mkdtemp(prefix="terravane-")
             spark.sparkContext.setCheckpointDir(_LOCAL["base"])

@@ -14,7 +14,7 @@ which its prefix ends, and only that slice is put in order. Every step is a Data
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined cases: null and empty texts have no tokens, and come with every whole
 epoch and every prefix before its end; null domains, languages and sources are values of their own; repeated rows count
 each; a leaf without weight, or with weight 0, gets nothing (weights that are not named are 1); with no tokens at all
-nothing is selected; an empty table gives no rows.
+nothing is selected; an empty table gives no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
