@@ -9,8 +9,9 @@ document frequencies come from there, and so do the vectors to be scored. One ta
 arrays as they stand.
 
 Each example is kept with its whole TF-IDF vector in a block-max inverted index: examples with like vectors stand together in
-blocks of ``BLOCK``; a feature's list has the largest weight in each block beside the weights themselves. The sum of these
-largest weights bounds every cosine in a block. For a batch of documents the blocks with the highest bounds are summed up
+blocks of ``BLOCK``. Frequent features have full lists, with a slot for every example and the largest weight of each block beside them. Lists of rare features are
+short, so they are added up for all their examples first; the best of such sums in a block and the largest weights of the full lists there bound
+every cosine in the block. For a batch of documents the blocks with the highest bounds are summed up
 first; then only those blocks whose bound reaches the k-th best cosine found so far. Weights of examples are stored in single
 precision; cosines that can be among the k largest are added up in double precision, so the neighbours are exact. They vote with their
 cosines as weights; a monotone function, fitted on the examples' own votes, turns the vote into the share of toxic rows.
@@ -48,13 +49,14 @@ FIT_ROWS = 10_000
 NEIGHBOURS = 15
 #: So many of the nearest are returned as evidence.
 EVIDENCE = 10
-#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, those by which examples are ordered, documents searched at once, chunks remembered.
+#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, those by which examples are ordered, documents searched at once, chunks and texts remembered.
 BLOCK = 64
 FIRST = 4
 FULL_LISTS = 2048
 COMPARED = 256
 TOGETHER = 128
 MEMO = 200_000
+SEEN = 8000
 BEGINNINGS = (4, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -277,6 +279,7 @@ class Neighbours:
     ids: list[int] = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
     digests: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    seen: dict[int, list[tuple[float, int]]] = field(default_factory=dict)
 
     def weigh(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[features]
@@ -381,45 +384,37 @@ class Neighbours:
 
     def _search(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in docs]
-        wide, own = np.zeros((len(docs), self.full.shape[1]), np.float32), []
-        for row, (f, _), q in zip(wide, docs, queries, strict=True):
+        size = self.blocks * BLOCK
+        wide, rest = np.zeros((len(docs), self.full.shape[1]), np.float32), np.zeros((len(docs), size))
+        for row, other, (f, _), q in zip(wide, rest, docs, queries, strict=True):
             column = self.column[f]
             row[column[column >= 0]] = q[column >= 0]
-            length = self.entries[f]
-            own.append((_ranges(self.entry[f], length), np.repeat(q, length)))
-        bounds = wide @ self.full_most.T
-        for row, (at, q) in zip(bounds, own, strict=True):
-            row += np.bincount(self.block[at], q * self.most[at], minlength=self.blocks)
-        bounds = bounds * np.float32(1 + 1e-4)
+            rare = self.entries[f] > 0
+            f, q = f[rare], q[rare]
+            first, last = self.entry[f], self.entry[f] + self.entries[f] - 1
+            length = self.posting[last].astype(np.int64) + self.postings[last] - self.posting[first]
+            places = _ranges(self.posting[first].astype(np.int64), length)
+            other += np.bincount(self.example[places], np.repeat(q, length) * self.weight[places], minlength=size)
+        # Rare features are added up for all their examples, which are few; the best of a block and the largest weights of the full lists bound it.
+        bounds = (wide @ self.full_most.T + rest.reshape(len(docs), self.blocks, BLOCK).max(axis=2)).astype(np.float32) * np.float32(1 + 1e-4)
         bounds[bounds > 0] += np.float32(1e-4)  # whatever single precision may lose
-        size = self.blocks * BLOCK
-        sums, rest = np.zeros((len(docs), size), np.float32), np.zeros((len(docs), size))
+        sums = np.zeros((len(docs), size), np.float32)
         some = min(FIRST + -(-k // BLOCK), self.blocks)
         done = np.zeros(bounds.shape, bool)
         np.put_along_axis(done, np.argpartition(-bounds, some - 1, axis=1)[:, :some], True, axis=1)
-        self._add(sums, rest, wide, own, done)
+        self._add(sums, rest, wide, done)
         found = sums.reshape(len(docs), self.blocks, BLOCK)[done].reshape(len(docs), -1)
         n = min(k, found.shape[1])
         least = np.maximum(np.partition(found, found.shape[1] - n, axis=1)[:, found.shape[1] - n] - 2e-4, 0)
-        self._add(sums, rest, wide, own, (bounds > least[:, None]) & ~done)
+        self._add(sums, rest, wide, (bounds > least[:, None]) & ~done)
         return [self._best(*x, k) for x in zip(docs, queries, sums[:, : len(self.ids)], rest, least, strict=True)]
 
-    def _add(self, sums: np.ndarray, rest: np.ndarray, wide: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> None:
+    def _add(self, sums: np.ndarray, rest: np.ndarray, wide: np.ndarray, chosen: np.ndarray) -> None:
         """Adds up the cosines of the chosen blocks; ``rest`` is the part that does not come from full lists."""
         for b in np.flatnonzero(chosen.any(axis=0)).tolist():
             rows, part = np.flatnonzero(chosen[:, b]), self.full[b * BLOCK : (b + 1) * BLOCK]
-            if 2 * len(rows) > len(wide):
-                sums[rows, b * BLOCK : b * BLOCK + len(part)] = (wide @ part.T)[rows]
-            else:
-                sums[rows, b * BLOCK : b * BLOCK + len(part)] = wide[rows] @ part.T
-        for row, other, flags, (at, q) in zip(sums, rest, chosen, own, strict=True):
-            here = np.flatnonzero(flags[self.block[at]])
-            entries = at[here]
-            length = self.postings[entries]
-            places = _ranges(self.posting[entries], length)
-            found = np.bincount(self.example[places], np.repeat(q[here], length) * self.weight[places], minlength=len(row))
-            other += found
-            row += found
+            at = slice(b * BLOCK, b * BLOCK + len(part))
+            sums[rows, at] = ((wide @ part.T)[rows] if 2 * len(rows) > len(wide) else wide[rows] @ part.T) + rest[rows, at]
 
     def _best(self, doc: tuple[np.ndarray, np.ndarray], q: np.ndarray, sums: np.ndarray, rest: np.ndarray, least: float, k: int) -> list[tuple[float, int]]:
         near = np.flatnonzero((sums > 0) & (sums >= least))  # a sum is over 0 where any feature is shared, as no weight is under 0
@@ -464,8 +459,12 @@ class Model:
 
     def _voted(self, index: Neighbours, docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and neighbours of feature counts with digests; called in tasks."""
-        for near in index.nearest_others(docs, max(self.k, EVIDENCE)):
-            yield self.share(index.vote(near[: self.k])), near
+        if len(index.seen) > SEEN:
+            index.seen.clear()
+        new = {d[2]: d for d in docs if d[2] not in index.seen}
+        index.seen.update(zip(new, index.nearest_others(list(new.values()), max(self.k, EVIDENCE)), strict=True))
+        for _, _, own in docs:  # copies are looked for once
+            yield self.share(index.vote(index.seen[own][: self.k])), index.seen[own]
 
     def score_bodies(self, bodies: list[bytes]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Of feature counts as they are stored."""
