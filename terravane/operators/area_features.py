@@ -1,7 +1,8 @@
 """Counts over the areas around query points: posts by time of day and source, and venues.
 
-Areas without a post or venue are in the result, with zeros. Distinct users are exact: rows are first counted for each
-(area, user), with map-side sums, and the second aggregation counts users, so no row is expanded for 35 distinct counts.
+Areas without a post or venue are in the result, with zeros. Distinct users are exact: they are counted in each
+block of the grid, where an area has all its points (``blocks``), so no row is made for a pair of a query and a post. Tables whose query keys repeat, or whose
+users aren't whole numbers, take the join instead: rows are counted for each (area, user), with map-side sums, and a second aggregation counts users.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import posts, times
+from terravane.operators import blocks
 from terravane.operators.radius_join import radius_join
 
 #: Profile A and B name a feature and its distinct users differently.
@@ -41,8 +43,15 @@ def _with_empty(queries: DataFrame, counted: DataFrame, key: str) -> DataFrame:
 
 def area_counts(queries: DataFrame, points: DataFrame, max_radius_km: float, key: str = "query_idx", user: str = "user_id", strategy: str = "cell") -> DataFrame:
     """Posts and distinct users of each area."""
-    near = radius_join(queries, points, max_radius_km, strategy)
-    return _with_empty(queries, counts_with_users(near, [key], user, {"n": F.lit(True)}, {"n": "users"}), key)
+    return _counts(queries, points, max_radius_km, key, user, {"n": F.lit(True)}, {"n": "users"}, strategy)
+
+
+def _counts(queries: DataFrame, points: DataFrame, max_radius_km: float, key: str, user: str, filters: Mapping[str, Column], unique: Mapping[str, str], strategy: str = "cell") -> DataFrame:
+    longest, by_key = blocks.longest_radius(queries, key)
+    if strategy != "cell" or not by_key or points.schema[user].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return _with_empty(queries, counts_with_users(radius_join(queries, points, max_radius_km, strategy), [key], user, filters, unique), key)
+    found = blocks.totals(queries, points, longest or max_radius_km, key, dict(filters), user)
+    return _with_empty(queries, found.select(key, *[c for n in filters for c in (n, F.col(f"_u_{n}").alias(unique[n]))]), key)
 
 
 def area_features(queries: DataFrame, points: DataFrame, max_radius_km: float, profile: Mapping[str, tuple[int, int]] = times.PROFILE_A, names: tuple[str, str] = NAMES_A, key: str = "query_idx", user: str = "user_id", ts: str = "ts", source: str = "source") -> DataFrame:
@@ -50,8 +59,7 @@ def area_features(queries: DataFrame, points: DataFrame, max_radius_km: float, p
     filters = feature_filters(F.col(ts), F.col(source), profile)
     count = {names[0].format(*k): c for k, c in filters.items()}
     unique = {names[0].format(*k): names[1].format(*k) for k in filters}
-    near = radius_join(queries, points.select(user, ts, source, "lat", "lon"), max_radius_km)
-    return _with_empty(queries, counts_with_users(near, [key], user, count, unique), key)
+    return _counts(queries, points.select(user, ts, source, "lat", "lon"), max_radius_km, key, user, count, unique)
 
 
 def venue_features(queries: DataFrame, venues: DataFrame, max_radius_km: float, categories: Mapping[str, str], key: str = "query_idx", created: str = "created", seen: str = "seen", of: str = "categories") -> DataFrame:
@@ -61,10 +69,15 @@ def venue_features(queries: DataFrame, venues: DataFrame, max_radius_km: float,
     nothing to the sum and counts as a venue.
     """
     age = F.expr(f"(unix_millis(cast({seen} as timestamp)) - unix_millis(cast({created} as timestamp))) div 1000")
-    near = radius_join(queries, venues, max_radius_km)
-    mean = F.expr("coalesce(sum(_age), 0) div (count(1) * 86400)").alias("mean")
-    counted = near.withColumn("_age", age).groupBy(key).agg(mean, *[F.count_if(F.array_contains(of, c)).alias(n) for n, c in categories.items()])
-    return _with_empty(queries, counted, key)
+    mean = F.expr("coalesce(_sum, 0) div (_every * 86400)").alias("mean")
+    count = {n: F.array_contains(of, c) for n, c in categories.items()}
+    longest, by_key = blocks.longest_radius(queries, key)
+    if by_key:
+        found = blocks.totals(queries, venues, longest or max_radius_km, key, count, add=age)
+    else:
+        near = radius_join(queries, venues, max_radius_km).withColumn("_age", age)
+        found = near.groupBy(key).agg(F.sum("_age").alias("_sum"), F.count(F.lit(1)).alias("_every"), *[F.count_if(c).alias(n) for n, c in count.items()])
+    return _with_empty(queries, found.where(F.col("_every") > 0).select(key, mean, *count), key)
 
 
 #: Categories counted by default.
