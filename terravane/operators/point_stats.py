@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
 from terravane.functions import geo
+from terravane.operators import blocks
 from terravane.operators.radius_join import radius_join
 from terravane.sources import shared
 
@@ -75,7 +76,11 @@ def post_filter(ts: Column, start, end, followers: Column | None = None, thresho
 
 def nearby_count(queries: DataFrame, points: DataFrame, max_radius_km: float, key: str = "query_idx") -> DataFrame:
     """(key, n): points within each query's radius, 0 included."""
-    n = radius_join(queries, points.select("lat", "lon"), max_radius_km).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    longest, by_key = blocks.longest_radius(queries, key)
+    if by_key:
+        n = blocks.totals(queries, points, longest or max_radius_km, key, {}).select(key, F.col("_every").alias("n"))
+    else:
+        n = radius_join(queries, points.select("lat", "lon"), max_radius_km).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return queries.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -98,14 +103,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, max_radius_km: float,
     """(query, columns of points, km, rank): the k points nearest to each query within the radius, nearest first; equal distances by ``tie``.
 
     The search goes in rings: circles of ``first_km``, then of twice that. A query that has k points in its circle is done, as no point
-    outside is nearer; only the others are asked again. Ranks are limited before they are shuffled, so a crowded place sends k points from each task.
+    outside is nearer; only the others are asked again. A part of a block (``blocks``) gives the k points nearest to a query and those that rounding may put before
+    them, so a crowded place sends few, and exact distances rank these.
     """
     home, done = shared.work_dir(queries.sparkSession, "nearest"), []
     open_ = queries.select(key, "qlat", "qlon")
     radius = min(first_km or max_radius_km / 16, max_radius_km)
     km = geo.distance_km(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))
     while True:
-        met = radius_join(open_.withColumn("radius", F.lit(float(radius))), points, radius).withColumn("km", km)
+        met = blocks.nearest_candidates(open_, points, k, radius, key).withColumn("km", km)
         order = Window.partitionBy(key).orderBy("km", tie)
         found = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, *points.columns, "km", "rank")
         found = shared.stored(found, f"{home}/{len(done)}")
