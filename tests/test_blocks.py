@@ -50,3 +50,32 @@ def test_no_pair_is_joined(spark, sf_dir, name, monkeypatch):
     for module in (area_features, point_stats):
         monkeypatch.setattr(module, "radius_join", None)
     assert catalog.QUERIES[name](spark, sf_dir).columns
+
+
+@pytest.mark.parametrize("name", ["near_ids", "search_file_join"])
+def test_lists_are_made_without_joining_pairs(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(rj, "radius_join", None)
+    assert catalog.QUERIES[name](spark, sf_dir).columns
+
+
+def test_a_search_file_in_several_files(spark, tmp_path):
+    """A scan takes large files first, so the order of lines is that of names and places."""
+    from terravane.sources import readers
+
+    (tmp_path / "part-0.txt").write_text("3\n7 1.0 2.0\n")
+    (tmp_path / "part-1.txt").write_text("8 1.0 2.001\n9 5.0 6.0\n\n1\n0.5\n")
+    (tmp_path / "part-2.txt").write_text("1.0 2.0\n")
+    points, queries = readers.read_search(spark, str(tmp_path))
+    assert sorted(r["id"] for r in points.collect()) == [7, 8, 9] and [tuple(r) for r in queries.collect()] == [(0, 1.0, 2.0, 0.5)]
+
+
+def test_queries_of_joins_have_no_nested_loop(spark, sf_dir):
+    plan = catalog.QUERIES["radius_join_nested"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("place", [{}, {"lat": (89.0, 90.0), "lon": (-180, 180), "radius": 60.0}, {"lat": (-80, 80), "lon": (-180, 180), "radius": 2500.0}])
+def test_blocks_are_joined_like_all_pairs(spark, place):
+    q, p = tables(spark, **place)
+    found, want = (sorted(map(tuple, rj.radius_join(q, p, place.get("radius", 2.0), s).select("query_idx", "id").collect())) for s in ("blocks", "nested"))
+    assert found == want and want
