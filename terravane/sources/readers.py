@@ -69,14 +69,13 @@ def places_of(nodes: DataFrame) -> DataFrame:
 def with_category_ids(places: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """``places`` with categories_ids from ``ids`` (name, fullCategory), null where a name is missing; quotes in names are dropped.
 
-    A place has a few dozen categories at most, so its list is bounded; the lookup is a join, which Spark broadcasts if the
-    table is small.
+    Lists of names are looked up once each, whatever number of places has them; both joins are broadcast by Spark if what they look up is small.
     """
     table = ids.select(F.translate("name", '"', "").alias("_name"), "fullCategory").groupBy("_name").agg(F.min("fullCategory").alias("_id"))
-    each = places.select(F.col(key).alias("_key"), F.col("categories_names").alias("_names"), F.posexplode("categories_names").alias("_pos", "_name")).distinct()
-    found = each.join(table, "_name", "left").groupBy("_key", "_names").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda x: x["_id"]).alias("_ids"))
-    joined = places.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("categories_names") == F.col("_names")), "left")
-    return joined.withColumn("categories_ids", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_key", "_names", "_ids")
+    lists = places.select(F.col("categories_names").alias("_names")).distinct()
+    found = lists.select("_names", F.posexplode("_names").alias("_pos", "_name")).join(table, "_name", "left").groupBy("_names").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda x: x["_id"]).alias("_ids"))
+    joined = places.join(found, F.col("categories_names") == F.col("_names"), "left")
+    return joined.withColumn("categories_ids", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_names", "_ids")
 
 
 def coordinates_of(table: DataFrame) -> DataFrame:
