@@ -79,3 +79,18 @@ def test_blocks_are_joined_like_all_pairs(spark, place):
     q, p = tables(spark, **place)
     found, want = (sorted(map(tuple, rj.radius_join(q, p, place.get("radius", 2.0), s).select("query_idx", "id").collect())) for s in ("blocks", "nested"))
     assert found == want and want
+
+
+def test_pairs_of_blocks_are_those_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_PAIRS", 20_000)
+    q, p = tables(spark)
+    assert sorted(map(tuple, blocks.id_pairs(q, p, 2.0).collect())) == sorted(map(tuple, rj.radius_join(q, p, 2.0, "nested").select("query_idx", "id").collect()))
+
+
+def test_lists_of_names_are_looked_up_once(spark):
+    from terravane.sources import readers
+
+    places = spark.createDataFrame([(i, ["Bar", "Cafe"] if i % 2 else ["Park"]) for i in range(50)] + [(50, []), (51, None)], "id long, categories_names array<string>")
+    out = readers.with_category_ids(places, spark.createDataFrame([('"Bar"', "b"), ("Park", "p")], "name string, fullCategory string"))
+    assert out.count() == 52 and {tuple(r["categories_ids"]) for r in out.collect()} == {("b", None), ("p",), ()}
+    assert "_key" not in out._jdf.queryExecution().toString()
