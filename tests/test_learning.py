@@ -113,3 +113,19 @@ def test_work_folders_go(spark, three):
     import glob
 
     assert not glob.glob(f"{base}/terravane/boosting-*")
+
+
+def test_long_lists_are_counted_without_pairs(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(q, d, [float(draw.integers(0, 9)), float(draw.integers(0, 5)), None if d == 3 else float(draw.random())], None if d == 7 else float(draw.integers(0, 40))) for q, n in ((1, 90), (2, 12), (3, 70)) for d in range(n)]
+    docs = spark.createDataFrame(rows, "query_id long, doc_id long, features array<double>, target double")
+    settings = boosting.Settings(iterations=3, step=0.3, depth=2, levels=4)
+    want = boosting.fit(docs, settings)
+    for name, value in (("LARGE_LIST", 50), ("LIST_TILES", 3), ("LIST_PART", 30)):
+        monkeypatch.setattr(boosting, name, value)
+    asked = []
+    monkeypatch.setattr(boosting.ranking, "pair_weights", lambda own, *rest, real=boosting.ranking.pair_weights: asked.append(own.count()) or real(own, *rest))
+    found = boosting.fit(docs, settings)
+    assert asked == [12]
+    for a, b in zip(want.trees, found.trees, strict=True):
+        assert (a.features, a.thresholds) == (b.features, b.thresholds) and np.allclose(a.leaves, b.leaves)
