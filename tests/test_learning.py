@@ -129,3 +129,12 @@ def test_long_lists_are_counted_without_pairs(spark, monkeypatch):
     assert asked == [12]
     for a, b in zip(want.trees, found.trees, strict=True):
         assert (a.features, a.thresholds) == (b.features, b.thresholds) and np.allclose(a.leaves, b.leaves)
+
+
+@pytest.mark.parametrize("weights", ["equal", "rank", "ndcg"])
+def test_pairs_bring_their_bins_without_further_joins(spark, three, weights):
+    borders = boosting.model_borders(three, 4)
+    lists = three.withColumn("_list", F.struct("model", "query_id"))
+    pairs = boosting.ranking.pair_weights(lists, weights, "_list").select("_list.*", "i", "j", "w")
+    got, want = (sorted((*r[:4], round(r["w"], 12), r["bins_i"], r["bins_j"]) for r in df.select("model", "query_id", "i", "j", "w", "bins_i", "bins_j").collect()) for df in (boosting.weighted_pairs(three, borders, weights), boosting._pairs_in_bins(three, pairs, borders, "query_id", "doc_id")))
+    assert got == want and want
