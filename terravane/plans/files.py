@@ -417,13 +417,23 @@ def stream_closed_weeks(spark, d):
     return spark.read.schema("user_id long, period string, day int, n long").parquet(f"{home}/weeks")
 
 
+#: Posts of which each part of ``stream_saved_twice`` has a packed file, as one task reads such a file.
+PACKED = 100_000
+
+
+def _files_of(rows: int) -> int:
+    """How many files a part has, so that files are bounded and batches are as many for a large table."""
+    return max(1, -(-rows // PACKED))
+
+
 @query(f"select event_id as id, {catalog._CLIENT} as source from events where {_PLACED}")
 def stream_saved_twice(spark, d):
     """Every post comes twice, in parts of other sizes and in another order, by two streams into one table."""
     home, source = _folder(spark, "stream-twice"), _folder(spark, "stream-twice-in")
     raw = views.raw_posts(spark, d)
+    files = _files_of(raw.count())
     for k, (parts, order) in enumerate(((3, F.col("id")), (2, F.desc("id")))):
-        writers.back_up(raw.repartitionByRange(parts, order), f"{source}/{k}")
-        located = stream.located(stream.raw_stream(spark, f"{source}/{k}", 1 + k), EVERYWHERE)
+        writers.back_up(raw.repartitionByRange(parts * files, order), f"{source}/{k}")
+        located = stream.located(stream.raw_stream(spark, f"{source}/{k}", (1 + k) * files), EVERYWHERE)
         stream.save(located, f"{home}/store", f"{home}/checkpoint-{k}").awaitTermination()
     return writers.saved(spark, f"{home}/store").select(F.col("_id").alias("id"), "source")
