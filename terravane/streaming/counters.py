@@ -1,8 +1,8 @@
 """Day counters of venues or users as keyed state of a stream.
 
-Each id has a map from (period, day) to a count. The first record of an id in a period sets a timer for the period's end; when the
-watermark passes it, the period is closed: one row with a count for every day, zeros where there was nothing, and the state of the period is
-dropped. So results come in append mode, once for each id and period, and state is as large as the periods that are open.
+Each id has one value with the counts of its open (period, day), and a timer for the earliest end of these periods; when the
+watermark passes it, all periods that have ended are closed: one row for every day, zeros where there was nothing, and their state is
+dropped; the next end sets the timer. So results come in append mode, once for each id and period, and state is as large as the periods that are open.
 
 Records are counted by id and day within each part of a micro-batch before they are shuffled, so an id with a third of all records sends
 one row for each part and day. Records older than the watermark are dropped, as in any stream;
@@ -33,36 +33,49 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class _Closing(StatefulProcessor):
-    """Counts days and gives a period when it is closed."""
+    """Counts days and gives a period when it is closed.
+
+    Every call of the state is a message to the JVM, so an id has one value, read and written once in a batch, and one timer, that of its earliest end.
+    """
 
     def __init__(self, key: str, first: int, last: int):
         self.key, self.first, self.last = key, first, last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "ends long, period string, day int", "n long")
+        self.counts = handle.getValueState("open", "ends array<long>, period array<string>, day array<int>, n array<long>")
+
+    def _open(self) -> dict[tuple[int, str, int], int]:
+        """The count of each (end, period, day) that is open."""
+        value = self.counts.get()
+        return {at: n for *at_, n in zip(*value, strict=True) for at in [tuple(at_)]} if value else {}
+
+    def _keep(self, counts: dict[tuple[int, str, int], int]) -> None:
+        if counts:
+            self.counts.update((*(list(x) for x in zip(*counts, strict=True)), list(counts.values())))
+            self.handle.registerTimer(min(end for end, _, _ in counts))
+        else:
+            self.counts.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ends = set()
+        counts = self._open()
         for part in rows:
-            for end, period, day, n in part[["ends", "period", "day", "n"]].itertuples(index=False):
-                at = (int(end), period, int(day))
-                before = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
-                self.counts.updateValue(at, (before + int(n),))
-                ends.add(int(end))
-        for end in ends:
-            self.handle.registerTimer(end)
+            for end, period, day, n in zip(*(part[c].tolist() for c in ("ends", "period", "day", "n")), strict=True):
+                counts[end, period, day] = counts.get((end, period, day), 0) + n
+        self._keep(counts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        end, found = expiredTimerInfo.getExpiryTimeInMs(), {}
-        for at, n in list(self.counts.iterator()):
-            if at[0] == end:
-                found.setdefault(at[1], {})[at[2]] = n[0]
-                self.counts.removeKey(at)
-        for period, own in found.items():
-            days = list(range(self.first, self.last + 1))
-            yield pd.DataFrame({self.key: [key[0]] * len(days), "period": [period] * len(days), "day": days, "n": [own.get(d, 0) for d in days]})
+        upto, counts, found = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._open(), {}
+        for (end, period, day), n in counts.items():
+            if end <= upto:
+                found.setdefault((end, period), {})[day] = n
+        if not found:  # closed with an earlier end
+            return
+        self._keep({at: n for at, n in counts.items() if at[0] > upto})
+        days = list(range(self.first, self.last + 1))
+        closed = [(period, day, own.get(day, 0)) for (_, period), own in sorted(found.items()) for day in days]
+        yield pd.DataFrame({self.key: [key[0]] * len(closed), "period": [c[0] for c in closed], "day": [c[1] for c in closed], "n": [c[2] for c in closed]})
 
     def close(self) -> None:
         pass
