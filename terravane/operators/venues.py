@@ -9,6 +9,8 @@ from terravane.sources import shared
 
 #: Ends a path whose category is not in the tree.
 UNKNOWN = "?"
+#: Levels of nested records that are opened in one pass.
+LEVELS = 8
 
 
 def flatten_tree(tree: DataFrame, children: str = "categories", levels: int | None = None) -> DataFrame:
@@ -31,21 +33,31 @@ def flatten_tree(tree: DataFrame, children: str = "categories", levels: int | No
 def flatten_records(trees: DataFrame, column: str, children: str = "categories", name: str = "id", max_depth: int = 100) -> DataFrame:
     """(id, parent_id, depth) of nested records whose schema nobody knows: ``column`` is a VARIANT, or JSON text, with a list of children at any depth.
 
-    A level is read from the stored level above it, so the records are read once, and levels go on while there are children: branches may be
-    of different depth, and records may lack an id (null) or have other fields. The top has null parents. Text that isn't JSON has no records.
+    A pass opens ``LEVELS`` levels and stores their rows, with the records of the last level that have children still, from which the next pass
+    goes on; so the records are read once, and what lies below a row is stored once in so many levels. Branches may be of different depth, and
+    records may lack an id (null) or have other fields. The top has null parents. Text that isn't JSON has no records.
     """
     home = shared.work_dir(trees.sparkSession, "records")
     own = F.col(column) if trees.schema[column].dataType.simpleString() == "variant" else F.try_parse_json(F.col(column).cast("string"))
-    level = trees.select(own.alias("_r"), F.lit(None).cast("string").alias("parent_id"))
-    out = None
-    for depth in range(max_depth):
-        level = level.select(F.explode(F.try_variant_get("_r", f"$.{children}", "array<variant>")).alias("_r"), "parent_id")
-        level = shared.stored(level.select("_r", F.try_variant_get("_r", f"$.{name}", "string").alias("id"), "parent_id").where(~F.is_variant_null("_r")), f"{home}/{depth}")
-        if level.isEmpty():
-            return out if out is not None else level.select("id", "parent_id", F.lit(0).alias("depth"))
-        found = level.select("id", "parent_id", F.lit(depth).alias("depth"))
+    below, none = F.try_variant_get("_r", f"$.{children}", "array<variant>"), F.lit(None).cast("variant")
+    left = trees.select(own.alias("_r"), F.lit(None).cast("string").alias("id"))
+    out, depth = None, 0
+    while depth < max_depth:
+        rows = left.select(F.explode(below).alias("_r"), F.col("id").alias("parent_id")).where(~F.is_variant_null("_r"))
+        rows = rows.select("_r", F.try_variant_get("_r", f"$.{name}", "string").alias("id"), "parent_id", F.lit(depth).alias("depth"))
+        last = min(depth + LEVELS, max_depth) - 1
+        for _ in range(depth, last):  # a row itself, which is done then, and what lies below it
+            rows = rows.select("id", "parent_id", "depth", F.posexplode(F.concat(F.array(none), F.coalesce(below, F.array().cast("array<variant>")))).alias("_at", "_r"))
+            done = F.col("_at") == 0
+            rows = rows.where(done | ~F.is_variant_null("_r")).select("_r", F.when(done, F.col("id")).otherwise(F.try_variant_get("_r", f"$.{name}", "string")).alias("id"), F.when(done, F.col("parent_id")).otherwise(F.col("id")).alias("parent_id"), (F.col("depth") + F.when(done, 0).otherwise(1)).alias("depth"))
+        rows = shared.stored(rows.select("id", "parent_id", "depth", F.when(F.size(below) > 0, F.col("_r")).alias("_r")), f"{home}/{depth}")
+        found = rows.select("id", "parent_id", "depth")
         out = found if out is None else out.unionByName(found)
-        level = level.select("_r", F.col("id").alias("parent_id"))
+        left, depth = rows.where(F.col("_r").isNotNull()).select("_r", "id"), last + 1
+        if depth < max_depth and left.isEmpty():
+            return out
+    if rows.where(F.col("depth") == max_depth - 1).isEmpty():
+        return out
     raise ValueError(f"records are nested more than {max_depth} deep")
 
 

@@ -160,12 +160,12 @@ union all select 'b' || key, 'p' || key, 3 from k where p % 4 = 0 union all sele
 def record_tree(spark, d):
     """Trees of five uneven levels from JSON lines whose schema is never stated: orders, lines, and below them as far as the part number says."""
     path, k = _folder(spark, "records"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
-    lines = views.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", k.alias("k")).distinct()
+    lines = views.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", k.alias("k"))
     node = lambda letter, below: F.concat(F.lit(f'{{"id":"{letter}'), "k", F.lit('"'), below, F.lit("}"))
     inner = F.lit("")
     for letter, every in (("m", 8), ("b", 4), ("p", 2)):
         inner = F.when(F.col("l_partkey") % every == 0, F.concat(F.lit(',"categories":['), node(letter, inner), F.lit("]"))).otherwise(F.lit(""))
-    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list(node("l", inner)), ",").alias("below"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_set(node("l", inner)), ",").alias("below"))
     writers.write_lines(orders.select(F.concat(F.lit('{"categories":[{"id":"o'), "l_orderkey", F.lit('","categories":['), "below", F.lit("]}]}")).alias("value")), path)
     return vn.flatten_records(spark.read.text(path), "value")
 
