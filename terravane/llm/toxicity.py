@@ -3,15 +3,16 @@
 Fitting takes a sample of at most ``FIT_ROWS`` labelled training rows, those with the smallest hashes of their ids (a bounded sample, so what is
 fitted can be held by every task; the driver holds the features' names and frequencies only). All of them are examples; each
 also calibrates, with its neighbours among the others. A document's own text is never among its neighbours, neither when it calibrates nor when it is
-scored: examples whose text has the same digest are left out, so a row's own label is no input of its score. Features are words and word beginnings of 4 and 6 letters: all that
+scored: examples whose text has the same digest are left out of the sums, so a row's own label is no input of its score. Features are words and word beginnings of 4 and 6 letters: all that
 any example has, whatever its label and however rare. Texts are read once: the feature counts of all documents are stored, their
 document frequencies come from there, and so do the vectors to be scored. One task builds the index of the sample; the others load its
 arrays as they stand.
 
 Each example is kept with its whole TF-IDF vector in a block-max inverted index: examples with like vectors stand together in
-blocks of ``BLOCK``; a feature's list has the largest weight in each block beside the weights themselves. The sum of these
-largest weights bounds every cosine in a block. For a batch of documents the blocks with the highest bounds are summed up
-first; then only those blocks whose bound reaches the k-th best cosine found so far. Weights of examples are stored in single
+blocks of ``BLOCK`` and sections of ``SECTION``. Each section has full lists of the features that most of its own examples have, with the largest weight in
+each block beside the weights themselves, so texts of one language meet full lists of their language; all else is postings. What postings give to a cosine is added up first, for every example;
+with it the sums of the largest weights bound every cosine in a block. For a batch of documents the full lists of the section with the highest bound are multiplied
+first; then only those blocks whose bound reaches the k-th best cosine found there. Weights of examples are stored in single
 precision; cosines that can be among the k largest are added up in double precision, so the neighbours are exact. They vote with their
 cosines as weights; a monotone function, fitted on the examples' own votes, turns the vote into the share of toxic rows.
 The number of neighbours is ``NEIGHBOURS``, or where there are few toxic examples a quarter of their number, and 3 at least: more
@@ -30,10 +31,10 @@ import io
 import hashlib
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,17 @@ FIT_ROWS = 10_000
 NEIGHBOURS = 15
 #: So many of the nearest are returned as evidence.
 EVIDENCE = 10
-#: Working sizes, without effect on results: examples in a block, blocks summed up first, lists with a slot for every example, those by which examples are ordered, documents searched at once, chunks remembered.
+#: Working sizes, without effect on results: examples in a block, examples in a section, blocks multiplied at once, lists of a section with a slot for each of its examples, those by which examples are ordered, documents searched at once.
 BLOCK = 64
-FIRST = 4
-FULL_LISTS = 2048
+SECTION = 20 * BLOCK
+STRIP = 5
+FULL_LISTS = 1024
 COMPARED = 256
 TOGETHER = 128
-MEMO = 200_000
 BEGINNINGS = (4, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of Latin-1 as they are, and a space for all else.
+_LATIN = bytes(c if _LETTERS.match(chr(c)) else 32 for c in range(256))
 
 
 def neighbours(toxic: int, most: int = NEIGHBOURS) -> int:
@@ -74,10 +77,19 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def features_of(chunk: str) -> list[str]:
-    """Words of a chunk, and their beginnings with a mark in front."""
-    out, low = [], chunk.lower()
-    for word in [low] if low.isalpha() else _LETTERS.findall(low):
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; none reaches over white space, so a text has the words of its chunks."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _LETTERS.findall(low)
+
+
+def features_of(text: str) -> list[str]:
+    """Words of a text or a part of it, and their beginnings with a mark in front."""
+    out = []
+    for word in words_of(text):
         out.append(word)
         out += ["^" + word[:n] for n in BEGINNINGS if n < len(word)]
     return out
@@ -87,7 +99,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: set[str] = set()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            found.update(f for chunk in set(text.split()) for f in features_of(chunk))
+            found.update(f for word in set(words_of(text)) - found for f in features_of(word))
             if len(found) > 400_000:
                 yield pa.RecordBatch.from_pydict({"feature": list(found)})
                 found.clear()
@@ -95,44 +107,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Reader:
-    """Feature counts of whole texts. The features of chunks seen before are kept as ranges of one array: of ``MEMO`` chunks at most, or of one text."""
+    """Feature counts of whole texts. A word that is a feature brings its beginnings by number; only those of other words are looked up by name."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], beginnings: np.ndarray | None = None):
         self.number = {f: i for i, f in enumerate(names)}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.start, self.length, self.found, self.letters = array("q"), array("q"), array("i"), 0
+        self.beginnings = np.array([self._beginnings(f) for f in names], np.int32).reshape(-1, len(BEGINNINGS)) if beginnings is None else beginnings
 
-    def _chunk(self, chunk: str) -> int:
-        own = [x for x in map(self.number.get, features_of(chunk)) if x is not None]
-        self.start.append(len(self.found))
-        self.length.append(len(own))
-        self.found.extend(own)
-        self.letters += len(chunk)
-        self.chunks[chunk] = at = len(self.chunks)
-        return at
+    def _beginnings(self, word: str) -> list[int]:
+        return [self.number.get("^" + word[:n], -1) if n < len(word) else -1 for n in BEGINNINGS]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Features of a text, ascending, and how often each occurs."""
-        count = Counter(text.split())
-        at = list(map(self.chunks.get, count))
-        if None in at:
-            if len(self.chunks) + len(at) > MEMO or self.letters > 16 * MEMO:
-                self._forget()
-                at = [None] * len(at)
-            at = [self._chunk(c) if k is None else k for k, c in zip(at, count, strict=True)]
-        chunks = np.array(at, np.int64)
-        length = np.frombuffer(self.length, np.int64)[chunks] if at else chunks
-        found = np.frombuffer(self.found, np.int32)[_ranges(np.frombuffer(self.start, np.int64)[chunks], length)] if length.any() else np.zeros(0, np.int32)
-        if not len(found):
+        count = Counter(words_of(text))
+        if not count or not self.number:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = np.fromiter(map(self.number.get, count, repeat(-1)), np.int64, len(count))
+        found = np.empty((1 + len(BEGINNINGS), len(count)), np.int64)
+        found[0], found[1:] = word, self.beginnings[word].T
+        for i, name in compress(enumerate(count), (word < 0).tolist()):
+            found[1:, i] = self._beginnings(name)
+        found = found.ravel()
         order = np.argsort(found)
+        order = order[np.searchsorted(found, 0, sorter=order) :]  # without those that are no features
         found = found[order]
-        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        times = np.repeat(np.fromiter(count.values(), np.int64, len(count)), length)[order]
-        return found[new].astype(np.int64), np.add.reduceat(times, new)
+        new = np.flatnonzero(np.concatenate([[len(found) > 0], found[1:] != found[:-1]]))
+        times = np.fromiter(count.values(), np.int64, len(count))[order % len(count)]
+        return found[new], np.add.reduceat(times, new) if len(new) else times
 
 
 #: What a worker has read from the shared folder, by URI: the last reader and the last index.
@@ -154,7 +154,12 @@ def _kept(name: str, load: Callable[[str], object], beside: str | None):
 
 def reader_of(uri: str, both: bool = False) -> Reader:
     """The reader of a model; with ``both`` its index stays loaded."""
-    return _kept(f"{uri}/names", lambda name: Reader(zlib.decompress(common.get_file(name)).decode().split("\n")), f"{uri}/index" if both else None)
+
+    def load(name: str) -> Reader:
+        beginnings = np.frombuffer(common.get_file(f"{uri}/beginnings"), np.int32).reshape(-1, len(BEGINNINGS))
+        return Reader(zlib.decompress(common.get_file(name)).decode().split("\n"), beginnings)
+
+    return _kept(f"{uri}/names", load, f"{uri}/index" if both else None)
 
 
 def index_of(uri: str, both: bool = False) -> Neighbours:
@@ -233,12 +238,6 @@ def _bytes(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each range, one range after the other."""
-    ends = np.cumsum(length)
-    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def like_first(rows: np.ndarray) -> np.ndarray:
     """An order of vectors in which like ones stand together: halved again and again along the direction in which they differ most."""
     out, todo = [], [np.arange(len(rows))]
@@ -266,7 +265,12 @@ def vectors_of(uri: str, part: int) -> list[tuple[int, int, np.ndarray, np.ndarr
 
 
 #: The arrays of an index that are stored beside frequencies and ids.
-ARRAYS = ("labels", "digests", "column", "full", "full_most", "example", "weight", "posting", "postings", "block", "most", "entries", "entry")
+ARRAYS = ("labels", "digests", "column", "full", "full_most", "ends", "postings")
+#: An example and its weight side by side, so that both are fetched at once.
+POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 @dataclass
@@ -286,13 +290,15 @@ class Neighbours:
         """rows: id, label, features, counts, and a digest if there is one; none of them without features."""
         none = np.zeros(0, np.int32)
         rows = sorted(rows, key=lambda r: r[0])
-        df = np.bincount(np.concatenate([none, *(r[2] for r in rows)]), minlength=len(self.idf))
-        often = np.argsort(-df, kind="stable")[:FULL_LISTS]
-        often = often[df[often] * 200 > len(rows)]
-        self.column = np.full(len(self.idf), -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        rows = [rows[i] for i in like_first(self._columns(rows, min(COMPARED, len(often)))).tolist()]
-        self.full = self._columns(rows, len(often))
+        rows = [rows[i] for i in like_first(self._columns(rows, self._often(rows, COMPARED))).tolist()]
+        sections = [rows[at : at + SECTION] for at in range(0, len(rows), SECTION)]
+        often = [self._often(own, FULL_LISTS) for own in sections]
+        self.column = np.full((len(self.idf), len(sections)), -1, np.int16)
+        self.full = np.zeros((len(rows), max(map(len, often), default=0)), np.float32)
+        for k, (own, features) in enumerate(zip(sections, often, strict=True)):
+            self.column[features, k] = np.arange(len(features))
+            self.full[k * SECTION : (k + 1) * SECTION, : len(features)] = self._columns(own, features)
+        del sections
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
         self.digests = np.array([r[4] if len(r) > 4 else k for k, r in enumerate(rows)], np.int64)
         size = np.array([len(r[2]) for r in rows], np.int64)
@@ -301,13 +307,20 @@ class Neighbours:
         rows.clear()
         return self._lists(size, feature, count)
 
-    def _columns(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-        """The weights of the n features that most rows have."""
-        out = np.zeros((len(rows), n), np.float32)
+    def _often(self, rows: list[tuple], most: int) -> np.ndarray:
+        """The features that most rows have."""
+        df = np.bincount(np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows)]), minlength=len(self.idf))
+        often = np.argsort(-df, kind="stable")[:most]
+        return often[df[often] * 200 > len(rows)]
+
+    def _columns(self, rows: list[tuple], features: np.ndarray) -> np.ndarray:
+        """The weights of some features."""
+        place = np.full(len(self.idf), -1, np.int32)
+        place[features] = np.arange(len(features))
+        out = np.zeros((len(rows), len(features)), np.float32)
         for row, (_, _, f, c, *_) in zip(out, rows, strict=True):
-            column = self.column[f]
-            some = (column >= 0) & (column < n)
-            row[column[some]] = self.weigh(f, c)[some]
+            some = place[f] >= 0
+            row[place[f[some]]] = self.weigh(f, c)[some]
         return out
 
     @classmethod
@@ -318,44 +331,36 @@ class Neighbours:
         out = cls(idf, ids.tolist())
         for name, array_of in zip(ARRAYS, rest, strict=True):
             setattr(out, name, array_of)
-        out.blocks = -(-len(ids) // BLOCK)
-        out.copies = Counter(out.digests.tolist())
-        return out
+        return out._placed()
 
     def save(self, uri: str) -> None:
         with common.writing(uri) as f:
             for x in (self.idf, np.array(self.ids, np.int64), *(getattr(self, name) for name in ARRAYS)):
                 pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(x)), f)
 
+    def _placed(self) -> Neighbours:
+        """Where the examples with a digest are."""
+        self.blocks = -(-len(self.ids) // BLOCK)
+        digests, starts = np.unique(np.sort(self.digests), return_index=True)
+        self.copies = dict(zip(digests.tolist(), np.split(np.argsort(self.digests, kind="stable"), starts[1:]), strict=True)) if self.ids else {}
+        return self
+
     def _lists(self, size: np.ndarray, feature: np.ndarray, count: np.ndarray) -> Neighbours:
-        """The lists with the largest weight of each block: ``full`` ones have a slot for every example, the others an entry for each block with a range of postings."""
+        """``full`` lists have a slot for every example and the largest weight of each block; the others are ranges of postings, one after the other."""
         n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
-        self.copies = Counter(self.digests.tolist())
         example = np.repeat(np.arange(n, dtype=np.int32), size)
-        weight = np.log(count.astype(np.float32)) + 1
+        weight = (1 + np.log(count)) * self.idf[feature]
         del count
-        weight *= self.idf.astype(np.float32)[feature]
-        norm = np.sqrt(np.bincount(example, weight.astype(float) ** 2, minlength=n))
-        weight /= norm.astype(np.float32)[example]
-        rest = np.flatnonzero(self.column[feature] < 0).astype(np.int32)
+        weight /= np.sqrt(np.bincount(example, weight * weight, minlength=n))[example]
+        rest = np.flatnonzero(self.column[feature, example // SECTION] < 0).astype(np.int32)
         feature = feature[rest]
-        order = np.argsort(feature, kind="stable")
-        feature, rest = feature[order], rest[order]
-        del order
-        self.example, self.weight = example[rest], weight[rest]
-        del example, weight, rest
-        entry = feature.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-        small = np.int32 if len(entry) < 1 << 31 else np.int64
-        self.posting, self.postings = first.astype(small), np.diff(np.append(first, len(entry))).astype(small)
-        self.block = (entry[first] % max(self.blocks, 1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        of = entry[first] // max(self.blocks, 1)
-        self.entries = np.bincount(of, minlength=len(self.idf))
-        self.entry = np.cumsum(self.entries) - self.entries
+        rest = rest[np.argsort(feature, kind="stable")]
+        postings = np.empty(len(rest), POSTING)
+        postings["example"], postings["weight"] = example[rest], weight[rest]
+        self.postings = postings.view(np.int64)
+        self.ends = np.cumsum(np.bincount(feature, minlength=len(self.idf)))
         self.full_most = np.maximum.reduceat(self.full, np.arange(0, n, BLOCK), axis=0) if n else self.full
-        return self
+        return self._placed()
 
     def nearest(self, features: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest cosines over 0 with their examples, ties to the smaller id."""
@@ -363,71 +368,69 @@ class Neighbours:
 
     def nearest_of(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """``nearest`` of each document."""
-        out: list[list[tuple[float, int]]] = []
-        for at in range(0, len(docs), TOGETHER):
-            out += self._search(docs[at : at + TOGETHER], k) if self.ids else [[] for _ in docs[at : at + TOGETHER]]
-        return out
+        return self._nearest(docs, [_NONE] * len(docs), k)
 
     def nearest_others(self, docs: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> list[list[tuple[float, int]]]:
         """``nearest`` of each document among the examples with other digests than its own."""
-        own = [self.copies.get(d, 0) for _, _, d in docs]
-        out: list[list[tuple[float, int]]] = [[]] * len(docs)
-        for some in ([i for i, c in enumerate(own) if not c], [i for i, c in enumerate(own) if c]):
-            if some:
-                found = self.nearest_of([docs[i][:2] for i in some], k + max(own[i] for i in some))
-                for i, near in zip(some, found, strict=True):
-                    out[i] = [x for x in near if self.digests[x[1]] != docs[i][2]][:k] if own[i] else near
+        return self._nearest([d[:2] for d in docs], [self.copies.get(d[2], _NONE) for d in docs], k)
+
+    def _nearest(self, docs: list[tuple[np.ndarray, np.ndarray]], without: list[np.ndarray], k: int) -> list[list[tuple[float, int]]]:
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(docs), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            out += self._search(docs[part], without[part], k) if self.ids else [[] for _ in docs[part]]
         return out
 
-    def _search(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+    def _search(self, docs: list[tuple[np.ndarray, np.ndarray]], without: list[np.ndarray], k: int) -> list[list[tuple[float, int]]]:
         queries = [self.weigh(f, n) if len(f) else np.zeros(0) for f, n in docs]
-        wide, own = np.zeros((len(docs), self.full.shape[1]), np.float32), []
-        for row, (f, _), q in zip(wide, docs, queries, strict=True):
-            column = self.column[f]
-            row[column[column >= 0]] = q[column >= 0]
-            length = self.entries[f]
-            own.append((_ranges(self.entry[f], length), np.repeat(q, length)))
-        bounds = wide @ self.full_most.T
-        for row, (at, q) in zip(bounds, own, strict=True):
-            row += np.bincount(self.block[at], q * self.most[at], minlength=self.blocks)
-        bounds = bounds * np.float32(1 + 1e-4)
-        bounds[bounds > 0] += np.float32(1e-4)  # whatever single precision may lose
-        size = self.blocks * BLOCK
-        sums, rest = np.zeros((len(docs), size), np.float32), np.zeros((len(docs), size))
-        some = min(FIRST + -(-k // BLOCK), self.blocks)
-        done = np.zeros(bounds.shape, bool)
-        np.put_along_axis(done, np.argpartition(-bounds, some - 1, axis=1)[:, :some], True, axis=1)
-        self._add(sums, rest, wide, own, done)
-        found = sums.reshape(len(docs), self.blocks, BLOCK)[done].reshape(len(docs), -1)
-        n = min(k, found.shape[1])
-        least = np.maximum(np.partition(found, found.shape[1] - n, axis=1)[:, found.shape[1] - n] - 2e-4, 0)
-        self._add(sums, rest, wide, own, (bounds > least[:, None]) & ~done)
+        rest = np.empty((len(docs), self.blocks * BLOCK))
+        for row, (f, _), q, own in zip(rest, docs, queries, without, strict=True):
+            row[:] = self._added(f, q)
+            row[own] = -9.0  # full lists don't make up for it
+        # what postings give is exact for each example; what full lists give is bounded for each block
+        most = rest.reshape(len(docs), self.blocks, BLOCK).max(axis=2)
+        columns, weights = self.column[np.concatenate([f for f, _ in docs])], np.concatenate(queries)
+        doc = np.repeat(np.arange(len(docs)), [len(q) for q in queries])
+        wide, bounds = [], np.empty(most.shape, np.float32)
+        for b, column in zip(range(0, self.blocks, SECTION // BLOCK), columns.T, strict=True):
+            some = np.flatnonzero(column >= 0)
+            wide.append(np.zeros((len(docs), self.full.shape[1]), np.float32))
+            wide[-1][doc[some], column[some]] = weights[some]
+            part = slice(b, b + SECTION // BLOCK)
+            bounds[:, part] = most[:, part] + (wide[-1] @ self.full_most[part].T) * np.float32(1 + 1e-4) + np.float32(1e-4)  # whatever single precision may lose
+        sums, least = rest.astype(np.float32), np.zeros(len(docs), np.float32)
+        best = bounds.argmax(axis=1) // (SECTION // BLOCK)
+        for s, own in enumerate(wide):  # the section with the highest bound says what the k-th largest cosine is at least
+            part, rows = slice(s * SECTION, min((s + 1) * SECTION, len(self.ids))), np.flatnonzero(best == s)
+            found = sums[rows, part] + own[rows] @ self.full[part].T
+            sums[rows, part] = found
+            bounds[rows, s * SECTION // BLOCK : (s + 1) * SECTION // BLOCK] = -1
+            if k <= found.shape[1]:
+                least[rows] = np.maximum(np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k] - 2e-4, 0)
+        chosen = bounds > least[:, None]
+        for b in range(0, self.blocks, STRIP):
+            part, rows = slice(b * BLOCK, min((b + STRIP) * BLOCK, len(self.ids))), np.flatnonzero(chosen[:, b : b + STRIP].any(axis=1))
+            if len(rows):
+                sums[rows, part] += wide[b * BLOCK // SECTION][rows] @ self.full[part].T
         return [self._best(*x, k) for x in zip(docs, queries, sums[:, : len(self.ids)], rest, least, strict=True)]
 
-    def _add(self, sums: np.ndarray, rest: np.ndarray, wide: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> None:
-        """Adds up the cosines of the chosen blocks; ``rest`` is the part that does not come from full lists."""
-        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
-            rows, part = np.flatnonzero(chosen[:, b]), self.full[b * BLOCK : (b + 1) * BLOCK]
-            if 2 * len(rows) > len(wide):
-                sums[rows, b * BLOCK : b * BLOCK + len(part)] = (wide @ part.T)[rows]
-            else:
-                sums[rows, b * BLOCK : b * BLOCK + len(part)] = wide[rows] @ part.T
-        for row, other, flags, (at, q) in zip(sums, rest, chosen, own, strict=True):
-            here = np.flatnonzero(flags[self.block[at]])
-            entries = at[here]
-            length = self.postings[entries]
-            places = _ranges(self.posting[entries], length)
-            found = np.bincount(self.example[places], np.repeat(q[here], length) * self.weight[places], minlength=len(row))
-            other += found
-            row += found
+    def _added(self, features: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What the features give to the cosine of each example by their postings."""
+        ends = self.ends[features]
+        length = ends - np.where(features > 0, self.ends[features - 1], 0)
+        before = np.cumsum(length)
+        postings = self.postings.take(np.repeat(ends - before, length) + np.arange(before[-1] if len(before) else 0), mode="clip").view(POSTING)
+        return np.bincount(postings["example"], np.repeat(q, length) * postings["weight"], minlength=self.blocks * BLOCK)
 
     def _best(self, doc: tuple[np.ndarray, np.ndarray], q: np.ndarray, sums: np.ndarray, rest: np.ndarray, least: float, k: int) -> list[tuple[float, int]]:
         near = np.flatnonzero((sums > 0) & (sums >= least))  # a sum is over 0 where any feature is shared, as no weight is under 0
         if len(near) > k:
             own = sums[near]
             near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-4]
-        column = self.column[doc[0]]
-        cosines = rest[near] + self.full[near[:, None], column[column >= 0]] @ q[column >= 0]
+        cosines = rest[near]
+        for s in set((near // SECTION).tolist()):
+            own, column = near // SECTION == s, self.column[doc[0], s]
+            cosines[own] += self.full[near[own, None], column[column >= 0]] @ q[column >= 0]
         best = [(round(c, 12), i) for c, i in zip(cosines.tolist(), near.tolist(), strict=True)]
         best.sort(key=lambda x: (-x[0], self.ids[x[1]], x[1]))
         return best[:k]
@@ -539,6 +542,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, kept: DataFrame, body: str, key:
 
     names = sorted(chosen.mapInArrow(_features, "feature string").distinct().toArrow().column("feature").to_pylist()) if toxic else []
     common.put_file(f"{home}/names", zlib.compress("\n".join(names).encode(), 1))
+    common.put_file(f"{home}/beginnings", Reader(names or [""]).beginnings.tobytes())
     read = kept.withColumn(body, _read(home)(F.col(body)))
     if not toxic:
         return Model(None, np.zeros(1), np.zeros(1), k), read

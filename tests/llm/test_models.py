@@ -251,6 +251,54 @@ def test_a_stored_index_finds_the_same_neighbours(tmp_path):
         assert again.nearest_of(asked, 15) == index.nearest_of(asked, 15) and again.ids == index.ids and (again.labels == index.labels).all()
 
 
+def two_languages(rng, n):
+    """Examples of which every other one has features 0 to 19, and the others 20 to 39; each has one of 40 to 59 as well."""
+    return [(i, i % 2, np.sort([*(20 * (i % 2) + rng.choice(20, 8, replace=False)), 40 + rng.integers(0, 20)]), rng.integers(1, 4, 9), i // 3) for i in range(n)]
+
+
+def test_sections_have_full_lists_of_their_own(monkeypatch):
+    for name, size in (("BLOCK", 8), ("SECTION", 80), ("STRIP", 2), ("FULL_LISTS", 20), ("TOGETHER", 32)):
+        monkeypatch.setattr(toxicity, name, size)
+    rng = np.random.default_rng(9)
+    made = two_languages(rng, 330)
+    index = toxicity.Neighbours(rng.uniform(0.5, 3, 60)).build(list(made))
+    assert len(index.example if hasattr(index, "example") else index.postings) < 2 * 330  # under one order of features for all a language would be postings
+    dense = np.zeros((330, 60))
+    for i, _, f, n, _ in made:
+        dense[i, f] = index.weigh(f, n)
+    asked = [*two_languages(rng, 60), *made, (0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), -1)]
+    for k in (3, 15, 100, 400):
+        for (_, _, f, n, digest), near in zip(asked, index.nearest_others([r[2:] for r in asked], k), strict=True):
+            cosines = dense[:, f] @ index.weigh(f, n) if len(f) else np.zeros(330)
+            want = sorted((-c, i) for i, c in enumerate(np.round(cosines, 12)) if c > 0 and i // 3 != digest)[:k]
+            assert [c for c, _ in near] == pytest.approx([-c for c, _ in want], abs=1e-6)
+            assert all(made[index.ids[at]][4] != digest for _, at in near)
+
+
+def test_copies_of_a_text_do_not_widen_its_search(monkeypatch):
+    rng = np.random.default_rng(4)
+    f, n = np.arange(9), np.ones(9, np.int64)
+    made = [(i, 0, f, n, 7) for i in range(300)] + [(300 + i, 1, np.sort(rng.choice(30, 9, replace=False)), n, 100 + i) for i in range(200)]
+    index = toxicity.Neighbours(np.ones(30)).build(list(made))
+    asked, best = [], toxicity.Neighbours._best
+    monkeypatch.setattr(toxicity.Neighbours, "_best", lambda self, *x: asked.append(x[-1]) or best(self, *x))
+    (near,) = index.nearest_others([(f, n, 7)], 15)
+    assert asked == [15] and len(near) == 15 and min(index.ids[at] for _, at in near) >= 300
+
+
+def test_words_bring_their_beginnings():
+    texts = ["Riverbank riverbank's stone\u2019s RIVER_bank x", "ΟΔΟΣ οδός. Straße ½ a²b m³ naïve\u00a0ŒUVRE", "İstanbul\x1cunknownword river", "", " 12 _ "]
+    names = sorted({f for t in texts[:2] for f in toxicity.features_of(t)} | {"^unkn"})
+    reader = toxicity.Reader(names)
+    again = toxicity.Reader(names, reader.beginnings)
+    for t in texts:
+        want = Counter(f for c in t.split() for f in toxicity.features_of(c) if f in reader.number)
+        for r in (reader, again):
+            features, counts = r.counts(t)
+            assert dict(zip((names[i] for i in features), counts.tolist(), strict=True)) == want and (np.diff(features) > 0).all()
+    assert reader.beginnings[reader.number["riverbank"]].tolist() == [reader.number["^rive"], reader.number["^riverb"]]
+
+
 def test_dropping_toxic_rows_keeps_all_columns_and_clashing_names(spark, docs_of):
     texts = [f"river stone {'meadow' if i % 2 else 'harbour'} {'vile rotten' if i % 5 == 0 else 'calm'}" for i in range(150)]
     docs = docs_of([*texts, None, "", texts[0], texts[1], "vile rotten " * 5000], ids=[*range(150), 150, 151, 0, 1, None])
